@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagelens.llm import quality
+from pagelens.llm import bpe, quality
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
