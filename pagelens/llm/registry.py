@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagelens.llm import bpe, quality
+from pagelens.llm import bpe, quality, secrets
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
