@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pagelens.llm import bpe, quality, secrets
+from pagelens.llm import bpe, mixing, quality, secrets
 
 QUERIES = {
+    "op1_source_mix": mixing.op1_source_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_source_mix": mixing.OP1_SQL,
+}
