@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagelens.llm import bpe, mixing, pii, quality, secrets
+from pagelens.llm import ann, bpe, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_personal_data": pii.op6_personal_data,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_permutation_neighbours": ann.op9_permutation_neighbours,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL = {
