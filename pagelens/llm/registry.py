@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagelens.llm import ann, bpe, mixing, pii, quality, secrets
+from pagelens.llm import ann, bpe, html_main, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_html_main_text": html_main.op4_html_main_text,
     "op6_personal_data": pii.op6_personal_data,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_permutation_neighbours": ann.op9_permutation_neighbours,
