@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pagelens.llm import ann, bpe, html_main, mixing, pii, quality, secrets
+from pagelens.llm import ann, automaton, bpe, html_main, mixing, pii, quality, secrets, suffix_levels
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_html_main_text": html_main.op4_html_main_text,
+    "op5_automaton_dedup": automaton.op5_automaton_dedup,
     "op6_personal_data": pii.op6_personal_data,
+    "op7_suffix_levels": suffix_levels.op7_suffix_levels,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_permutation_neighbours": ann.op9_permutation_neighbours,
     "op10_quality_rules": quality.op10_quality_rules,
