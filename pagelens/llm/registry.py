@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagelens.llm import ann, automaton, bpe, html_main, mixing, pii, quality, secrets, suffix_levels
+from pagelens.llm import ann, automaton, bpe, html_main, mixing, ngram_join, pii, quality, secrets, suffix_levels
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_html_main_text": html_main.op4_html_main_text,
     "op5_automaton_dedup": automaton.op5_automaton_dedup,
