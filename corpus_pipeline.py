@@ -1,13 +1,27 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, source mix and token ids, in this order."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, source mix and token ids, in this order.
+
+Each stage takes all rows that the one before it kept and returns the columns of ``documents``; the last
+returns token ids. Documents that the quality rules reject go; of near duplicates the least id stays;
+secrets are masked; the mix repeats or leaves out whole documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm import common, quality
+from pagelens.llm import bpe, common, mixing, ngram_join, quality, secrets
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
 
 STAGES = [
     ("quality_rules", quality.keep_good),
+    ("ngram_join", ngram_join.one_of_each),
+    ("secret_scan", secrets.without_secrets),
+    ("source_mix", mix_sources),
+    ("byte_bpe", bpe.token_ids),
 ]
 #: The first stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None
