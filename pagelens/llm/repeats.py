@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pagelens.llm import common
 
 CHUNK_BYTES = 8 << 20
-HOT = 512
+HOT = 8192
 BLOCK = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -125,7 +125,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     """``(id, text, chunk)`` and the number of chunks, which follows the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(3 * parts, -(-total // CHUNK_BYTES))
+    n = max(parts, -(-total // CHUNK_BYTES))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("chunk")), n
 
 
@@ -188,6 +188,8 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
             tag, r_owner, r_hot = tag[order], r_owner[order], r_hot[order]
             chunk = int(docs["chunk"][0].as_py())
             hot_hash, hot_id, hot_at, hot_text = [], [], [], []
+            runs: list[tuple] = []
+            sent: set[bytes] = set()
             for b in common.blocks(iter(docs.combine_chunks().to_batches()), "text", BLOCK):
                 s, ids = Sequence(b.column("text"), spec), _ids(b.column("id"))
                 if not len(s.anchors):
@@ -222,9 +224,17 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
                     new = np.ones(len(unit), bool)
                     new[1:] = (unit[1:] != unit[:-1] + 1) | (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
                     begin = np.flatnonzero(new)
-                    for x, y in zip(begin, np.append(begin[1:], len(unit))):
-                        r = row[x]
-                        out.append((int(common.mix(owner[x : x + 1].astype(np.uint64))[0] % np.uint64(n)), int(owner[x]), int(ids[r]), chunk, int(unit[x] - s.first[r]), int(unit[y - 1] + spec.window - s.first[r]), s.content(unit[x], unit[y - 1] + spec.window)))
+                    shard = (common.mix(owner[begin].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+                    for x, y, to in zip(begin, np.append(begin[1:], len(unit)), shard):
+                        r, end = row[x], unit[y - 1] + spec.window
+                        runs.append((int(to), int(owner[x]), int(ids[r]), chunk, int(unit[x] - s.first[r]), int(end - s.first[r]), s.content(unit[x], end)))
+            # of equal runs the first is sent, and with it, where places within a document don't count, its document's others
+            first: dict[bytes, int] = {}
+            for run in sorted(runs, key=lambda r: (r[2], r[4])):
+                sender = first.setdefault(run[6], run[2])
+                fresh = sender == run[2] and not (spec.same_doc and run[6] in sent)
+                sent.add(run[6])
+                out.append(run if fresh else (*run[:6], None))
             if hot_hash:
                 hashes, ids, at = np.concatenate(hot_hash), np.concatenate(hot_id), np.concatenate(hot_at)
                 texts = hot_text if spec.words else np.concatenate(hot_text)
