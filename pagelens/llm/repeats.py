@@ -224,7 +224,7 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
                     new = np.ones(len(unit), bool)
                     new[1:] = (unit[1:] != unit[:-1] + 1) | (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
                     begin = np.flatnonzero(new)
-                    shard = (common.mix(owner[begin].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+                    shard = (common.mix(owner[begin].astype(np.uint64)) % np.uint64(2 * n)).astype(np.int64)
                     for x, y, to in zip(begin, np.append(begin[1:], len(unit)), shard):
                         r, end = row[x], unit[y - 1] + spec.window
                         runs.append((int(to), int(owner[x]), int(ids[r]), chunk, int(unit[x] - s.first[r]), int(end - s.first[r]), s.content(unit[x], end)))
@@ -244,7 +244,7 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
                 send = ids[order] == ids[first] if not spec.same_doc else order == first
                 for j in order[send]:
                     content = texts[j] if spec.words else texts[j].tobytes()
-                    out.append((int(hashes[j] % np.uint64(n)), int(hashes[j].astype(np.int64)), int(ids[j]), chunk, int(at[j]), int(at[j]) + spec.window, content))
+                    out.append((int(hashes[j] % np.uint64(2 * n)), int(hashes[j].astype(np.int64)), int(ids[j]), chunk, int(at[j]), int(at[j]) + spec.window, content))
                 rest = order[~send]
                 rest = rest[np.lexsort((at[rest], ids[rest]))]
                 new = np.ones(len(rest), bool)
