@@ -10,8 +10,9 @@ lowers the estimated cost of its candidates.
    here on, so copies are neither posted nor compared.
 2. Prefix tokens are posted in packed buckets. A token of few classes yields candidate pairs, counted
    over all tokens; a token of more than ``FEW`` classes yields a star, not its pairs.
-3. Candidates and stars make families. A family's sets meet once and are linked exactly, by counting
-   shared shingles; families above ``BLOCK_SETS`` are split into pairs of blocks.
+3. Classes joined by stars make a family; a candidate pair meets with the other pairs of its lesser end.
+   Those sets come together as texts and are linked exactly (:func:`exact`); families above
+   ``BLOCK_TOKENS`` are split into pairs of blocks.
 4. Links make components.
 
 Defined cases: null texts and texts without words have an empty set and no links; fewer than five words
@@ -35,7 +36,10 @@ SLOTS, SLOT_BLOCKS = 1 << 20, 64
 LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
-BLOCK_SETS = 4096
+#: Tokens of a family that meet in one task.
+BLOCK_TOKENS = 3_000_000
+#: Sets of a family above which a token they share is heavy.
+HEAVY = 64
 CHUNK_BYTES = 8 << 20
 SALTS = 32
 BLOCK = 1 << 20
@@ -190,7 +194,7 @@ def postings(rows: DataFrame, counts: np.ndarray, buckets: int, width: int, simi
 
 
 def candidates(posted: DataFrame, similar: int) -> DataFrame:
-    """``(a, b, shared, need)``: pairs with how many tokens a bucket saw and how many are needed; stars need none."""
+    """``(a, b, star)``: pairs that share as many tokens as they must, and the stars of tokens with too many classes to pair."""
 
     def run(table: pa.Table) -> pa.Table:
         part = lambda k, t: np.frombuffer(b"".join(table[k].to_pylist()), t)
@@ -233,79 +237,113 @@ def candidates(posted: DataFrame, similar: int) -> DataFrame:
         return pa.table({"a": a[first], "b": b[first], "shared": np.diff(np.append(first, len(a))).astype(np.int64), "need": need[first]})
 
     found = posted.groupBy("bucket").applyInArrow(run, "a long, b long, shared long, need long")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b", (F.col("need") == 0).alias("star"))
 
 
-def exact(tokens: np.ndarray, at: np.ndarray, similar: int, side: np.ndarray | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The least linked index that each set reaches and the summed weight of the sets it links to.
+def exact(sets: list[np.ndarray], similar: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the least index that it reaches through links of at least ``similar`` percent.
 
-    ``side`` tells two blocks apart, of which only pairs across are compared. Sets are compared by
-    counting, for one after another, how often each other set shares one of its shingles.
+    ``side`` tells two blocks apart, of which only pairs across are compared. Shared light tokens (in at
+    most ``HEAVY`` sets) are counted; heavy ones are only bounded by how many each set has, as a family
+    of near copies shares most of its tokens. Of pairs that may reach the threshold, those already
+    connected are skipped, and each component's set with most heavy tokens is tried first.
     """
-    n, size = len(at) - 1, np.diff(at)
-    owner = np.repeat(np.arange(n), size)
+    n, size = len(sets), np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     order = np.argsort(tokens, kind="stable")
-    start = np.flatnonzero(np.diff(tokens[order], prepend=~tokens[order[:1]] if len(order) else 0) != 0) if len(order) else np.zeros(0, np.int64)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    start = np.flatnonzero(fresh)
     many = np.diff(np.append(start, len(order)))
     group = np.empty(len(order), np.int64)
-    group[order] = np.repeat(np.arange(len(start)), many)
+    group[order] = np.cumsum(fresh) - 1
+    owner = np.repeat(np.arange(n), size)
     by_token = owner[order]
-    root, degree = np.arange(n), np.zeros(n, np.int64)
-    weight = np.ones(n, np.int64) if weight is None else weight
+    heavy = np.bincount(owner[many[group] > HEAVY], minlength=n)
+    root = np.arange(n)
+    most = np.arange(n)  # of each component, the set with most heavy tokens
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
-        return x
+        return int(x)
+
+    def join(x: int, y: int) -> int:
+        i, j = find(x), find(y)
+        if i != j:
+            i, j = min(i, j), max(i, j)
+            root[j] = i
+            if heavy[most[j]] > heavy[most[i]]:
+                most[i] = most[j]
+        return i
+
+    def similar_to(x: int, y: int) -> bool:
+        shared = size[x] + size[y] - len(np.union1d(sets[x], sets[y]))
+        return 100 * shared >= similar * (size[x] + size[y] - shared)
 
     for x in range(n):
         g = group[at[x] : at[x + 1]]
-        g = g[many[g] > 1]
-        if not len(g):
-            continue
-        k = many[g]
-        spot = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start[g], k)
-        other, shared = np.unique(by_token[spot], return_counts=True)
-        ok = (100 * shared >= similar * (size[x] + size[other] - shared)) & (other != x)
+        g = g[(many[g] > 1) & (many[g] <= HEAVY)]
+        light = np.zeros(x, np.int64)
+        if len(g):
+            k = many[g]
+            spot = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start[g], k)
+            other = by_token[spot]
+            light += np.bincount(other[other < x], minlength=x)
+        shared = light + np.minimum(heavy[:x], heavy[x])
+        maybe = (100 * shared >= similar * (size[x] + size[:x] - shared)) & (shared > 0)
         if side is not None:
-            ok &= side[other] != side[x]
-        degree[x] = weight[other[ok]].sum()
-        for y in other[ok & (other < x)]:
-            i, j = find(x), find(int(y))
-            if i != j:
-                root[max(i, j)] = min(i, j)
-    return np.array([find(x) for x in range(n)], np.int64), degree
-
-
-def linked(sets: DataFrame, similar: int) -> DataFrame:
-    """``(shard, i, j, node, weight, block, tokens)`` to ``(node, to, degree)`` of every set with links."""
+            maybe &= side[:x] != side[x]
+        maybe = np.flatnonzero(maybe)
+        if not heavy[x]:  # then the counts are exact
+            for y in maybe:
+                join(x, int(y))
+            continue
+        mine, tried = {find(x)}, set()
+        for y in maybe[np.argsort(-shared[maybe], kind="stable")]:
+            r = find(int(y))
+            if r in mine:
+                continue
+            if r not in tried:
+                tried.add(r)
+                first = int(most[r])
+                if first < x and (side is None or side[first] != side[x]) and similar_to(x, first):
+                    mine.add(join(x, first))
+                    continue
+            if similar_to(x, int(y)):
+                mine.add(join(x, int(y)))
+    return np.array([find(x) for x in range(n)], np.int64)
+
+
+def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
+    """``(shard, i, j, family, node, s1, block, text)`` to ``(node, to)`` of every set with links."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("node", "ascending"), ("block", "ascending")])
-        node, raw = table["node"].to_numpy(), table["tokens"].to_pylist()
-        at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
         across = table["i"][0].as_py() != table["j"][0].as_py()
-        to, degree = exact(np.frombuffer(b"".join(raw), np.uint64), at, similar, table["block"].to_numpy() if across else None, table["weight"].to_numpy())
-        some = np.flatnonzero((degree > 0) | (to != np.arange(len(to))))
-        return pa.table({"node": node[some], "to": node[to[some]], "degree": degree[some]})
-
-    return sets.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long, degree long")
-
-
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """``(id, tokens)``: each document's set as packed numbers."""
-
-    def run(batches):
-        for b in _sliced(batches, "text"):
+        table = table.sort_by([("family", "ascending"), ("node", "ascending"), ("block", "ascending")]).combine_chunks()
+        sets: list[np.ndarray] = []
+        keep: list[np.ndarray] = []
+        for b in _sliced(iter(table.select(["s1", "text"]).to_batches()), "text"):
             tokens, at = shingles(b.column("text"), width)
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("id"))), pa.array([tokens[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], ["id", "tokens"])
+            keep.append(_signatures(tokens, at)[0] == b.column("s1").to_numpy())  # an id may come with other texts
+            sets += [tokens[x:y] for x, y in zip(at[:-1], at[1:])]
+        kept = np.concatenate(keep)
+        family, node, block = (table[k].to_numpy() for k in ("family", "node", "block"))
+        left, right = [], []
+        for some in np.split(np.arange(len(family)), np.flatnonzero(np.diff(family)) + 1):
+            some = some[kept[some]]
+            to = some[exact([sets[i] for i in some], similar, block[some] if across else None)] if len(some) else some
+            left.append(node[some[to != some]])
+            right.append(node[to[to != some]])
+        return pa.table({"node": np.concatenate(left), "to": np.concatenate(right)})
 
-    return rows.mapInArrow(run, "id long, tokens binary")
+    return held.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """``id, n_shingles, component_id, n_links`` of every row: the least id reachable and how many documents it links to."""
+    """``id, n_shingles, component_id, n_equal`` of every row: the least id reachable and how many rows have the same set."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     survey = common.checkpointed(surveyed(rows, width))
@@ -313,30 +351,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     every = survey.where("part is null").drop("part")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
-    kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kinds = common.checkpointed(kinds)
     pairs = common.checkpointed(candidates(postings(rows, counts, buckets, width, similar), similar))
-    families = common.components(pairs)  # over signatures
-    wanted = families.join(kinds, families["node"] == kinds["s1"]).select("component", "s1", "s2", "rep", "copies")
-    blocks = wanted.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n_blocks"))
-    wanted = common.checkpointed(wanted.join(blocks, "component"))
-    sets = shingle_sets(rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi"), width)
-    # rows that share an id may hold several texts: a class takes the one with its own signature
-    held = sets.join(wanted, sets["id"] == wanted["rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    held = held.select(
-        F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")).alias("shard"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("rep").alias("node"), F.col("copies").alias("weight"), "block", "tokens",
-    )
-    links = common.checkpointed(linked(held, similar))
+    stars = common.components(pairs.where("star").select("a", "b"))
+    near, far = stars.select(F.col("node").alias("a"), F.col("component").alias("fa")), stars.select(F.col("node").alias("b"), F.col("component").alias("fb"))
+    others = pairs.where("not star").join(near, "a", "left").join(far, "b", "left").where("fa is null or fb is null or fa <> fb")
+    # a pair meets with the other pairs of its lesser end
+    members = stars.select(F.lit(True).alias("star"), "component", "node").unionByName(others.select(F.lit(False).alias("star"), F.col("a").alias("component"), F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = members.join(kinds, members["node"] == kinds["s1"]).select("star", F.col("component").alias("family"), "s1", "rep", "n")
+    blocks = wanted.groupBy("star", "family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks"))
+    wanted = common.checkpointed(wanted.join(blocks, ["star", "family"]))
+    held = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    held = rows.join(held, rows["id"] == held["rep"]).select(
+        F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("star", "family"), F.lit(buckets))).otherwise(F.xxhash64("star", "family")).alias("shard"),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.xxhash64("star", "family").alias("family"), F.col("rep").alias("node"), "s1", "block", "text",
+    )
+    links = common.checkpointed(linked(held, width, similar))
     parts = common.components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    degrees = links.groupBy("node").agg(F.sum("degree").alias("degree"))
-    known = kinds.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(degrees.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.where("component is not null or copies > 1").select("s1", "s2", F.coalesce("component", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = kinds.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("component is not null or copies > 1")
+    known = known.select("s1", "s2", F.coalesce("component", "rep").alias("component"), "copies")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["s1", "s2", "salt"], "left")
     whole = lambda c: F.when(c != F.lit(-(1 << 63)), c)
-    return out.select(whole(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), whole(F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select(whole(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), whole(F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("n_equal"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
