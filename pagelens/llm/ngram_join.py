@@ -10,9 +10,8 @@ lowers the estimated cost of its candidates.
    here on, so copies are neither posted nor compared.
 2. Prefix tokens are posted in packed buckets. A token of few classes yields candidate pairs, counted
    over all tokens; a token of more than ``FEW`` classes yields a star, not its pairs.
-3. Classes joined by stars make a family; a candidate pair meets with the other pairs of its lesser end.
-   Those sets come together as texts and are linked exactly (:func:`exact`); families above
-   ``BLOCK_TOKENS`` are split into pairs of blocks.
+3. Candidates that hang together meet, as texts, in one place (:func:`meetings`) and are linked exactly
+   (:func:`exact`); families that stay above ``BLOCK_TOKENS`` are split into pairs of blocks.
 4. Links make components.
 
 Defined cases: null texts and texts without words have an empty set and no links; fewer than five words
@@ -211,10 +210,13 @@ def candidates(posted: DataFrame, similar: int) -> DataFrame:
         many = np.diff(np.append(start, len(token)))
         a, b, need = [], [], []
         for g in np.flatnonzero(many > FEW):
-            x = node[start[g] : start[g] + many[g]]
-            a.append(np.full(len(x) - 1, x[0]))
-            b.append(x[1:])
-            need.append(np.zeros(len(x) - 1, np.int64))
+            x, z = node[start[g] : start[g] + many[g]], size[start[g] : start[g] + many[g]]
+            by_size = np.argsort(z, kind="stable")
+            x, z = x[by_size], z[by_size]
+            near = 100 * z[:-1] >= similar * z[1:]  # of two like sets all sizes between are near too
+            a.append(np.minimum(x[:-1], x[1:])[near])
+            b.append(np.maximum(x[:-1], x[1:])[near])
+            need.append(np.zeros(int(near.sum()), np.int64))
         few = (many <= FEW)[np.repeat(np.arange(len(start)), many)]
         for gap in range(1, FEW):
             i = np.flatnonzero(few[:-gap] & (token[gap:] == token[:-gap])) if len(token) > gap else np.zeros(0, np.int64)
@@ -342,6 +344,31 @@ def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
     return held.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long")
 
 
+def meetings(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``family, n_blocks, s1, rep``: where each class that has candidates meets them.
+
+    Candidates that hang together are a family. In a family of more than ``BLOCK_TOKENS`` the stars make
+    families of their own, and a pair across these meets with the other pairs of its lesser end.
+    """
+
+    def sized(members: DataFrame, names: list[str]) -> DataFrame:
+        own = members.join(kinds, members["node"] == kinds["s1"]).select(*names, "s1", "rep", "n")
+        return own.join(own.groupBy(*names).agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), names)
+
+    whole = common.checkpointed(sized(common.components(pairs).withColumnRenamed("component", "family"), ["family"]))
+    out = whole.where("n_blocks = 1").select(F.xxhash64(F.lit(0), "family").alias("family"), "n_blocks", "s1", "rep")
+    large = whole.where("n_blocks > 1").select(F.col("s1").alias("a")).distinct()
+    if large.isEmpty():
+        return out
+    pairs = common.checkpointed(pairs.join(large, "a"))
+    stars = common.components(pairs.where("star").select("a", "b"))
+    near, far = stars.select(F.col("node").alias("a"), F.col("component").alias("fa")), stars.select(F.col("node").alias("b"), F.col("component").alias("fb"))
+    across = pairs.where("not star").join(near, "a", "left").join(far, "b", "left").where("fa is null or fb is null or fa <> fb")
+    across = across.select(F.lit(2).alias("kind"), F.col("a").alias("family"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    split = sized(stars.select(F.lit(1).alias("kind"), F.col("component").alias("family"), "node").unionByName(across), ["kind", "family"])
+    return out.unionByName(split.select(F.xxhash64("kind", "family").alias("family"), "n_blocks", "s1", "rep"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """``id, n_shingles, component_id, n_equal`` of every row: the least id reachable and how many rows have the same set."""
     spark = docs.sparkSession
@@ -354,18 +381,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kinds = common.checkpointed(kinds)
     pairs = common.checkpointed(candidates(postings(rows, counts, buckets, width, similar), similar))
-    stars = common.components(pairs.where("star").select("a", "b"))
-    near, far = stars.select(F.col("node").alias("a"), F.col("component").alias("fa")), stars.select(F.col("node").alias("b"), F.col("component").alias("fb"))
-    others = pairs.where("not star").join(near, "a", "left").join(far, "b", "left").where("fa is null or fb is null or fa <> fb")
-    # a pair meets with the other pairs of its lesser end
-    members = stars.select(F.lit(True).alias("star"), "component", "node").unionByName(others.select(F.lit(False).alias("star"), F.col("a").alias("component"), F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = members.join(kinds, members["node"] == kinds["s1"]).select("star", F.col("component").alias("family"), "s1", "rep", "n")
-    blocks = wanted.groupBy("star", "family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks"))
-    wanted = common.checkpointed(wanted.join(blocks, ["star", "family"]))
+    wanted = common.checkpointed(meetings(pairs, kinds))
     held = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     held = rows.join(held, rows["id"] == held["rep"]).select(
-        F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("star", "family"), F.lit(buckets))).otherwise(F.xxhash64("star", "family")).alias("shard"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.xxhash64("star", "family").alias("family"), F.col("rep").alias("node"), "s1", "block", "text",
+        F.when(F.col("n_blocks") == 1, F.pmod("family", F.lit(buckets))).otherwise(F.col("family")).alias("shard"),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "family", F.col("rep").alias("node"), "s1", "block", "text",
     )
     links = common.checkpointed(linked(held, width, similar))
     parts = common.components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
