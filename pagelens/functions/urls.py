@@ -121,7 +121,7 @@ def href_shape(href: Column) -> Column:
     flags = F.array(
         F.when(scheme(href) == "mailto", "mailto"), F.when(scheme(href) == "javascript", "script"), F.when(query(href) != "", "query"), F.when(href.contains("#"), "fragment"),
         F.when(href.rlike(r"\{\{|\{%|<%|\$\{"), "template"), F.when(path(href).rlike(".+/$"), "slash"), F.when(F.exists(segments, lambda x: x.rlike("^[0-9]+$")), "number"),
-        F.when(extension != "", F.concat(F.lit("ext:"), extension)), F.concat(F.lit("depth:"), F.least(F.size(segments), F.lit(8)).cast("string")),
+        F.when((extension != "") & ~scheme(href).isin("mailto", "javascript"), F.concat(F.lit("ext:"), extension)), F.concat(F.lit("depth:"), F.least(F.size(segments), F.lit(8)).cast("string")),
     )
     return F.concat(F.array_compact(flags), keys)
 

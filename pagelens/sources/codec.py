@@ -13,6 +13,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 #: Names that pages use for encodings that Python calls otherwise.
@@ -20,8 +21,8 @@ ALIASES = {"windows-1250": "cp1250", "win-1250": "cp1250", "x-sjis": "shift_jis"
 
 
 def inflate_bytes(raw: bytes | None) -> bytes | None:
-    """gzip, else zlib, else None."""
-    if raw is None:
+    """gzip, else zlib, else None; None for no bytes."""
+    if not raw:
         return None
     for open_ in (gzip.decompress, zlib.decompress):
         try:
@@ -45,27 +46,27 @@ def decode_page(raw: bytes | None) -> str | None:
     return raw.decode("latin-1")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _inflate(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: inflate_bytes(None if x is None else bytes(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: decode_page(None if x is None else bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _deflate(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else gzip.compress(bytes(x), mtime=0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _loose(value: pd.Series) -> pd.Series:
     def one(x: str) -> str:
         try:

@@ -18,8 +18,8 @@ SCRAPE = "url string, status_code int, content string, success boolean"
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema: str, keep_bad: bool = False) -> DataFrame:
     """JSON lines with ``file`` they came from; blank lines are skipped, bad ones dropped or kept in ``bad``."""
-    read = spark.read.schema(f"{schema}, bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(paths)
-    rows = read.select("*", F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    rows = text.withColumn("row", F.from_json("value", f"{schema}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})).select("row.*", "file")
     return rows if keep_bad else rows.where("bad is null").drop("bad")
 
 
@@ -82,7 +82,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_file(spark: SparkSession, path: str) -> DataFrame:
     """``url, label, html`` of a file of blocks: a line of url and ``['label']``, then the page."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parts = text.select(F.explode(F.split("value", r"(?m)(?=^https?://\S+ \['[^']*'\]$)")).alias("part")).where(F.trim("part") != "")
     head = r"^(https?://\S+) \['([^']*)'\]\n?"
     return parts.select(F.regexp_extract("part", head, 1).alias("url"), F.regexp_extract("part", head, 2).alias("label"), F.regexp_replace("part", head, "").alias("html"))
