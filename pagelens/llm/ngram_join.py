@@ -36,7 +36,7 @@ LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
 #: Tokens of a family that meet in one task.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 8_000_000
 #: Sets of a family above which a token they share is heavy.
 HEAVY = 64
 CHUNK_BYTES = 8 << 20
@@ -253,15 +253,18 @@ def exact(sets: list[np.ndarray], similar: int, side: np.ndarray | None = None)
     n, size = len(sets), np.array([len(x) for x in sets])
     at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
+    tokens = tokens[order]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    fresh[1:] = tokens[1:] != tokens[:-1]
+    del tokens
     start = np.flatnonzero(fresh)
     many = np.diff(np.append(start, len(order)))
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(fresh) - 1
-    owner = np.repeat(np.arange(n), size)
+    group = np.empty(len(order), np.int32)
+    group[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     by_token = owner[order]
+    del order, fresh
     heavy = np.bincount(owner[many[group] > HEAVY], minlength=n)
     root = np.arange(n)
     most = np.arange(n)  # of each component, the set with most heavy tokens
@@ -320,7 +323,7 @@ def exact(sets: list[np.ndarray], similar: int, side: np.ndarray | None = None)
 
 
 def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
-    """``(shard, i, j, family, node, s1, block, text)`` to ``(node, to)`` of every set with links."""
+    """``(shard, i, j, family, whole, node, s1, block, text)`` to ``(node, to, whole)`` of every set with links to lesser ones."""
 
     def run(table: pa.Table) -> pa.Table:
         across = table["i"][0].as_py() != table["j"][0].as_py()
@@ -332,20 +335,21 @@ def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
             keep.append(_signatures(tokens, at)[0] == b.column("s1").to_numpy())  # an id may come with other texts
             sets += [tokens[x:y] for x, y in zip(at[:-1], at[1:])]
         kept = np.concatenate(keep)
-        family, node, block = (table[k].to_numpy() for k in ("family", "node", "block"))
-        left, right = [], []
+        family, node, block, whole = (table[k].to_numpy() for k in ("family", "node", "block", "whole"))
+        left, right, final = [], [], []
         for some in np.split(np.arange(len(family)), np.flatnonzero(np.diff(family)) + 1):
             some = some[kept[some]]
             to = some[exact([sets[i] for i in some], similar, block[some] if across else None)] if len(some) else some
             left.append(node[some[to != some]])
             right.append(node[to[to != some]])
-        return pa.table({"node": np.concatenate(left), "to": np.concatenate(right)})
+            final.append(whole[some[to != some]])
+        return pa.table({"node": np.concatenate(left), "to": np.concatenate(right), "whole": np.concatenate(final)})
 
-    return held.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long")
+    return held.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long, whole boolean")
 
 
 def meetings(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``family, n_blocks, s1, rep``: where each class that has candidates meets them.
+    """``family, whole, n_blocks, s1, rep``: where each class that has candidates meets them, and if all that it can reach is there.
 
     Candidates that hang together are a family. In a family of more than ``BLOCK_TOKENS`` the stars make
     families of their own, and a pair across these meets with the other pairs of its lesser end.
@@ -356,7 +360,7 @@ def meetings(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
         return own.join(own.groupBy(*names).agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), names)
 
     whole = common.checkpointed(sized(common.components(pairs).withColumnRenamed("component", "family"), ["family"]))
-    out = whole.where("n_blocks = 1").select(F.xxhash64(F.lit(0), "family").alias("family"), "n_blocks", "s1", "rep")
+    out = whole.where("n_blocks = 1").select(F.xxhash64(F.lit(0), "family").alias("family"), F.lit(True).alias("whole"), "n_blocks", "s1", "rep")
     large = whole.where("n_blocks > 1").select(F.col("s1").alias("a")).distinct()
     if large.isEmpty():
         return out
@@ -366,13 +370,13 @@ def meetings(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     across = pairs.where("not star").join(near, "a", "left").join(far, "b", "left").where("fa is null or fb is null or fa <> fb")
     across = across.select(F.lit(2).alias("kind"), F.col("a").alias("family"), F.explode(F.array("a", "b")).alias("node")).distinct()
     split = sized(stars.select(F.lit(1).alias("kind"), F.col("component").alias("family"), "node").unionByName(across), ["kind", "family"])
-    return out.unionByName(split.select(F.xxhash64("kind", "family").alias("family"), "n_blocks", "s1", "rep"))
+    return out.unionByName(split.select(F.xxhash64("kind", "family").alias("family"), F.lit(False).alias("whole"), "n_blocks", "s1", "rep"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """``id, n_shingles, component_id, n_equal`` of every row: the least id reachable and how many rows have the same set."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
     survey = common.checkpointed(surveyed(rows, width))
     counts = sketch(survey)
     every = survey.where("part is null").drop("part")
@@ -385,10 +389,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     held = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     held = rows.join(held, rows["id"] == held["rep"]).select(
         F.when(F.col("n_blocks") == 1, F.pmod("family", F.lit(buckets))).otherwise(F.col("family")).alias("shard"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "family", F.col("rep").alias("node"), "s1", "block", "text",
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "family", "whole", F.col("rep").alias("node"), "s1", "block", "text",
     )
     links = common.checkpointed(linked(held, width, similar))
-    parts = common.components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    # nodes are sorted within a family, so the least index is the least id
+    parts = links.where("whole").select("node", F.col("to").alias("component"))
+    parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+    split = links.where("not whole")
+    if not split.isEmpty():
+        parts = parts.unionByName(common.components(split.select(F.col("node").alias("a"), F.col("to").alias("b"))))
     known = kinds.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("component is not null or copies > 1")
     known = known.select("s1", "s2", F.coalesce("component", "rep").alias("component"), "copies")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
