@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -68,6 +69,14 @@ def durable(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the session's shared folder; a temporary one is set only where there is none, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelens-"))
+    return df.checkpoint()
+
+
 def crawl(links: DataFrame, starts: DataFrame, domain_of: Callable[[Column], Column], blacklist: DataFrame, accept: Callable[[DataFrame], DataFrame], levels: int, budget: int) -> DataFrame:
     """``url, level``: breadth first over ``links(url, link)``, one page for each domain not seen before.
 
@@ -75,16 +84,17 @@ def crawl(links: DataFrame, starts: DataFrame, domain_of: Callable[[Column], Col
     """
     frontier = starts.select("url").distinct().withColumn("domain", domain_of(F.col("url"))).join(blacklist, "domain", "left_anti")
     frontier = frontier.groupBy("domain").agg(F.min("url").alias("url")).withColumn("level", F.lit(0))
-    found = accept(frontier).checkpoint()
-    seen, last = frontier.select("domain").checkpoint(), found
+    found = kept(accept(frontier))
+    seen, last = kept(frontier.select("domain")), found
     for level in range(1, levels):
         new = links.join(last.select("url"), "url").select(F.col("link").alias("url")).distinct().withColumn("domain", domain_of(F.col("url")))
         new = new.join(blacklist, "domain", "left_anti").join(seen, "domain", "left_anti")
-        new = new.groupBy("domain").agg(F.min("url").alias("url")).withColumn("level", F.lit(level)).checkpoint()
+        new = new.groupBy("domain").agg(F.min("url").alias("url")).withColumn("level", F.lit(level))
+        new = kept(new)
         if new.isEmpty():
             break
-        last = accept(new).checkpoint()
-        seen, found = seen.unionByName(new.select("domain")).checkpoint(), found.unionByName(last).checkpoint()
+        last = kept(accept(new))
+        seen, found = kept(seen.unionByName(new.select("domain"))), kept(found.unionByName(last))
     return found.orderBy("level", "url").limit(budget).select("url", "level")
 
 
