@@ -57,3 +57,9 @@ def matches(html: Column, needles: dict[str, tuple[str, ...]]) -> Column:
 def tags(html: Column) -> Column:
     """Names of all opening tags in order, outside comments."""
     return F.transform(F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
+
+
+def strip_noise(html: Column) -> Column:
+    """Without comments and without the bodies of scripts that hold no linked data; an open one runs to the end."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?(-->|\Z)", "")
+    return F.regexp_replace(bare, r"(?is)(<script\b(?![^>]*ld\+json)[^>]*>).*?(</script>|\Z)", "$1$2")

@@ -154,3 +154,15 @@ def without_phrases(text: Column, patterns: tuple[str, ...]) -> Column:
     for p in patterns:
         text = F.regexp_replace(text, f"(?iu){p}", " ")
     return F.trim(F.regexp_replace(text, " +", " "))
+
+
+def shape_stats(text: Column) -> Column:
+    """Numbers that say what a text looks like in any script: shares of kinds of characters, word lengths, numbers."""
+    n = F.greatest(F.length(text), F.lit(1))
+    share = lambda pattern: F.round(F.regexp_count(text, F.lit(pattern)) / n, 6)
+    found = words(text, 1)
+    return F.struct(
+        share(r"\p{Lu}").alias("upper"), share(r"\p{Ll}").alias("lower"), share(r"\p{N}").alias("digit"), share(r"\p{P}").alias("punctuation"), share(r"\p{S}").alias("symbol"), share(r"\s").alias("space"),
+        share(r"[^\x00-\x7F]").alias("beyond_ascii"), share("\n").alias("line"), F.regexp_count(text, F.lit(r"[0-9]{4}")).alias("n_years"), F.regexp_count(text, F.lit(r"[0-9]+[.,][0-9]{2}\b")).alias("n_prices"),
+        F.size(F.filter(found, lambda w: F.length(w) >= 10)).alias("n_long"), F.size(F.filter(found, lambda w: F.length(w) <= 2)).alias("n_short"),
+    )

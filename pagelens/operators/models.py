@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import LDA
@@ -111,3 +113,19 @@ def save(model: PipelineModel, thresholds: DataFrame, path: str) -> None:
 
 def load(spark, path: str) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/thresholds")
+
+
+def encoded(df: DataFrame, key: str, windows: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """``key, vector``: an encoder that the caller brings, over each row's text windows, averaged and of unit length."""
+
+    def run(parts):
+        for part in parts:
+            flat = [(k, w) for k, some in zip(part[key], part[windows]) for w in some]
+            vectors: dict = {}
+            for i in range(0, len(flat), batch):
+                for (k, _), v in zip(flat[i : i + batch], encode([w for _, w in flat[i : i + batch]])):
+                    vectors.setdefault(k, []).append(v)
+            means = {k: np.mean(np.asarray(v, float), axis=0) for k, v in vectors.items()}
+            yield pd.DataFrame({key: list(means), "vector": [(m / (np.linalg.norm(m) or 1.0)).tolist() for m in means.values()]})
+
+    return df.select(key, windows).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<double>")

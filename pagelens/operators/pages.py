@@ -177,3 +177,9 @@ def weighted_text(weights: dict[str, int], body: int = 4000) -> Column:
     parts = [F.repeat(F.concat(F.col(k), F.lit(" ")), w) for k, w in weights.items() if k != "headings"]
     headings = F.repeat(F.concat(F.array_join("headings", " "), F.lit(" ")), weights.get("headings", 0))
     return F.trim(F.regexp_replace(F.concat(*parts, headings, F.substring("body", 1, body)), r"\s+", " "))
+
+
+def encoder_text(most: int = 8000) -> Column:
+    """One text of a rendering for an encoder: title, first description, visible text."""
+    first = F.coalesce(*[F.when(F.col(c) != "", F.substring(c, 1, 300)) for c in ("description", "og_description", "keywords")], F.lit(""))
+    return F.substring(F.trim(F.regexp_replace(F.concat_ws(" ", "title", first, "body"), r"\s+", " ")), 1, most)

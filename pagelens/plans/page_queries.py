@@ -140,3 +140,17 @@ def dom_renderings(spark, sf_dir):
 def page_weighted_text(spark, sf_dir):
     made = trees.renderings(read(spark, sf_dir, "pages"))
     return made.select("page_id", trees.weighted_text({"title": 3, "description": 2, "og_title": 2, "og_description": 1, "headings": 2}).alias("text"))
+
+
+@query("page_noise_stripped", rf"SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), '(?is)(<script[^>]*>).*?(</script>|\z)', '\1\2', 'g') AS html FROM pages")
+def page_noise_stripped(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", html.strip_noise(F.col("html")).alias("html"))
+
+
+@query("structural_classifier")
+def structural_classifier(spark, sf_dir):
+    from pagelens.operators import classifier
+
+    found = read(spark, sf_dir, "pages").select("page_id", "html", F.array(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("labels"))
+    model = classifier.StructuralClassifier(classifier.Config(max_features=300, min_label=5)).fit(found.select("page_id", "html"), found.select("page_id", "labels"))
+    return model.predict(found.select("page_id", "html")).select("page_id", "label", F.round("score", 6).alias("score"), "pred")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -122,3 +124,33 @@ def write_label_lines(df: DataFrame, label: str, text: str, path: str) -> None:
     from pagelens.functions import text as t
 
     df.select(F.concat_ws(" ", t.safe_label(F.col(label)), t.normalize(F.col(text))).alias("value")).write.mode("overwrite").text(path)
+
+
+def page_file(spark: SparkSession, path: str) -> DataFrame:
+    """``path, html`` of page files; gzip and zlib are inflated, bytes decoded by their charset."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    packed = F.hex(F.substring("content", 1, 2)).isin("1F8B", "789C", "78DA", "7801")
+    return raw.select("path", codec.decoded_bytes(F.when(packed, codec.inflated(F.base64("content"))).otherwise(F.col("content"))).alias("html"))
+
+
+def flattened_export(df: DataFrame) -> DataFrame:
+    """``url, category, compressed_html`` of a document-store export with ``domain_name`` and a nested ``html``."""
+    packed = F.col("html.compressed_html.`$binary`.base64")
+    return df.select(F.col("domain_name").alias("url"), "category", packed.alias("compressed_html"))
+
+
+def cached(spark: SparkSession, folder: str, parts: dict[str, object], make: Callable[[], DataFrame]) -> DataFrame:
+    """A Parquet cache whose name is a digest of everything that decides its content; made where it is absent."""
+    key = hashlib.md5(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{folder}/{key}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def markdown(report: DataFrame, most: int = 1000) -> str:
+    """A small report as a Markdown table."""
+    rows = report.limit(most).collect()
+    line = lambda cells: "| " + " | ".join(str(c) for c in cells) + " |"
+    return "\n".join([line(report.columns), line(["---"] * len(report.columns)), *[line(r) for r in rows]])

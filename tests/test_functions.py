@@ -173,3 +173,41 @@ def test_models(spark, tmp_path):
     assert again.transform(df).where("y <> prediction").count() == 0 and thr.count() == 1
     best = models.compare(model.transform(df).select("features", F.col("y")), 2)
     assert best[0][1] > 0.9
+
+
+def test_classifier(spark, tmp_path):
+    from pagelens.operators import classifier
+
+    rows = [(i, f"<html><body><{'article' if i % 2 else 'table'}><p class='{'news' if i % 2 else 'shop'}-box'>w{i} text</p></body></html>", ["news"] if i % 2 else ["shop", "sale"]) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, html string, labels array<string>")
+    vectors = df.select("page_id", F.array(F.lit(0.1), F.lit(0.2)).alias("vector"))
+    model = classifier.StructuralClassifier().fit(df.select("page_id", "html"), df.select("page_id", "labels"), vectors)
+    overall, by_label = model.evaluate(df.select("page_id", "html"), df.select("page_id", "labels"), vectors)
+    assert overall.first()["micro_f1"] > 0.95 and by_label.count() == 3
+    assert model.explain(spark, 5).where("label = 'news'").count() == 5
+    model.save(str(tmp_path / "c"))
+    again = classifier.StructuralClassifier.load(str(tmp_path / "c"))
+    key = ["page_id", "label"]
+    a, b = (m.scores(df.select("page_id", "html"), vectors).orderBy(*key).collect() for m in (model, again))
+    assert a == b and classifier.config_score(0.5, 0.4, 0.2) == 0.8
+
+
+def test_io_extras(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>Ž</p>", encoding="utf-8")
+    (tmp_path / "b.html").write_bytes(gzip.compress("<p>gz</p>".encode()))
+    assert {r["html"] for r in io.page_file(spark, str(tmp_path / "*.html")).collect()} == {"<p>Ž</p>", "<p>gz</p>"}
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert io.cached(spark, str(tmp_path / "cache"), {"groups": ("a",), "schema": 1}, make).count() == 3
+    assert len(made) == 1 and io.markdown(spark.range(1)).splitlines() == ["| id |", "| --- |", "| 0 |"]
+    nested = spark.read.json(spark.sparkContext.parallelize(['{"domain_name": "d", "category": "c", "html": {"compressed_html": {"$binary": {"base64": "YQ=="}}}}', '{"domain_name": "e", "category": "c", "html": null}']))
+    assert [tuple(r) for r in io.flattened_export(nested).collect()] == [("d", "c", "YQ=="), ("e", "c", None)]
+    stats = spark.createDataFrame([("Ab 1.50 é!",)], "x string").select(text.shape_stats(F.col("x")).alias("s")).first()["s"]
+    assert stats["n_prices"] == 1 and stats["upper"] == 0.1
+    enc = models.encoded(spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "id int, w array<string>"), "id", "w", lambda texts: [[3.0, 4.0] for _ in texts])
+    assert enc.first()["vector"] == [0.6, 0.8]
