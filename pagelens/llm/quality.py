@@ -85,21 +85,23 @@ def frequencies(texts: list[str]) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, y: np.ndarray, balance: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient steps."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    """Weighted logistic regression by accelerated gradient steps, in single precision as ``x`` is large."""
+    y, balance = y.astype(np.float32), balance.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     pw, pb = w.copy(), b
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), np.float32)
     for _ in range(20):  # power iteration for the step length
         v = x.T @ (balance * (x @ v))
-        v /= np.linalg.norm(v) + 1e-12
-    rate = 1.0 / (0.25 * float((balance * (x @ v) ** 2).sum()) + 0.25 * balance.sum() + l2)
+        v /= np.linalg.norm(v) + np.float32(1e-12)
+    rate = np.float32(1.0 / (0.25 * float((balance * (x @ v) ** 2).sum()) + 0.25 * float(balance.sum()) + l2))
+    l2 = np.float32(l2)
     for i in range(steps):
-        m = i / (i + 3)
+        m = np.float32(i / (i + 3))
         yw, yb = w + m * (w - pw), b + m * (b - pb)
         pw, pb = w, b
         g = balance * (1 / (1 + np.exp(-np.clip(x @ yw + yb, -50, 50))) - y)
         w, b = yw - rate * (x.T @ g + l2 * yw), yb - rate * g.sum()
-    return w, b
+    return w.astype(np.float64), float(b)
 
 
 def fit(texts: list[str], good: np.ndarray, l2: float = 1e-4, steps: int = 300, scale: float = 40.0) -> Model | None:
@@ -107,16 +109,18 @@ def fit(texts: list[str], good: np.ndarray, l2: float = 1e-4, steps: int = 300,
     good = np.asarray(good, float)
     if min(good.sum(), len(good) - good.sum()) < 5:
         return None
-    x = frequencies(texts) * np.float32(scale)
     held = np.arange(len(good)) % 5 == 0
     if min(good[held].sum(), (1 - good[held]).sum()) < 1:
         held[:] = False
-    y, xs = good[~held], x[~held].astype(np.float64)
+    order = np.argsort(held, kind="stable")  # the held-out rows last, so that both parts are views
+    x, good, n = frequencies([texts[i] for i in order]), good[order], int((~held).sum())
+    x *= np.float32(scale)
+    xs, y = x[:n], good[:n]
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, b = _descend(xs, y, balance, l2, steps)
     model = Model((w * scale).reshape(FAMILIES, BUCKETS), b)
     if held.any():
-        z, t = x[held] @ w + b, good[held]
+        z, t = (x[n:] @ w.astype(np.float32)).astype(np.float64) + b, good[n:]
         # Platt's targets keep the slope finite where the held-out rows are separated
         t = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
         slope, shift = 1.0, 0.0
