@@ -133,8 +133,7 @@ def encode(docs: DataFrame, text_col: str = "text", ranks_path: str | None = Non
                 out.append(pa.array([b"".join(map(pieces.__getitem__, x)) for x in each], pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["ids array<int>", *["decoded binary"] * decoded])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, common.schema_with(docs.schema.fields, "ids array<int>" + ", decoded binary" * decoded))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
@@ -150,8 +149,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", ranks_path: str | None = None)
             out = pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["decoded binary"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, common.schema_with(rows.schema.fields, "decoded binary"))
 
 
 def rank_map(ranks: dict[bytes, int], slots: int = 8192) -> Column:

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java and RE2 character class of the contracts' words; its complement is what bytes.split() splits on.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,15 +29,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots and blanks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def packed(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:
     """``df`` with all but the kept columns in one struct, and the expressions that restore it.
 
     Columns that an operator adds can then not clash with the input's own.
     """
     others = [c for c in df.columns if c not in keep]
-    name = "_".join(["rest", *others])[:100]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(True)
-    return df.select(*keep, rest.alias(name)), [F.col(f"`{c}`") if c in keep else F.col(f"`{name}`").getField(c).alias(c) for c in df.columns]
+    rest = F.struct(*[named(c) for c in others]) if others else F.lit(True)
+    return df.select(*keep, rest.alias("rest_")), [named(c) if c in keep else F.col("rest_").getField(c).alias(c) for c in df.columns]
+
+
+def schema_with(fields: list[T.StructField], added: str) -> T.StructType:
+    """The fields, whatever their names, and those of a DDL string."""
+    return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -411,7 +411,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = N
             texts = ["\n".join(block.text for block, g in zip(p, good[x.pages[i] : x.pages[i + 1]]) if g) for i, p in enumerate(found)]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in kept], pa.array(texts, pa.string())], [*[f.name for f in kept], text_col])
 
-    return pages.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{text_col}` string"]))
+    return pages.mapInArrow(run, common.schema_with(kept, f"`{text_col}` string"))
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

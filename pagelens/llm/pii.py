@@ -314,7 +314,7 @@ def detect(docs: DataFrame, text_col: str = "text", model: Crf | None = None) ->
                 spans[i] = [dict(zip(("kind", "start", "end", "base"), s)) for s in x]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], [*b.schema.names, "spans"])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"spans {SPANS}"]))
+    return docs.mapInArrow(run, common.schema_with(docs.schema.fields, f"spans {SPANS}"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,8 +204,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_at:
             new += [pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_at))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [SCHEMA])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, common.schema_with(docs.schema.fields, SCHEMA))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

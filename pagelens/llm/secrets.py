@@ -157,8 +157,8 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     )
     found = findings.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     names = docs.columns
-    keyed = docs.select(*names, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
-    return keyed.join(found, "blob", "left").select(*[F.when(F.size("findings") > 0, merged).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names])
+    keyed = docs.select("*", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
+    return keyed.join(found, "blob", "left").select(*[F.when(F.size("findings") > 0, merged).otherwise(F.col(text_col)).alias(text_col) if c == text_col else common.named(c) for c in names])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

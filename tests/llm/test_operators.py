@@ -390,7 +390,7 @@ def test_quality_without_labels(spark, docs):
 
 
 def test_clashing_columns(docs):
-    wide = docs.withColumn("kept", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("n_words", F.lit(3))
+    wide = docs.withColumn("a b.c`", F.array(F.lit(1))).withColumn("kept", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("n_words", F.lit(3))
     rest, unpack = common.packed(wide, "doc_id", "text")
     assert rest.select(unpack).columns == wide.columns and quality.score(rest, None).count() == docs.count()
     with pytest.raises(ValueError):
@@ -410,3 +410,12 @@ def test_pipeline(spark, sf_dir):
             assert n == before
         before = n
     assert docs.columns[0] == "doc_id" and before > 0
+
+
+def test_stages_keep_odd_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = common.read(spark, sf_dir, "documents").withColumn("a b.c`", F.array(F.lit(1))).withColumn("findings", F.lit("x")).withColumn("m_size", F.lit(2)).withColumn("kept", F.lit(3))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
