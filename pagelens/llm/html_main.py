@@ -324,6 +324,8 @@ def synthetic_pages(n: int = 1200, seed: int = 11) -> Iterator[tuple[str, str]]:
                 body += f"<p>{mark}{text}</p>"
             if rng.random() < 0.08:
                 body += boilerplate()
+        if rng.random() < 0.35:  # comments, shares and adverts often end an article from within
+            body += boilerplate()
         open_, close = rng.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div{attribute(['content', 'article', 'post', 'entry', 'story', 'text', 'body', 'main'])}>", "</div>"), (f"<div{attribute(['content', 'article', 'post', 'entry', 'story', 'text', 'body'])}>", "</div>"), (f"<section{attribute(['content', 'article', 'post', 'entry'])}>", "</section>"), (f'<article class="{rng.choice(["post", "entry", "story", word()])}">', "</article>"), ("<div>", "</div>")])
         before = "".join(boilerplate() for _ in range(rng.randint(0, 4)))
         after = "".join(boilerplate() for _ in range(rng.randint(0, 4)))
