@@ -49,6 +49,7 @@ EXTRA = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 1),
 )
 RULES = BASE + EXTRA
+SALTS = 16
 FINDINGS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -83,7 +84,7 @@ def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def distinct_blobs(versions: DataFrame) -> DataFrame:
-    """One row for each blob: its least path and its text, found by ids before any text moves."""
+    """One row for each blob; each map task reduces its own copies before any text is shuffled."""
     return versions.select("blob", "text").dropDuplicates(["blob"])
 
 
@@ -122,10 +123,17 @@ def incremental(docs: DataFrame, ledger: DataFrame | None = None, findings: Data
     every = fresh if findings is None else fresh.unionByName(findings)
     if findings is not None or len(work) > 1:
         every = every.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    paths = versions.drop("text").join(every, "blob", "left")
+    paths = with_findings(versions.drop("text"), every, F.col("path"))
     return paths.select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), seen, fresh
 
 
+def with_findings(rows: DataFrame, found: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` with the findings of their blob. A blob that many rows carry is dealt over ``SALTS`` tasks;
+    its findings, one short row, are repeated for each."""
+    salted = found.select("blob", "findings", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, ["blob", "salt_"], "left").drop("salt_")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _, _ = incremental(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in BASE]
@@ -158,7 +166,7 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     found = findings.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     names = docs.columns
     keyed = docs.select("*", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
-    return keyed.join(found, "blob", "left").select(*[F.when(F.size("findings") > 0, merged).otherwise(F.col(text_col)).alias(text_col) if c == text_col else common.named(c) for c in names])
+    return with_findings(keyed, found, F.col(id_col)).select(*[F.when(F.size("findings") > 0, merged).otherwise(F.col(text_col)).alias(text_col) if c == text_col else common.named(c) for c in names])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
