@@ -167,7 +167,7 @@ def measure(data: np.ndarray, at: np.ndarray, words: common.Words) -> dict[str,
     cut = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], cut + 1]))
     begin = begin[begin < len(data)]
-    end = np.append(begin[1:], len(data))
+    end = np.append(begin[1:], len(data))[: len(begin)]
     end = end - ((end > begin) & (data[np.maximum(end, 1) - 1] == 10))
     with_word = np.concatenate([[0], np.cumsum(words.inside)])
     full = with_word[end] > with_word[begin]

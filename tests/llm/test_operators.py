@@ -412,6 +412,19 @@ def test_pipeline(spark, sf_dir):
     assert docs.columns[0] == "doc_id" and before > 0
 
 
+@pytest.mark.parametrize("text", [None, "", " \n"])
+def test_nothing_but(spark, text):
+    df = spark.createDataFrame([(i if i else None, text, None) for i in range(4)], "doc_id long, text string, source string")
+    assert [(r["n_words"], r["kept"]) for r in quality.score(df, None).collect()] == [(0, False)] * 4
+    assert {r["n_shingles"] for r in ngram_join.classes(df).collect()} == {0}
+    for dedup in (automaton.deduplicate, suffix_levels.deduplicate):
+        assert {r["n_removed"] for r in dedup(df).collect()} == {0}
+    assert {r["taken"] for r in mixing.mix(df).collect()} == {0}
+    assert all(r["spans"] == [] for r in pii.detect(df).collect())
+    assert all(r["findings"] == [] for r in secrets.incremental(df)[0].collect())
+    assert b"".join(bytes(r["decoded"]) for r in bpe.encode(df, decoded=True).collect()).decode() == (text or "") * 4
+
+
 def test_stages_keep_odd_columns(spark, sf_dir):
     import corpus_pipeline
 
