@@ -294,11 +294,15 @@ def found(texts: list[str], model: Crf) -> list[list[tuple[str, int, int, bool]]
     return [sorted(x, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) for x in out]
 
 
-def detect(docs: DataFrame, text_col: str = "text", model: Crf | None = None) -> DataFrame:
-    """``docs`` with ``spans``: an array of kind, start, end and whether a fixed pattern found it."""
+def detect(docs: DataFrame, text_col: str = "text", model: Crf | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``spans``: an array of kind, start, end and whether a fixed pattern found it.
+
+    Without ``keep_text`` the text column is left out, so that texts don't travel back from Python.
+    """
     if "spans" in docs.columns:
         raise ValueError("the input already has spans")
     shared = docs.sparkSession.sparkContext.broadcast(model or fit())
+    fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     mark = np.zeros(256, np.int64)
     mark[[*range(48, 58), 64]] = 1
 
@@ -312,13 +316,13 @@ def detect(docs: DataFrame, text_col: str = "text", model: Crf | None = None) ->
             texts = column.take(pa.array(rows)).to_pylist()
             for i, x in zip(rows, found(texts, shared.value), strict=True):
                 spans[i] = [dict(zip(("kind", "start", "end", "base"), s)) for s in x]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], [*b.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in fields], pa.array(spans, kind)], [*[f.name for f in fields], "spans"])
 
-    return docs.mapInArrow(run, common.schema_with(docs.schema.fields, f"spans {SPANS}"))
+    return docs.mapInArrow(run, common.schema_with(fields, f"spans {SPANS}"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = detect(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = detect(common.read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
     def shown(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
