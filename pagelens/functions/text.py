@@ -110,9 +110,9 @@ def json_answer(reply: Column) -> Column:
 
 def keyword_share(text: Column, keywords: tuple[str, ...], of_keywords: bool = True) -> Column:
     """Percent of hits: of the number of keywords, or of the text's words (0 without words)."""
-    found = words(text, 1)
-    hits = F.size(F.filter(found, lambda x: x.isin(*keywords)))
-    return F.lit(100.0) * hits / (F.lit(len(keywords)) if of_keywords else F.greatest(F.size(found), F.lit(1)))
+    size = F.lit(len(keywords)) if of_keywords else F.greatest(F.regexp_count(text, F.lit(r"\p{L}+")), F.lit(1))
+    hits = F.size(F.filter(words(text, 1), lambda x: x.isin(*keywords)))
+    return F.lit(100.0) * hits / size
 
 
 def word_stats(text: Column) -> Column:
@@ -123,15 +123,11 @@ def word_stats(text: Column) -> Column:
 
 
 def language_vote(text: Column) -> Column:
-    """The language whose frequent words occur most, ties by name; null without any."""
-    found = words(text, 1)
-    votes = F.array(*[F.struct(F.size(F.filter(found, _is_in(w))).alias("n"), F.lit(lang).alias("lang")) for lang, w in sorted(FREQUENT.items(), reverse=True)])
-    best = F.array_max(votes)
-    return F.when(best["n"] > 0, best["lang"])
-
-
-def _is_in(words: tuple[str, ...]):
-    return lambda x: x.isin(*words)
+    """The language whose frequent words occur most, ties by name; null without any. One pass over the words."""
+    langs = sorted(FREQUENT, reverse=True)
+    start = F.struct(*[F.lit(0).alias(x) for x in langs])
+    counts = F.aggregate(words(text, 1), start, lambda acc, w: F.struct(*[(acc[x] + w.isin(*FREQUENT[x]).cast("int")).alias(x) for x in langs]), lambda acc: F.array_max(F.array(*[F.struct(acc[x].alias("n"), F.lit(x).alias("lang")) for x in langs])))
+    return F.when(counts["n"] > 0, counts["lang"])
 
 
 def letter_share(text: Column, letters: str) -> Column:
