@@ -37,7 +37,7 @@ class Rule:
 
 
 BASE = (
-    Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, group=1, hint=r"(?i:passw|secret|token|api_?key)[\"']?\x20*[:=]"),
+    Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, group=1, hint=r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
     # the next two match maximal runs, so a least length in the pattern drops just the runs that fail
     Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),

@@ -318,6 +318,15 @@ def test_secrets_base_is_the_patterns(spark, texts):
         assert got.get(i, []) == [(a, k, b) for a, _, k, b in sorted(want)]
 
 
+@pytest.mark.parametrize("text,want", [("password = hunter22", [("assign", 0, 19)]), ("my passwd: abcdef1 x", [("assign", 3, 18)]), ("PassWord\"='s3cr.t-9", [("assign", 0, 19)]), ("PASSWD:abcdefg", [("assign", 0, 14)]), ("password=short password", [])])
+def test_secrets_password_alone(spark, text, want):
+    """A text whose only secret is a password; the rule's cheap test must not skip it."""
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(f["kind"], f["start"], f["end"]) for f in secrets.incremental(docs)[0].first()["findings"]] == want
+    masked = secrets.without_secrets(spark, docs, "").first()["text"]
+    assert masked == (text[: want[0][1]] + "[SECRET]" + text[want[0][2] :] if want else text)
+
+
 # op9
 
 
