@@ -112,7 +112,9 @@ def ovr_logreg_scores(spark, sf_dir):
 
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
-    return models.embedding_one_vs_rest(read(spark, sf_dir, "embeddings"), kind="gbt", classes=[0, 1])
+    e = read(spark, sf_dir, "embeddings")
+    found = sorted(r["label"] for r in e.where("label is not null").select("label").distinct().collect())
+    return models.embedding_one_vs_rest(e, kind="gbt", classes=found or range(10))
 
 
 @query("svd_embedding_block")

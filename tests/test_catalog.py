@@ -39,3 +39,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_gbt_scores_all_labels(spark, tmp_path):
+    rows = [(i, [float(i % 3), float(i % 3 == 1), 0.1 * (i % 7)], [0, 4, 12][i % 3]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["gbt_scores"](spark, str(tmp_path)).collect()
+    assert sorted((r["vec_id"], r["label"]) for r in got) == sorted((i, c) for i in range(60) for c in ("0", "4", "12"))
+    assert all((r["score"] > 0.5) == (rows[r["vec_id"]][2] == int(r["label"])) for r in got)
