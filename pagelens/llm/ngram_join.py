@@ -398,6 +398,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     split = links.where("not whole")
     if not split.isEmpty():
         parts = parts.unionByName(common.components(split.select(F.col("node").alias("a"), F.col("to").alias("b"))))
+    # a row that is repeated is linked as often, and an id with several texts may be in several components
+    parts = common.checkpointed(parts.distinct())
+    if not parts.groupBy("node").count().where("count > 1").isEmpty():
+        parts = common.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
     known = kinds.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("component is not null or copies > 1")
     known = known.select("s1", "s2", F.coalesce("component", "rep").alias("component"), "copies")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

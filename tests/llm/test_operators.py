@@ -215,6 +215,14 @@ def brute_bytes(rows, w):
     return out
 
 
+def test_ngram_join_repeated_row(spark):
+    """A row that is repeated, or an id with several texts, inside a near-duplicate family: one row for each row."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (7, a + " more"), (7, a + " more"), (8, a + " else"), (20, b), (30, b + " more"), (30, a + " last"), (40, "none like it")]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_equal"]) for r in got) == [(1, 1, 1), (7, 1, 2), (7, 1, 2), (8, 1, 1), (20, 1, 1), (30, 1, 1), (30, 1, 1), (40, 40, 1)]
+
+
 @pytest.mark.parametrize("hot", [8192, 6])
 def test_repeats_brute(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
