@@ -3,20 +3,25 @@
 A document is a sequence of units (words or bytes). Windows of ``window`` units that occur elsewhere
 are to be found. The routing never decides a match; it brings together what may match:
 
-1. From each window its least ``gram``-unit hash is an anchor (winnowing): equal windows have equal
-   anchors. Anchors are counted over all documents, packed by hash bucket, and each document gets back
-   those of its anchors that repeat, with the least document that has them, their owner.
+1. Texts are dealt into chunks once. From each window its least ``gram``-unit hash is an anchor
+   (winnowing): equal windows have equal anchors. A chunk reduces its anchors to one message a key (which
+   document of the chunk has it first, where, how often), so a key that every document has costs one
+   message a chunk. Counted by hash bucket, the keys that repeat come back to the chunks that have them,
+   with their owner: the first document, and the stretch of it, that holds the key.
 2. A window whose anchor repeats is a candidate. Runs of candidates with one owner are sent, as
-   text, to the owner's shard. Anchors of more than ``HOT`` documents are hot: their windows are first
-   reduced to one copy in each chunk, then dealt out by their own content, so a passage that a third
-   of all documents share is spread over all shards.
-3. A shard hands its pieces, in order of document and place, to the ``match`` it was given (suffix
+   text, to the owner's shard. A key that ``HOT`` or more places have is no longer sent to its owner but
+   dealt by itself, so a passage that a third of all documents share is spread over all shards. Thus a
+   group holds what at most ``HOT`` places share with one stretch of ``STRETCH`` units, or with one key.
+3. Before it sends, a chunk compares its runs by their bytes: of equal runs the first is sent, the others
+   are settled there, as equal runs are covered whatever the matcher says of the first. This is a
+   pre-aggregation at every size; what a chunk sends once is what the matcher reads.
+4. A shard hands its pieces, in order of document and place, to the ``match`` it was given (suffix
    automata or suffix arrays), which alone decides what was there before.
-4. The spans go back to their documents.
+5. The spans go back to their chunks.
 
-Every exchange is keyed by a hash of the document, the owner or the content, and moves packed arrays;
-groups have a bounded size, as the number of chunks follows the bytes of the input. Texts are shuffled
-twice. Nothing is broadcast or collected.
+Every exchange is keyed by a hash of the document, the owner or the key, and moves packed arrays; the
+number of chunks follows the bytes of the input. Texts are shuffled once and read three times from that
+exchange. Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -32,9 +37,13 @@ from pyspark.sql import functions as F
 from pagelens.llm import common
 
 CHUNK_BYTES = 8 << 20
-HOT = 8192
+#: Places from which on a key is dealt by itself; counts of a chunk are saturated at 255.
+HOT = 255
+#: Units of an owner's text that share a group.
+STRETCH = 1 << 14
 BLOCK = 1 << 20
 NO_ID = -(1 << 63)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -70,11 +79,9 @@ class Sequence:
         if spec.words:
             self.words = common.Words(self.data, self.at, self.sums)
             self.first, self.row_of_unit = self.words.first, self.words.row
-            self.unit_sums = common.prefix(self.words.hash)
             self.start, self.hash = self.words.windows(spec.gram)
         else:
             self.first, self.row_of_unit = self.at, np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-            self.unit_sums = self.sums
             n = len(self.data) - spec.gram + 1
             self.start = np.flatnonzero(self.row_of_unit[:n] == self.row_of_unit[spec.gram - 1 :]) if n > 0 else np.zeros(0, np.int64)
             self.hash = common.span_hash(self.sums, self.start, self.start + spec.gram)
@@ -95,17 +102,6 @@ class Sequence:
         return self.data[a:b].tobytes()
 
 
-def _packed(batch_ids: np.ndarray, chunk: np.ndarray, row: np.ndarray, hashes: np.ndarray, buckets: int):
-    """For each bucket: documents, their chunks, how many keys each has there, and the keys."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((row, bucket))
-    bucket, row, keys = bucket[order], row[order], (hashes[order] >> np.uint64(32)).astype(np.uint32)
-    for b in np.unique(bucket):
-        lo, hi = np.searchsorted(bucket, [b, b + 1])
-        rows, counts = np.unique(row[lo:hi], return_counts=True)
-        yield int(b), batch_ids[rows].tobytes(), chunk[rows].astype(np.int32).tobytes(), counts.astype(np.uint32).tobytes(), keys[lo:hi].tobytes()
-
-
 def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
@@ -114,88 +110,129 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of equal keys starts, and the run of each element; ``keys`` are sorted."""
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[1:] != keys[:-1]
-    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+def _starts(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(fresh)
+    return begin, np.append(begin[1:], len(fresh))
+
+
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def _merged(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each id, those that meet made one."""
+    order = np.lexsort((begin, ids))
+    ids, begin, end = ids[order], begin[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(ids):
+        return ids, begin, end
+    number = np.cumsum(_fresh(ids)).astype(np.int64) << 40
+    far = np.maximum.accumulate(number + end)
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (number + begin)[1:] > far[:-1]
+    a, b = _starts(fresh)
+    return ids[a], begin[a], far[b - 1] - number[a]
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """``(id, text, chunk)`` and the number of chunks, which follows the bytes of all texts."""
+    """``(id, row, text, chunk)`` and the number of chunks, which follows the bytes of all texts.
+
+    ``row`` is a hash of id and text: rows that repeat both have the same answer.
+    """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-total // CHUNK_BYTES))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("chunk")), n
+    key, text = F.col(id_col).cast("long"), F.col(text_col)
+    row = F.xxhash64(key, text)
+    return docs.select(key.alias("id"), row.alias("row"), text.alias("text"), F.pmod(row, F.lit(n)).cast("int").alias("chunk")), n
 
 
-def repeated_anchors(docs: DataFrame, n: int, spec: Spec) -> DataFrame:
-    """``(chunk, ids, keys, owners, hot)``: packed, for each chunk the anchors of its documents that repeat."""
+def _blocks(table: pa.Table):
+    return common.blocks(iter(table.combine_chunks().to_batches()), "text", BLOCK)
 
-    def emit(batches):
-        for b in common.blocks(batches, "text", BLOCK):
+
+def repeated_anchors(docs: DataFrame, n: int, spec: Spec) -> DataFrame:
+    """``(chunk, bucket, keys, owners, stretches, hot)``: packed, for each chunk its keys that repeat anywhere."""
+    message = "chunk int, bucket int, keys binary, docs binary, stretches binary, counts binary"
+
+    def emit(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        known = np.unique(_ids(table["id"].combine_chunks()))
+        parts = []
+        for b in _blocks(table):
             s = Sequence(b.column("text"), spec)
-            rows = list(_packed(_ids(b.column("id")), b.column("chunk").to_numpy(), s.row[s.anchors], s.hash[s.anchors], n))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]], ["bucket", "ids", "chunks", "counts", "keys"])
+            row = s.row[s.anchors]
+            parts.append((s.hash[s.anchors], np.searchsorted(known, _ids(b.column("id")))[row], s.start[s.anchors] - s.first[row]))
+        key, doc, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.lexsort((place, doc, key))
+        key, doc, place = key[order], doc[order], place[order]
+        # rows with one id are one document: equal places of equal text count once
+        counted = _fresh(key, doc, place) if spec.same_doc else _fresh(key, doc)
+        begin, _ = _starts(_fresh(key))
+        count = np.minimum(np.add.reduceat(counted.astype(np.int64), begin), 255) if len(begin) else begin
+        key, doc, stretch = key[begin], doc[begin].astype(np.uint16), (place[begin] // STRETCH).astype(np.uint8)
+        bucket = (key % np.uint64(n)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, short = bucket[order], (key[order] >> np.uint64(32)).astype(np.uint32)
+        packed = (short, doc[order], stretch[order], count[order].astype(np.uint8))
+        a, z = _starts(_fresh(bucket)) if len(bucket) else (bucket, bucket)
+        cut = [pa.array([x[i:j].tobytes() for i, j in zip(a, z)], pa.binary()) for x in packed]
+        return pa.table([pa.array([chunk] * len(a), pa.int32()), pa.array(bucket[a], pa.int32()), *cut], ["chunk", "bucket", "keys", "docs", "stretches", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        counts = _joined(table["counts"], np.uint32)
-        ids, chunks = np.repeat(_joined(table["ids"], np.int64), counts), np.repeat(_joined(table["chunks"], np.int32), counts)
-        keys = _joined(table["keys"], np.uint32)
-        order = np.lexsort((ids, keys))
-        ids, chunks, keys = ids[order], chunks[order], keys[order]
-        start, group = _grouped(keys)
-        size = np.diff(np.append(start, len(keys)))
-        fresh = np.ones(len(keys), np.int64)
-        fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
-        distinct = np.add.reduceat(fresh, start) if len(start) else start
-        again = ((size > 1) if spec.same_doc else (distinct > 1))[group]
-        keep = again & (fresh > 0)
-        owner, hot = ids[start][group][keep], (distinct > HOT)[group][keep]
-        ids, chunks, keys = ids[keep], chunks[keep], keys[keep]
-        order = np.argsort(chunks, kind="stable")
-        ids, chunks, keys, owner, hot = (x[order] for x in (ids, chunks, keys, owner, hot))
-        start, _ = _grouped(chunks)
-        cut = list(zip(start, np.append(start[1:], len(chunks)))) if len(chunks) else []
-        bucket = np.uint32(table["bucket"][0].as_py())
-        return pa.table({
-            "chunk": pa.array([int(chunks[a]) for a, _ in cut], pa.int32()),
-            "bucket": pa.array([int(bucket)] * len(cut), pa.int32()),
-            "ids": pa.array([ids[a:b].tobytes() for a, b in cut], pa.binary()),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()),
-            "owners": pa.array([owner[a:b].tobytes() for a, b in cut], pa.binary()),
-            "hot": pa.array([hot[a:b].tobytes() for a, b in cut], pa.binary()),
-        })
-
-    sent = docs.mapInArrow(emit, "bucket int, ids binary, chunks binary, counts binary, keys binary")
-    return sent.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, ids binary, keys binary, owners binary, hot binary")
+        sizes = [len(x) // 4 for x in table["keys"].to_pylist()]
+        chunk = np.repeat(table["chunk"].to_numpy(), sizes).astype(np.uint32)
+        key, doc, stretch, n_places = (_joined(table[k], t) for k, t in (("keys", np.uint32), ("docs", np.uint16), ("stretches", np.uint8), ("counts", np.uint8)))
+        order = np.lexsort((chunk, key))
+        key, chunk, doc, stretch, n_places = (x[order] for x in (key, chunk, doc, stretch, n_places))
+        fresh = _fresh(key)
+        begin, _ = _starts(fresh)
+        total = np.add.reduceat(n_places.astype(np.int64), begin) if len(begin) else begin
+        group = np.cumsum(fresh) - 1
+        keep = (total > 1)[group]
+        owner = ((chunk[begin].astype(np.uint64) << np.uint64(16)) | doc[begin].astype(np.uint64))[group][keep]
+        stretch, hot = stretch[begin][group][keep], (total >= HOT)[group][keep].astype(np.uint8)
+        chunk, key = chunk[keep], key[keep]
+        order = np.argsort(chunk, kind="stable")
+        chunk = chunk[order]
+        a, z = _starts(_fresh(chunk)) if len(chunk) else (chunk, chunk)
+        cut = [pa.array([x[i:j].tobytes() for i, j in zip(a, z)], pa.binary()) for x in (key[order], owner[order], stretch[order], hot[order])]
+        bucket = table["bucket"][0].as_py()
+        return pa.table([pa.array(chunk[a].astype(np.int32)), pa.array([bucket] * len(a), pa.int32()), *cut], ["chunk", "bucket", "keys", "owners", "stretches", "hot"])
+
+    sent = docs.groupBy("chunk").applyInArrow(emit, message)
+    return sent.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, keys binary, owners binary, stretches binary, hot binary")
+
+
+def _tags(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return common.mix((key.astype(np.uint64) << np.uint64(24)) ^ bucket.astype(np.uint64) * _ODD)
 
 
 def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame:
-    """``(shard, group_, id, chunk, start, stop, content)``: candidate runs; without content, what is known to repeat."""
-    schema = "shard int, group_ long, id long, chunk int, start int, stop int, content binary"
+    """``(shard, group_, id, row, chunk, start, stop, content)``: candidate runs; without content, what is known to repeat."""
+    schema = "shard int, group_ long, id long, row long, chunk int, start int, stop int, content binary"
+    shards = 2 * n
 
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if docs.num_rows and replies.num_rows:
             sizes = [len(x) // 4 for x in replies["keys"].to_pylist()]
-            r_bucket = np.repeat(replies["bucket"].to_numpy(), sizes).astype(np.uint64)
-            r_id, r_key = _joined(replies["ids"], np.int64), _joined(replies["keys"], np.uint32).astype(np.uint64)
-            r_owner, r_hot = _joined(replies["owners"], np.int64), _joined(replies["hot"], bool)
-            tag = common.mix((r_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ common.mix(r_key << np.uint64(20) ^ r_bucket))
+            bucket = np.repeat(replies["bucket"].to_numpy(), sizes)
+            key, owner, stretch, hot = (_joined(replies[k], t) for k, t in (("keys", np.uint32), ("owners", np.uint64), ("stretches", np.uint8), ("hot", np.uint8)))
+            tag = _tags(key, bucket)
+            group = common.mix(np.where(hot > 0, tag, owner * _ODD + stretch))
             order = np.argsort(tag)
-            tag, r_owner, r_hot = tag[order], r_owner[order], r_hot[order]
+            tag, group = tag[order], group[order]
             chunk = int(docs["chunk"][0].as_py())
-            hot_hash, hot_id, hot_at, hot_text = [], [], [], []
             runs: list[tuple] = []
-            sent: set[bytes] = set()
-            for b in common.blocks(iter(docs.combine_chunks().to_batches()), "text", BLOCK):
-                s, ids = Sequence(b.column("text"), spec), _ids(b.column("id"))
+            for b in _blocks(docs):
+                s, ids, own = Sequence(b.column("text"), spec), _ids(b.column("id")), b.column("row").to_numpy()
                 if not len(s.anchors):
                     continue
                 h = s.hash[s.anchors]
-                mine = common.mix((ids[s.row[s.anchors]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ common.mix((h >> np.uint64(32)) << np.uint64(20) ^ (h % np.uint64(n))))
+                mine = _tags((h >> np.uint64(32)).astype(np.uint32), (h % np.uint64(n)))
                 at = np.minimum(np.searchsorted(tag, mine), len(tag) - 1)
                 known = tag[at] == mine
                 # the anchor of a window: the first whose hash is the window's least
@@ -212,92 +249,71 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
                 spots, i = spots[known[i]], i[known[i]]
                 if not len(spots):
                     continue
-                owner, hot, row, unit = r_owner[at[i]], r_hot[at[i]], s.row[spots], s.start[spots]
-                if hot.any():
-                    u = unit[hot]
-                    hot_hash.append(common.span_hash(s.unit_sums, u, u + spec.window))
-                    hot_id.append(ids[row[hot]])
-                    hot_at.append(u - s.first[row[hot]])
-                    hot_text.extend(s.content(x, x + spec.window) for x in u) if spec.words else hot_text.append(s.data[u[:, None] + np.arange(spec.window)])
-                unit, owner, row = unit[~hot], owner[~hot], row[~hot]
-                if len(unit):
-                    new = np.ones(len(unit), bool)
-                    new[1:] = (unit[1:] != unit[:-1] + 1) | (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
-                    begin = np.flatnonzero(new)
-                    shard = (common.mix(owner[begin].astype(np.uint64)) % np.uint64(2 * n)).astype(np.int64)
-                    for x, y, to in zip(begin, np.append(begin[1:], len(unit)), shard):
-                        r, end = row[x], unit[y - 1] + spec.window
-                        runs.append((int(to), int(owner[x]), int(ids[r]), chunk, int(unit[x] - s.first[r]), int(end - s.first[r]), s.content(unit[x], end)))
+                to, row, unit = group[at[i]], s.row[spots], s.start[spots]
+                new = np.ones(len(unit), bool)
+                new[1:] = (unit[1:] != unit[:-1] + 1) | (to[1:] != to[:-1]) | (row[1:] != row[:-1])
+                a, z = _starts(new)
+                end = unit[z - 1] + spec.window
+                origin = s.first[row[a]]
+                each = (ids[row[a]], own[row[a]], unit[a] - origin, end - origin, to[a].view(np.int64), unit[a], end)
+                for i, r, p, q, g, x, y in zip(*(c.tolist() for c in each)):
+                    runs.append((i, r, p, q, g, s.content(x, y)))
             # of equal runs the first is sent, and with it, where places within a document don't count, its document's others
-            first: dict[bytes, int] = {}
-            for run in sorted(runs, key=lambda r: (r[2], r[4])):
-                sender = first.setdefault(run[6], run[2])
-                fresh = sender == run[2] and not (spec.same_doc and run[6] in sent)
-                sent.add(run[6])
-                out.append(run if fresh else (*run[:6], None))
-            if hot_hash:
-                hashes, ids, at = np.concatenate(hot_hash), np.concatenate(hot_id), np.concatenate(hot_at)
-                texts = hot_text if spec.words else np.concatenate(hot_text)
-                order = np.lexsort((at, ids, hashes))
-                start, group = _grouped(hashes[order])
-                first = order[start][group]
-                send = ids[order] == ids[first] if not spec.same_doc else order == first
-                for j in order[send]:
-                    content = texts[j] if spec.words else texts[j].tobytes()
-                    out.append((int(hashes[j] % np.uint64(2 * n)), int(hashes[j].astype(np.int64)), int(ids[j]), chunk, int(at[j]), int(at[j]) + spec.window, content))
-                rest = order[~send]
-                rest = rest[np.lexsort((at[rest], ids[rest]))]
-                new = np.ones(len(rest), bool)
-                new[1:] = (ids[rest][1:] != ids[rest][:-1]) | (at[rest][1:] > at[rest][:-1] + spec.window)
-                begin = np.flatnonzero(new)
-                for x, y in zip(begin, np.append(begin[1:], len(rest))) if len(rest) else ():
-                    out.append((chunk % n, 0, int(ids[rest[x]]), chunk, int(at[rest[x]]), int(at[rest[y - 1]]) + spec.window, None))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "group_", "id", "chunk", "start", "stop", "content"])
+            runs.sort(key=lambda r: r[:4])
+            first: dict[bytes, tuple] = {}
+            settled: list[tuple] = []
+            for run in runs:
+                i, r, p, q, g, content = run
+                sender = first.setdefault(content, run)
+                if sender is run or (sender[0] == i and sender[:3] != run[:3] and not spec.same_doc):
+                    out.append(((g & 0xFFFFFFFFFFFFFFFF) % shards, g, i, r, chunk, p, q, content))
+                elif sender[:3] != run[:3]:  # the same place of a row that is repeated has the same answer
+                    settled.append((r, p, q))
+            if settled:
+                where = int(common.mix(np.array([chunk], np.uint64))[0]) % shards
+                out += [(where, 0, 0, r, chunk, p, q, None) for r, p, q in zip(*(x.tolist() for x in _merged(*(np.array(x, np.int64) for x in zip(*settled)))))]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "group_", "id", "row", "chunk", "start", "stop", "content"])
 
     return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def matched(found: DataFrame, match: Match, spec: Spec) -> DataFrame:
-    """``(chunk, ids, starts, stops)``: packed, the spans of units that were there before."""
+    """``(chunk, rows, starts, stops)``: packed, the spans of units that were there before."""
 
     def run(table: pa.Table) -> pa.Table:
         known = table.filter(pa.compute.is_null(table["content"]))
-        table = table.filter(pa.compute.is_valid(table["content"])).sort_by([("id", "ascending"), ("start", "ascending")])
-        ids, chunk, start = table["id"].to_numpy(), table["chunk"].to_numpy(), table["start"].to_numpy()
-        which, begin, end = match(ids, start, table["content"].to_pylist(), table["group_"].to_numpy(), spec) if len(ids) else (np.zeros(0, np.int64),) * 3
-        ids = np.concatenate([ids[which], known["id"].to_numpy()])
+        table = table.filter(pa.compute.is_valid(table["content"])).sort_by([("id", "ascending"), ("row", "ascending"), ("start", "ascending")])
+        start = table["start"].to_numpy()
+        which, begin, end = match(table["id"].to_numpy(), start, table["content"].to_pylist(), table["group_"].to_numpy(), spec) if len(start) else (np.zeros(0, np.int64),) * 3
+        rows = np.concatenate([table["row"].to_numpy()[which], known["row"].to_numpy()])
         begin, end = np.concatenate([start[which] + begin, known["start"].to_numpy()]), np.concatenate([start[which] + end, known["stop"].to_numpy()])
-        chunk = np.concatenate([chunk[which], known["chunk"].to_numpy()])
+        chunk = np.concatenate([table["chunk"].to_numpy()[which], known["chunk"].to_numpy()])
         order = np.argsort(chunk, kind="stable")
-        ids, begin, end, chunk = (x[order] for x in (ids.astype(np.int64), begin.astype(np.int32), end.astype(np.int32), chunk))
-        first, _ = _grouped(chunk)
-        cut = list(zip(first, np.append(first[1:], len(chunk)))) if len(chunk) else []
-        return pa.table({"chunk": pa.array([int(chunk[a]) for a, _ in cut], pa.int32()), **{k: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for k, x in (("ids", ids), ("starts", begin), ("stops", end))}})
+        rows, begin, end, chunk = (x[order] for x in (rows.astype(np.int64), begin.astype(np.int32), end.astype(np.int32), chunk))
+        a, z = _starts(_fresh(chunk)) if len(chunk) else (chunk, chunk)
+        return pa.table({"chunk": pa.array(chunk[a], pa.int32()), **{k: pa.array([x[i:j].tobytes() for i, j in zip(a, z)], pa.binary()) for k, x in (("rows", rows), ("starts", begin), ("stops", end))}})
 
-    return found.groupBy("shard").applyInArrow(run, "chunk int, ids binary, starts binary, stops binary")
+    return found.groupBy("shard").applyInArrow(run, "chunk int, rows binary, starts binary, stops binary")
 
 
 def cleaned(docs: DataFrame, spans: DataFrame, spec: Spec) -> DataFrame:
     """``(id, n_units, n_removed, n_spans, kept binary)`` of every document."""
 
     def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        ids, begin, end = (_joined(spans[k], t) for k, t in (("ids", np.int64), ("starts", np.int32), ("stops", np.int32)))
-        order = np.argsort(ids, kind="stable")
-        ids, begin, end = ids[order], begin[order], end[order]
+        own, begin, end = _merged(*(_joined(spans[k], t) for k, t in (("rows", np.int64), ("starts", np.int32), ("stops", np.int32))))
         done = []
-        for b in common.blocks(iter(docs.combine_chunks().to_batches()), "text", BLOCK):
+        for b in _blocks(docs):
             data, at = common.utf8(b.column("text"))
             words = common.Words(data, at) if spec.words else None
             first = words.first if words else at
-            doc = _ids(b.column("id"))
-            lo, hi = np.searchsorted(ids, doc), np.searchsorted(ids, doc, "right")
+            doc = b.column("row").to_numpy()
+            lo, hi = np.searchsorted(own, doc), np.searchsorted(own, doc, "right")
             change = np.zeros(first[-1] + 1, np.int64)
             rows = np.repeat(np.arange(len(doc)), hi - lo)
             which = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[rows]
-            limit = first[rows + 1]  # rows that share an id may differ in length
-            np.add.at(change, np.minimum(first[rows] + begin[which], limit), 1)
-            np.add.at(change, np.minimum(first[rows] + end[which], limit), -1)
+            np.add.at(change, first[rows] + begin[which], 1)
+            np.add.at(change, first[rows] + end[which], -1)
             gone = np.cumsum(change[:-1]) > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
@@ -324,7 +340,11 @@ def cleaned(docs: DataFrame, spans: DataFrame, spec: Spec) -> DataFrame:
 
 
 def remove(docs: DataFrame, match: Match, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All four steps; null texts are empty, null ids are one document that comes before all others."""
+    """All steps; null texts are empty, null ids are one document that comes before all others.
+
+    Rows that repeat id and text have the same answer; rows that share only the id are one document, whose
+    texts follow each other in the order of a hash.
+    """
     rows, n = chunked(docs, id_col, text_col)
     found = pieces(rows, repeated_anchors(rows, n, spec), n, spec)
     return cleaned(rows, matched(found, match, spec), spec).withColumnRenamed("id", id_col)

@@ -223,9 +223,11 @@ def test_ngram_join_repeated_row(spark):
     assert sorted((r["doc_id"], r["component_id"], r["n_equal"]) for r in got) == [(1, 1, 1), (7, 1, 2), (7, 1, 2), (8, 1, 1), (20, 1, 1), (30, 1, 1), (30, 1, 1), (40, 40, 1)]
 
 
-@pytest.mark.parametrize("hot", [8192, 6])
-def test_repeats_brute(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "stretch", "chunk"), [(255, 1 << 14, 8 << 20), (6, 16, 700)])
+def test_repeats_brute(spark, monkeypatch, hot, stretch, chunk):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
     rng = random.Random(hot)
     passage = " ".join(rng.choice("abcd") for _ in range(70))
     rows = []
@@ -240,6 +242,20 @@ def test_repeats_brute(spark, monkeypatch, hot):
     assert got == brute_bytes(rows, 50)
 
 
+def test_repeats_repeated_rows(spark):
+    """Rows that repeat id and text have one answer; of an id's texts the words that come first stay."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text), (None, "x " + text), (None, "x " + text), (9, text + " end"), (9, text + " end"), (9, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_units"], r["n_removed"]) for r in automaton.deduplicate(df).collect())
+    assert got == [(-1, 31, 0), (-1, 31, 0), (5, 30, 30), (5, 30, 30), (9, 30, 30), (9, 31, 30), (9, 31, 30)]
+    rows = [(5, text), (5, text), (9, text), (9, text)]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in automaton.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 0), (5, 0), (9, 30), (9, 30)]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in suffix_levels.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 0), (5, 0), (9, len(text)), (9, len(text))]
+
+
 def test_repeats_cases(docs, empty):
     for dedup in (automaton.deduplicate, suffix_levels.deduplicate):
         got = dedup(docs).collect()
@@ -254,6 +270,7 @@ def test_suffix_family_levels(monkeypatch):
         x = rng.integers(97, 99, rng.integers(0, 120)).astype(np.uint8).tobytes()
         texts.append(x[:30] + texts[rng.integers(len(texts))][5:] if texts and rng.random() < 0.6 else x)
         ids.append(i // 2)
+    texts[3], texts[9] = b"\0" * 25 + texts[3][25:], b"x" + b"\0" * 24 + texts[9][25:]  # zeros at a window's end
     want = []
     first = {}
     for i, x in zip(ids, texts):
@@ -264,12 +281,17 @@ def test_suffix_family_levels(monkeypatch):
         for s in range(len(x) - 19):
             gone[s : s + 20] |= first[x[s : s + 20]] < i
         want.append(gone)
-    for size in (200, 900, 1 << 30):
+    for size, scan in ((200, 7), (900, 64), (1 << 30, 1 << 16)):
         monkeypatch.setattr(suffix_levels, "BATCH_BYTES", size)
+        monkeypatch.setattr(suffix_levels, "SCAN", scan)
         got = [np.zeros(len(x), bool) for x in texts]
-        for p, a, b in zip(*suffix_levels.match(np.array(ids), np.zeros(80, int), texts, np.zeros(80, int), repeats.Spec(False, 20, 9, False))):
+        family = suffix_levels.Family(20)
+        for p, a, b in zip(*suffix_levels.matched_by(family, np.array(ids), texts, repeats.Spec(False, 20, 9, False))):
             got[p][a:b] = True
         assert all((g == w).all() for g, w in zip(got, want))
+        # a binary counter: as many merges as its carries, no two levels of a rank
+        assert family.batches >= 6 and family.merges == family.batches - bin(family.batches).count("1") and family.scans >= family.batches - 1
+        assert [lv.rank for lv in family.levels] == [k for k in range(20, -1, -1) if family.batches >> k & 1]
 
 
 # op6
