@@ -381,10 +381,35 @@ def test_ann_recall_and_cases(spark):
         assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(v < 1500 for _, v, _ in found)
     assert len(by) == 30 and hit / 150 >= 0.9
     assert [v for _, v, _ in by[700]] == [5, 701, 702, 703, 704]
+    for q, found in by.items():
+        for _, v, score in found:
+            assert score == pytest.approx(float(np.dot(x[q], x[v]) / (np.linalg.norm(x[q]) * np.linalg.norm(x[v]))), abs=1e-13)
     assert ann.search(df.where("vec_id >= 2000"), F.col("vec_id") % 50 == 0).count() in (0, 1, 2, 3, 4, 5)
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_split_files_and_few_rows(spark, monkeypatch):
+    """Split files, a third of all rows alike, queries that find too few at first: each query has its k rows, once each."""
+    monkeypatch.setattr(ann, "GROUP", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    x[100:200] = x[3]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, miss=0.9).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == [0, 50, 100, 150, 200, 250] and all(len(v) == len(set(v)) == 5 for v in got.values())
+    assert got[100] == [3, 101, 102, 103, 104] and got[150] == [3, 100, 101, 102, 103]
+    few = ann.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()
+    assert [r["vec_id"] for r in few] == [int(i) for i in np.array([1, 2])[np.argsort(-(x[1:3] @ x[0]) / np.linalg.norm(x[1:3], axis=1))]]
+
+
+def test_ann_tiny_and_huge_components(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [2e-200, 1e-200]), (2, [1e200, 2e200]), (3, [5e-324, 0.0]), (4, [-3.0, 1.0])]
+    got = {r["vec_id"]: r["score"] for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert got == {2: pytest.approx(1.0), 1: pytest.approx(0.8), 3: pytest.approx(5**-0.5), 4: pytest.approx(-1 / 50**0.5)}
+
+
 # op10
 
 
