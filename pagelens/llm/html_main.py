@@ -2,12 +2,19 @@
 
 A page is cut into leaf blocks: runs of text between block-level tags, with character references
 decoded and white space turned into one space. Each block is read as hashed vectors of its tag path
-(tags, classes, ids, roles), the mean of hashed word vectors and a few counts; a bidirectional LSTM in
-numpy reads the whole page's sequence and classifies every block. The kept blocks are joined by "\n".
+(tags, classes, ids, roles of its ``DEPTH`` nearest elements), the mean of hashed word vectors and a few
+counts; a bidirectional LSTM in numpy reads the whole page's sequence and classifies every block. The kept
+blocks are joined by "\n".
 
 The labeller is fitted on the driver, from a seeded generator of labelled pages (:func:`synthetic_pages`),
-in a few seconds. Scripts, styles, templates, comments in the markup and the head hold no blocks. Null
-and empty pages give an empty text; pages without a main part may. Nothing else is dropped or capped.
+once a session and in a few seconds. Scripts, styles, templates, drawings, frames, text fields, comments in
+the markup and the head hold no text, and do not end the block that they stand in; what other elements hold,
+fallback text and formulas included, is up to the labeller. Nothing is cut: pages of any length and nesting
+are read whole, in memory that grows with the page.
+
+Defined cases: null and empty pages and pages without a main part give an empty text; a head that is not
+closed ends at the first tag or text that no head can hold; rows that repeat are answered row by row; an
+empty table gives an empty result; other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -16,8 +23,10 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +39,19 @@ PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 11
 PATH_DIM, WORD_DIM, DENSE_DIM, HIDDEN = 16, 8, 9, 24
 #: Blocks that one padded pass of the labeller may hold.
 PASS_BLOCKS = 1 << 15
+#: Nearest elements that make a block's path.
+DEPTH = 24
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNREAD = frozenset("head iframe math noembed noframes noscript object script style svg template textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+UNREAD = frozenset("iframe noembed noframes script style svg template textarea title".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark noscript object q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of formulas, fixed by the MathML standard; they run on in their block.
+INLINE |= frozenset("math annotation menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot tr select div section article main aside nav header footer form body html blockquote td th li".split())
 
@@ -58,32 +71,46 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _after(page: str, tag: str, at: int) -> int:
+    """Where an element whose text is not read ends."""
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _after_head(page: str, at: int) -> int:
+    """Where the head that begins at ``at`` ends: at its end tag, or before what no head can hold."""
+    while True:
+        m = _TAG.search(page, at)
+        if page[at : m.start() if m else len(page)].strip() or not m:
+            return at
+        tag = (m[2] or "").lower()
+        if tag and tag not in HEAD:
+            return m.end() if m[1] and tag == "head" else m.start()
+        at = _after(page, tag, m.end()) if tag in UNREAD and not m[1] and not m[3].endswith("/") else m.end()
+
+
 def leaf_blocks(page: str) -> Iterator[Block]:
     """The text blocks of a page in order, read leniently: unclosed tags end with what holds them."""
-    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # tag, own tokens, path
+    stack: list[tuple[str, tuple[str, ...]]] = []  # tag, own tokens
+    open_ = Counter()
     parts: list[str] = []
     linked, links, at = 0, 0, 0
-    unread: str | None = None
 
     def flush() -> Block | None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
-        block = Block(text, stack[-1][2] if stack else (), linked) if text else None
+        block = Block(text, tuple(t for _, own in stack[-DEPTH:] for t in own), linked) if text else None
         linked = 0
         return block
 
+    def close(i: int) -> None:
+        for tag, _ in stack[i:]:
+            open_[tag] -= 1
+        del stack[i:]
+
     size = len(page)
     while at < size:
-        if unread:
-            end = re.compile(rf"</{unread}\b[^>]*>?", re.I).search(page, at)
-            if unread == "head":  # the head also ends where the body begins
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                if body and (not end or body.start() < end.start()):
-                    unread, at = None, body.start()
-                    continue
-            unread, at = None, end.end() if end else size
-            continue
         m = _TAG.search(page, at)
         stop = m.start() if m else size
         if stop > at:
@@ -95,6 +122,10 @@ def leaf_blocks(page: str) -> Iterator[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag in UNREAD:
+            if not m[1] and not m[3].endswith("/"):
+                at = _after(page, tag, at)
+            continue
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
                 parts.append(" ")
@@ -106,28 +137,29 @@ def leaf_blocks(page: str) -> Iterator[Block]:
             yield block
         links = 0
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
             continue
-        if tag in UNREAD:
-            if not m[3].endswith("/"):
-                unread = tag
+        if tag == "head":
+            at = _after_head(page, at)
             continue
         if tag in VOID:
             continue
-        if tag != "p" and stack and stack[-1][0] == "p" or tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in SAME_LEVEL.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in CONTAINERS:
-                break
-        own = _tokens(tag, m[3])
-        if not m[3].endswith("/") or tag not in VOID:
-            stack.append((tag, own, (stack[-1][2] if stack else ()) + own))
+        if stack and stack[-1][0] == "p":
+            close(len(stack) - 1)
+        same = SAME_LEVEL.get(tag, ())
+        if any(open_[x] > 0 for x in same):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in same:
+                    close(i)
+                    break
+                if stack[i][0] in CONTAINERS:
+                    break
+        stack.append((tag, _tokens(tag, m[3])))
+        open_[tag] += 1
     block = flush()
     if block:
         yield block
@@ -257,6 +289,9 @@ def synthetic_pages(n: int = 1200, seed: int = 11) -> Iterator[tuple[str, str]]:
             return " | ".join(out)
         elif kind < 0.25:
             out = [w if rng.random() < 0.8 else str(rng.randint(0, 9999)) for w in out]
+        elif kind < 0.3:  # a word over and over
+            some = out[: rng.randint(1, 4)]
+            out = [w for w in some for _ in range(max(1, len(out) // len(some)))]
         return " ".join(out).capitalize() + rng.choice([".", ".", "", "!", "?"])
 
     def attribute(names: list[str]) -> str:
@@ -302,8 +337,12 @@ def synthetic_pages(n: int = 1200, seed: int = 11) -> Iterator[tuple[str, str]]:
     for _ in range(n):
         mark = "\ue000"
         body = rng.choice([f"<h1>{mark}{words(2, 10)}</h1>", f"<h1>{mark}{words(2, 10)}</h1>", ""])
-        for _ in range(int(rng.choice([1, 1, 2, 3, 5, 8, 12, 20]))):
-            kind, text = rng.random(), words(1, int(rng.choice([1, 3, 15, 60, 120])))
+        again = words(1, rng.choice([2, 4, 30])) if rng.random() < 0.15 else None  # a text that repeats one paragraph
+        for _ in range(int(rng.choice([1, 1, 2, 3, 5, 8, 12, 20] if again is None else [8, 20, 40, 60]))):
+            kind, text = rng.random(), words(1, int(rng.choice([1, 1, 3, 15, 60, 120])))
+            if again is not None and rng.random() < 0.9:
+                body += rng.choice([f"<p>{mark}{again}</p>"] * 6 + [f"<p><b>{mark}{again}<br>"])
+                continue
             if kind < 0.12:
                 body += f"<p><b>{mark}{text}<br>"
             elif kind < 0.16:
@@ -322,6 +361,9 @@ def synthetic_pages(n: int = 1200, seed: int = 11) -> Iterator[tuple[str, str]]:
                 body += f"<div>{mark}{text}</div>"
             else:
                 body += f"<p>{mark}{text}</p>"
+            if again is None and rng.random() < 0.06:  # a stretch of short paragraphs, alike or not
+                short = [words(1, rng.choice([1, 2, 3])) for _ in range(rng.choice([1, 1, 2, 8]))]
+                body += "".join(rng.choice([f"<p>{mark}{x}</p>"] * 6 + [f"<p><b>{mark}{x}<br>"]) for x in rng.choices(short, k=rng.choice([5, 12, 30, 50])))
             if rng.random() < 0.08:
                 body += boilerplate()
         if rng.random() < 0.35:  # comments, shares and adverts often end an article from within
@@ -358,6 +400,9 @@ def fit(pages: Iterator[tuple[str, str]] | None = None, epochs: int = 9, batch:
             e, sizes = model.embed(x), np.diff(x.pages)
             if not len(e):
                 continue
+            # half of the blocks are read without their words, so that no word outweighs a path
+            read = rng.random(len(e)) < 0.5
+            e[~read, PATH_DIM : PATH_DIM + WORD_DIM] = 0
             page = np.repeat(np.arange(len(some)), sizes)
             col = np.arange(len(e)) - x.pages[page]
             padded, mask = np.zeros((len(some), sizes.max(), d)), np.zeros((len(some), sizes.max()), bool)
@@ -386,7 +431,7 @@ def fit(pages: Iterator[tuple[str, str]] | None = None, epochs: int = 9, batch:
             flat = de[page, col]
             for p, buckets in enumerate(x.paths):
                 np.add.at(grad["path"], buckets, flat[x.path == p, :PATH_DIM].sum(0))
-            share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(x.n_words, 1)[:, None]
+            share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] * read[:, None] / np.maximum(x.n_words, 1)[:, None]
             np.add.at(grad["word"], x.word_bucket, share[x.word_block])
             step += 1
             pace = rate * (1 - 0.9 * (epoch / epochs))
@@ -398,22 +443,28 @@ def fit(pages: Iterator[tuple[str, str]] | None = None, epochs: int = 9, batch:
     return model
 
 
+@lru_cache(1)
+def default_model() -> Labeller:
+    """The labeller of the generator's pages, fitted once a session."""
+    return fit()
+
+
 def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None, text_col: str = "text") -> DataFrame:
-    """``pages`` with ``text``: the main text of each page; the html column is dropped."""
-    if text_col in pages.columns and text_col != html_col:
-        raise ValueError(f"the input already has {text_col}")
-    shared = pages.sparkSession.sparkContext.broadcast(model or fit())
-    kept = [f for f in pages.schema.fields if f.name != html_col]
+    """``pages`` with the main text of each page in ``text_col``; the html column is dropped, a column of that name replaced."""
+    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
+    rest, unpack = common.packed(pages, html_col)
+    unpack = [c for c, name in zip(unpack, pages.columns) if name.lower() not in (html_col.lower(), text_col.lower())]
+    rest = rest.select("rest_", common.named(html_col).alias("page_"))
 
     def run(batches):
-        for b in common.blocks(batches, html_col):
-            found = [list(leaf_blocks(p)) if p else [] for p in b.column(b.schema.get_field_index(html_col)).to_pylist()]
+        for b in common.blocks(batches, "page_"):
+            found = [list(leaf_blocks(p)) if p else [] for p in b.column("page_").to_pylist()]
             x = inputs(found)
             good = shared.value.predict(x) > 0 if len(x.path) else np.zeros(0, bool)
             texts = ["\n".join(block.text for block, g in zip(p, good[x.pages[i] : x.pages[i + 1]]) if g) for i, p in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in kept], pa.array(texts, pa.string())], [*[f.name for f in kept], text_col])
+            yield pa.RecordBatch.from_arrays([b.column("rest_"), pa.array(texts, pa.string())], ["rest_", "text_"])
 
-    return pages.mapInArrow(run, common.schema_with(kept, f"`{text_col}` string"))
+    return rest.mapInArrow(run, common.schema_with([rest.schema["rest_"]], "text_ string")).select(*unpack, F.col("text_").alias(text_col))
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
