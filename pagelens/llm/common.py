@@ -44,6 +44,17 @@ def packed(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:
     return df.select(*keep, rest.alias("rest_")), [named(c) if c in keep else F.col("rest_").getField(c).alias(c) for c in df.columns]
 
 
+def carried(df: DataFrame, text: str, replaced: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``(rest_, text_)`` of ``df``, and the expressions that restore its columns from them.
+
+    Columns named like one of ``replaced``, in any case, as Spark reads names, are left out: what an operator adds takes their place.
+    """
+    rest, unpack = packed(df, text)
+    gone = {name.lower() for name in replaced}
+    unpack = [(named("text_").alias(name) if name == text else c) for c, name in zip(unpack, df.columns) if name.lower() not in gone]
+    return rest.select("rest_", named(text).alias("text_")), unpack
+
+
 def schema_with(fields: list[T.StructField], added: str) -> T.StructType:
     """The fields, whatever their names, and those of a DDL string."""
     return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
@@ -53,13 +64,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no lineage.
 
     The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where there is
-    none, as in tests on one machine.
+    none and the master is local, as in tests on one machine.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelens-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagelens-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -452,19 +452,17 @@ def default_model() -> Labeller:
 def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None, text_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each page in ``text_col``; the html column is dropped, a column of that name replaced."""
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    rest, unpack = common.packed(pages, html_col)
-    unpack = [c for c, name in zip(unpack, pages.columns) if name.lower() not in (html_col.lower(), text_col.lower())]
-    rest = rest.select("rest_", common.named(html_col).alias("page_"))
+    rest, unpack = common.carried(pages, html_col, (html_col, text_col))
 
     def run(batches):
-        for b in common.blocks(batches, "page_"):
-            found = [list(leaf_blocks(p)) if p else [] for p in b.column("page_").to_pylist()]
+        for b in common.blocks(batches, "text_"):
+            found = [list(leaf_blocks(p)) if p else [] for p in b.column("text_").to_pylist()]
             x = inputs(found)
             good = shared.value.predict(x) > 0 if len(x.path) else np.zeros(0, bool)
             texts = ["\n".join(block.text for block, g in zip(p, good[x.pages[i] : x.pages[i + 1]]) if g) for i, p in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([b.column("rest_"), pa.array(texts, pa.string())], ["rest_", "text_"])
+            yield pa.RecordBatch.from_arrays([b.column("rest_"), pa.array(texts, pa.string())], ["rest_", "main_"])
 
-    return rest.mapInArrow(run, common.schema_with([rest.schema["rest_"]], "text_ string")).select(*unpack, F.col("text_").alias(text_col))
+    return rest.mapInArrow(run, common.schema_with([rest.schema["rest_"]], "main_ string")).select(*unpack, F.col("main_").alias(text_col))
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,26 @@
 """Personal data: fixed patterns, and a linear-chain CRF over word shapes that adds what they miss.
 
 Words that hold neither a digit nor ``@`` can only be labelled O, so a text's chain falls apart, exactly,
-into runs of the other words; runs of all texts of a batch are decoded together by Viterbi in numpy.
+into runs of the other words; a run is never cut, however long. Runs of like length of all texts of a batch
+are decoded together by Viterbi in numpy, in memory that grows with the longest run alone.
 The CRF is fitted on the driver on a small labelled table (:func:`labelled_examples` unless given).
 
 Spans are [start, end) in code points. Base spans stay; a CRF span is added only where no base span
-overlaps it. Null texts count as empty and have no spans. Input columns are carried along.
+overlaps it: numbers that a pattern joined with their neighbours and then dropped, local numbers without a
+plus, addresses without a dotted domain.
+
+Defined cases: null texts count as empty and have no spans; rows that repeat are answered row by row; an
+empty table gives an empty result; of spans that start together the kind that is listed first comes first;
+other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 #: Added to O's score of every word: higher finds less.
 CAUTION = 1.0
+#: Words, padding included, that one pass of Viterbi holds.
+CELLS = 1 << 15
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 _EMAIL_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,7 +44,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _DIGIT = re.compile("[0-9]")
-_EDGE = "\"'()[]{}<>.,;:!?|"
+_DIGITS = re.compile("[0-9]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_CARD_ONLY = re.compile("[0-9-]+")
+_QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+_TRIM = "\"'[]{}<>.,;:!?|*$%#&"
+_SHAPE = [(re.compile(p), c) for p, c in (("[0-9]+", "0"), ("[A-Z]+", "A"), ("[a-z]+", "a"))]
+_REST = re.compile(r"([^0-9Aa])\1+")
 
 
 def luhn(digits: str) -> bool:
@@ -81,9 +97,9 @@ def marked_words(text: str) -> list[tuple[int, int]]:
     out = []
     for m in _MARKED.finditer(text):
         a, b = m.span()
-        while a < b and text[a] in "\"'[]{}<>.,;:!?|":
+        while a < b and text[a] in _TRIM:
             a += 1
-        while b > a and text[b - 1] in "\"'[]{}<>.,;:!?|":
+        while b > a and text[b - 1] in _TRIM:
             b -= 1
         if a < b:
             out.append((a, b))
@@ -91,19 +107,26 @@ def marked_words(text: str) -> list[tuple[int, int]]:
 
 
 def shape(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:80]))
+    """Digits, capitals and other letters as one 0, A and a for each run; runs of other characters as one."""
+    for pattern, c in _SHAPE:
+        word = pattern.sub(c, word)
+    return _REST.sub(r"\1", word)
 
 
 def features(text: str, a: int, b: int) -> list[str]:
+    """What the CRF reads of a word: its whole shape and digits, and the letters near it."""
     word = text[a:b]
-    digits = [c for c in word[:80] if "0" <= c <= "9"]
+    digits = "".join(_DIGITS.findall(word))
     before = re.findall(r"[A-Za-z]+", text[max(0, a - 24) : a])[-1:]
     after = re.findall(r"[A-Za-z]+", text[b : b + 24])[:1]
     out = ["bias", f"shape={shape(word)[:16]}", f"digits={min(len(digits), 20)}", f"dots={min(word.count('.'), 4)}", f"length={min(len(word), 24) // 3}"]
     out += [f"before={x.lower()[:8]}" for x in before] + [f"after={x.lower()[:8]}" for x in after]
-    out += ["at"] * ("@" in word) + ["plus"] * word.startswith("+") + ["letters"] * any(c.isalpha() for c in word[:80]) + ["gap=="] * (text[max(0, a - 3) : a].strip()[-1:] == "=")
-    if 13 <= len(digits) <= 19 and len(digits) == sum(c not in " -" for c in word):
-        out.append(f"luhn={luhn(''.join(digits))}")
+    letters = _LETTER.search(word) is not None
+    out += ["at"] * ("@" in word) + ["plus"] * word.startswith("+") + ["letters"] * letters + ["gap=="] * (text[max(0, a - 3) : a].strip()[-1:] == "=")
+    if 13 <= len(digits) <= 19 and _CARD_ONLY.fullmatch(word):
+        out.append(f"luhn={luhn(digits)}")
+    if word.count(".") == 3 and _QUAD.fullmatch(word):
+        out.append(f"quad={all(int(x) <= 255 for x in word.split('.'))}")
     return out
 
 
@@ -111,14 +134,14 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
     """Marked words that follow each other with only white space or punctuation between them."""
     out: list[list[tuple[int, int]]] = []
     for a, b in marked_words(text):
-        if out and len(out[-1]) < 64 and a - out[-1][-1][1] <= 3 and not any(c.isalnum() for c in text[out[-1][-1][1] : a]):
+        if out and a - out[-1][-1][1] <= 3 and not any(c.isalnum() for c in text[out[-1][-1][1] : a]):
             out[-1].append((a, b))
         else:
             out.append([(a, b)])
     return out
 
 
-def labelled_examples(seed: int = 7, rounds: int = 6) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_examples(seed: int = 7, rounds: int = 8) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small labelled table: sentences with the spans of personal data in them."""
     rng = random.Random(seed)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -131,14 +154,19 @@ def labelled_examples(seed: int = 7, rounds: int = 6) -> list[tuple[str, list[tu
 
     make = {
         "email": lambda: rng.choice([f"{name()}@{name()}", f"{name()}.{digits(2)}@{name()}{digits(1)}.example.com", f"{name()}@localhost", f"{name()}_{name()}@{name()}.org"]),
-        "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+        "ip": lambda: ".".join(str(rng.randint(0, rng.choice([9, 99, 255]))) for _ in range(4)),
         "card": card,
         "phone": lambda: rng.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"00{digits(2)} {digits(3)} {digits(6)}"]),
     }
+    def uncard() -> str:
+        """Digits as many as a card's, or more, that are none."""
+        body = digits(rng.randint(13, 24))
+        return body if not 13 <= len(body) <= 19 or not luhn(body) else body[:-1] + str((int(body[-1]) + 1) % 10)
+
     plain = {
         "number": lambda: digits(rng.randint(1, 12)),
         "hex": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(16, 40))),
-        "long": lambda: digits(rng.randint(13, 24)),
+        "long": uncard,
         "year": lambda: str(rng.randint(1700, 2099)),
         "date": lambda: rng.choice([f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2099)}", f"{rng.randint(1900, 2099)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}"]),
         "version": lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
@@ -152,7 +180,8 @@ def labelled_examples(seed: int = 7, rounds: int = 6) -> list[tuple[str, list[tu
         "write to {email} today", "my mail is {email}, please answer", "Contact: {email}", "{email} and {email}", "the server {ip} is down", "from {ip} to {ip}.", "address {ip}",
         "card {card} was charged", "pay with {card} now", "number {card}", "call {phone} after six", "phone: {phone}.", "tel {phone}, fax {phone}", "{phone}", "we met {phone} once",
         "in {year} there were {number} people", "token = \"{hex}\" and more", "id {hex}", "order {long} of {date}", "see {version} from {date}", "it costs {price} or {price}", "pages {range}",
-        "{number} {number} {number}", "chapter {number} at {time}", "user {mixed} said {number}", "ask {handle} about {year}", "{date} {time}", "the {number} of {mixed}", "room {number}-{number}", "{long} {long}", "{hex} {number}",
+        "{phone} {ip} again", "{phone} {card}", "{card} {card} and", "{long} {card}", "{card} {long}", "{phone} {phone}", "{ip} {ip}", "{ip} {card}", "{email} {phone}", "{year} {card}", "{card} {phone}", "the {card}*** and", "to {phone}### me", "at {ip}%%% it", "ask {email}&&& too", "the {card} of", "a {card} in the", "and {card}. The", "is {phone} with", "in {email} for", "on {ip} to",
+        "{number} {number} {number}", "{number} {number} {number} {number} {number} {number}", "the {long} is", "of {long} and", "{long}$$$ the", "x {hex} {long}", "chapter {number} at {time}", "user {mixed} said {number}", "ask {handle} about {year}", "{date} {time}", "the {number} of {mixed}", "room {number}-{number}", "{long} {long}", "{hex} {number}",
     ]
     out = []
     for _ in range(rounds):
@@ -187,9 +216,18 @@ class Crf:
         return out, lengths
 
     def decode(self, sequences: list[list[list[str]]]) -> list[list[int]]:
-        """Viterbi paths; each sequence is entered from O and left to O."""
-        if not sequences:
-            return []
+        """Viterbi paths; each sequence is entered from O and left to O. Those of like length go together."""
+        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        paths: list[list[int]] = [[] for _ in sequences]
+        start = 0
+        while start < len(order):
+            some = order[start : start + max(1, CELLS // len(sequences[order[start]]))]
+            start += len(some)
+            for i, path in zip(some, self._decode([sequences[i] for i in some])):
+                paths[i] = path
+        return paths
+
+    def _decode(self, sequences: list[list[list[str]]]) -> list[list[int]]:
         e, lengths = self.scores(sequences)
         n, most, k = e.shape
         best = e[:, 0] + self.step[0]
@@ -274,51 +312,66 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]] | None = None, st
     return model
 
 
+def crf_spans(texts: list[str], model: Crf) -> list[list[tuple[str, int, int]]]:
+    """The CRF's own spans of each text, in order."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    each = [(i, run) for i, t in enumerate(texts) for run in runs(t)]
+    for (i, run), path in zip(each, model.decode([[features(texts[i], a, b) for a, b in run] for i, run in each]), strict=True):
+        j = 0
+        while j < len(run):
+            kind, stop = LABELS[path[j]][2:], j + 1
+            while stop < len(run) and LABELS[path[stop]] == f"I-{kind}":
+                stop += 1
+            if kind:
+                out[i].append((kind, run[j][0], run[stop - 1][1]))
+            j = stop
+    return out
+
+
 def found(texts: list[str], model: Crf) -> list[list[tuple[str, int, int, bool]]]:
     """All spans of each text, by kind as listed, then start; the last field tells base spans."""
-    out = [[(k, a, b, True) for k, a, b in base_spans(t)] for t in texts]
-    each = [(i, run) for i, t in enumerate(texts) for run in runs(t)]
-    for start in range(0, len(each), 4096):
-        some = each[start : start + 4096]
-        for (i, run), path in zip(some, model.decode([[features(texts[i], a, b) for a, b in run] for i, run in some]), strict=True):
-            j = 0
-            while j < len(run):
-                kind, stop = LABELS[path[j]][2:], j + 1
-                while stop < len(run) and LABELS[path[stop]] == f"I-{kind}":
-                    stop += 1
-                if kind:
-                    a, b = run[j][0], run[stop - 1][1]
-                    if not any(base and a < y and b > x for _, x, y, base in out[i]):
-                        out[i].append((kind, a, b, False))
-                j = stop
-    return [sorted(x, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) for x in out]
+    out = []
+    for text, added in zip(texts, crf_spans(texts, model), strict=True):
+        base = base_spans(text)
+        taken = sorted((a, b) for _, a, b in base)
+        reach = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, int)
+        at = [a for a, _ in taken]
+        # of the base spans that start before its end, the farthest must end before it starts
+        free = [(k, a, b, False) for k, a, b in added if not (n := bisect_left(at, b)) or reach[n - 1] <= a]
+        out.append(sorted([(k, a, b, True) for k, a, b in base] + free, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return out
+
+
+@lru_cache(1)
+def default_model() -> Crf:
+    """The CRF of the labelled examples, fitted once a session."""
+    return fit()
 
 
 def detect(docs: DataFrame, text_col: str = "text", model: Crf | None = None, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``spans``: an array of kind, start, end and whether a fixed pattern found it.
+    """``docs`` with ``spans``: an array of kind, start, end and whether a fixed pattern found it; an input column of that name is replaced.
 
     Without ``keep_text`` the text column is left out, so that texts don't travel back from Python.
     """
-    if "spans" in docs.columns:
-        raise ValueError("the input already has spans")
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit())
-    fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    rest, unpack = common.carried(docs, text_col, ("spans", *[text_col] * (not keep_text)))
     mark = np.zeros(256, np.int64)
     mark[[*range(48, 58), 64]] = 1
+    names = ["rest_", *["text_"] * keep_text]
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for b in common.blocks(batches, text_col):
-            column = b.column(b.schema.get_field_index(text_col))
+        for b in common.blocks(batches, "text_"):
+            column = b.column("text_")
             data, at = common.utf8(column)
             rows = np.flatnonzero(common.per_row(mark[data], at))
             spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
             texts = column.take(pa.array(rows)).to_pylist()
             for i, x in zip(rows, found(texts, shared.value), strict=True):
                 spans[i] = [dict(zip(("kind", "start", "end", "base"), s)) for s in x]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in fields], pa.array(spans, kind)], [*[f.name for f in fields], "spans"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(spans, kind)], [*names, "spans_"])
 
-    return docs.mapInArrow(run, common.schema_with(fields, f"spans {SPANS}"))
+    return rest.mapInArrow(run, common.schema_with([rest.schema[n] for n in names], f"spans_ {SPANS}")).select(*unpack, F.col("spans_").alias("spans"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,4 +385,4 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda x: x["base"])
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return docs.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
