@@ -5,8 +5,8 @@ array is folded by ranked merges once (and remembered), a document's ids are its
 and decoding concatenates the ids' binary pieces. :func:`fold_words` is the same fold as Spark
 higher-order functions over a literal rank map; the README says why it is not the main path.
 
-Null texts count as empty: no ids, empty bytes. Input columns are carried along; a clash with an
-output name is refused.
+Defined cases: null texts count as empty: no ids, empty bytes; rows that repeat, whatever their ids, are
+encoded row by row; an empty table gives an empty result; other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common
 
-#: Words that a worker remembers at once; beyond it the memory starts afresh.
+#: Words that a worker remembers at once, in two generations.
 MEMORY = 200_000
 #: From this many bytes on, merges are kept in a heap.
 LONG_WORD = 100
@@ -102,54 +102,58 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple([ranks[word[i : end[i]]] for i in range(n) if alive[i]])
 
 
-def encode(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
-    """``docs`` with ``ids array<int>`` and, if asked, ``decoded binary``, what the ids decode to."""
+def encode(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decoded: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids array<int>`` and, if asked, ``decoded binary``, what the ids decode to; input columns of these names are replaced.
+
+    Without ``keep_text`` the text column is left out, so that texts don't travel back from Python.
+    """
     names = ["ids", *["decoded"] * decoded]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path or default_ranks()), pattern or default_pattern()))
+    rest, unpack = common.carried(docs, text_col, (*names, *[text_col] * (not keep_text)))
+    kept = ["rest_", *["text_"] * keep_text]
 
     def run(batches):
         ranks, split = shared.value
         pieces = dict((v, k) for k, v in ranks.items())
         find = regex.compile(split).findall
-        memory: dict[str, tuple[int, ...]] = {}
-        for b in common.blocks(batches, text_col):
+        # two generations: what is still in use when the young one is full lives on
+        young: dict[str, tuple[int, ...]] = {}
+        old: dict[str, tuple[int, ...]] = {}
+        for b in common.blocks(batches, "text_"):
             each = []
-            for text in b.column(b.schema.get_field_index(text_col)).to_pylist():
+            for text in b.column("text_").to_pylist():
                 words = find(text) if text else []
-                if new := set(words).difference(memory):
-                    if len(memory) + len(new) > MEMORY:
-                        memory.clear()
+                if new := set(words).difference(young):
+                    if len(young) + len(new) > MEMORY // 2:
+                        old, young = young, {}
                         new = set(words)
                     for w in new:
-                        memory[w] = fold(w.encode(), ranks)
-                each.append(list(chain.from_iterable(map(memory.__getitem__, words))))
+                        young[w] = old.get(w) or fold(w.encode(), ranks)
+                each.append(list(chain.from_iterable(map(young.__getitem__, words))))
             at = np.zeros(len(each) + 1, np.int32)
             np.cumsum([len(x) for x in each], out=at[1:])
             flat = np.fromiter(chain.from_iterable(each), np.int32, at[-1])
             out = [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
             if decoded:
                 out.append(pa.array([b"".join(map(pieces.__getitem__, x)) for x in each], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], *out], [*kept, *[f"{n}_" for n in names]])
 
-    return docs.mapInArrow(run, common.schema_with(docs.schema.fields, "ids array<int>" + ", decoded binary" * decoded))
+    made = rest.mapInArrow(run, common.schema_with([rest.schema[n] for n in kept], "ids_ array<int>" + ", decoded_ binary" * decoded))
+    return made.select(*unpack, *[F.col(f"{n}_").alias(n) for n in names])
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
-    """``rows`` with ``decoded binary``: the concatenated pieces of the ids; null for null ids."""
-    if "decoded" in rows.columns:
-        raise ValueError("the input already has decoded")
+    """``rows`` with ``decoded binary``: the concatenated pieces of the ids; null for null ids. An input column of that name is replaced."""
     shared = rows.sparkSession.sparkContext.broadcast(load_ranks(ranks_path or default_ranks()))
+    rest, unpack = common.carried(rows, ids_col, ("decoded",))
 
     def run(batches):
         pieces = {v: k for k, v in shared.value.items()}
         for b in batches:
-            ids = b.column(b.schema.get_field_index(ids_col)).to_pylist()
-            out = pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded"])
+            out = pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in b.column("text_").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded_"])
 
-    return rows.mapInArrow(run, common.schema_with(rows.schema.fields, "decoded binary"))
+    return rest.mapInArrow(run, common.schema_with(rest.schema.fields, "decoded_ binary")).select(*unpack, F.col("decoded_").alias("decoded"))
 
 
 def rank_map(ranks: dict[bytes, int], slots: int = 8192) -> Column:
@@ -161,29 +165,56 @@ def rank_map(ranks: dict[bytes, int], slots: int = 8192) -> Column:
 
 
 def fold_words(words: DataFrame, word_col: str = "word", ranks_path: str | None = None, slots: int = 8192) -> DataFrame:
-    """``words`` with ``ids array<int>``, by higher-order functions: a fold over byte arrays, one merge a step."""
+    """``words`` with ``ids array<int>``, by higher-order functions: a fold over byte arrays, one merge a step.
+
+    A word that is a piece is done at once. The ranks of neighbouring parts are kept beside the parts: a
+    merge looks up two new ones. Steps after the last merge leave the state as it is.
+    """
     literal = rank_map(load_ranks(ranks_path or default_ranks()), slots)
 
     def rank(piece: Column) -> Column:
         return F.try_element_at(F.element_at(literal, (F.crc32(piece) % slots + 1).cast("int")), F.hex(piece))
 
-    def step(parts: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.coalesce(rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))), F.lit(_HIGH)))
-        least = F.array_min(ranks)
-        at = F.array_position(ranks, least).cast("int")
-        merged = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.size(parts)))
-        return F.when((F.size(parts) < 2) | (least == _HIGH), parts).otherwise(merged)
+    def pair(a: Column, b: Column) -> Column:
+        return F.coalesce(rank(F.concat(a, b)), F.lit(_HIGH))
+
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is computed once."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def merged(acc: Column, least: Column) -> Column:
+        parts, ranks = acc["parts"], acc["ranks"]
+
+        def at(i: Column) -> Column:
+            def with_piece(piece: Column) -> Column:
+                none = F.array().cast("array<int>")
+                left = F.when(i > 1, F.array(pair(F.element_at(parts, F.greatest(i - 1, F.lit(1))), piece))).otherwise(none)
+                right = F.when(i + 2 <= F.size(parts), F.array(pair(piece, F.element_at(parts, F.least(i + 2, F.size(parts)))))).otherwise(none)
+                before = F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0)))
+                return F.struct(F.concat(F.slice(parts, F.lit(1), i - 1), F.array(piece), F.slice(parts, i + 2, F.size(parts))).alias("parts"), F.concat(before, left, right, F.slice(ranks, i + 2, F.size(parts))).alias("ranks"))
+
+            return let(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1)), with_piece)
+
+        return let(F.array_position(ranks, least).cast("int"), at)
+
+    def step(acc: Column, _: Column) -> Column:
+        return let(F.array_min(acc["ranks"]), lambda least: F.when(least < _HIGH, merged(acc, least)).otherwise(acc))
 
     raw = F.col(word_col).cast("binary")
     size = F.octet_length(raw)
-    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(raw, i, F.lit(1)))
-    folded = F.aggregate(F.sequence(F.lit(1), size), parts, lambda acc, _: step(acc))
-    return words.withColumn("ids", F.when(size > 0, F.transform(folded, rank)).otherwise(F.array().cast("array<int>")))
+    byte = lambda i: F.substring(raw, i, F.lit(1))
+    start = F.struct(
+        F.transform(F.sequence(F.lit(1), size), byte).alias("parts"),
+        F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: pair(byte(i), byte(i + 1)))).otherwise(F.array().cast("array<int>")).alias("ranks"),
+    )
+    folded = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda acc: F.transform(acc["parts"], rank))
+    whole = rank(raw)
+    return words.withColumn("ids", F.when(size == 0, F.array().cast("array<int>")).when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, decoded=True).select(
+    return encode(docs, decoded=True, keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -192,5 +223,5 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the token ids of each document that is left."""
-    return encode(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Pipeline stage: the token ids of each row that is left; null and repeated ids are kept as they are."""
+    return encode(docs.select("doc_id", "text"), keep_text=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
