@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelens.llm import common
 
@@ -186,25 +187,26 @@ def measure(data: np.ndarray, at: np.ndarray, words: common.Words) -> dict[str,
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """``docs`` with the rules' counts, ``base_failed``, the calibrated ``quality`` and ``kept``."""
-    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"):
-        if name in docs.columns:
-            raise ValueError(f"the input already has a column {name}")
+    """``docs`` with the rules' counts, ``base_failed``, the calibrated ``quality`` and ``kept``; input columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f.name for f in T.StructType.fromDDL(SCHEMA)]
+    rest, unpack = common.carried(docs, text_col, tuple(names))
 
     def run(batches):
         model = shared.value
-        for b in common.blocks(batches, text_col):
-            data, at = common.utf8(b.column(b.schema.get_field_index(text_col)))
+        for b in common.blocks(batches, "text_"):
+            data, at = common.utf8(b.column("text_"))
             words = common.Words(data, at)
             m = measure(data, at, words)
             failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
             p = np.ones(b.num_rows) if model is None else 1 / (1 + np.exp(-np.clip(model.slope * logits(model, data, at, words) + model.shift, -50, 50)))
-            new = [pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+            new = [pa.array(m[k].astype(np.int64)) for k in names[:5]]
             new += [pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("rest_"), b.column("text_"), *new], ["rest_", "text_", *[f"{n}_" for n in names]])
 
-    return docs.mapInArrow(run, common.schema_with(docs.schema.fields, SCHEMA))
+    added = T.StructType([T.StructField(f"{f.name}_", f.dataType) for f in T.StructType.fromDDL(SCHEMA)])
+    made = rest.mapInArrow(run, T.StructType([*rest.schema.fields, *added.fields]))
+    return made.select(*unpack, *[F.col(f"{n}_").alias(n) for n in names])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
