@@ -15,8 +15,9 @@ lowers the estimated cost of its candidates.
 4. Links make components.
 
 Defined cases: null texts and texts without words have an empty set and no links; fewer than five words
-are one shingle; rows with one id are one document with each of its texts; a null id stays null and is
-its own component's least member; extra columns are ignored.
+are one shingle; rows with one id are one document with each of its texts; each text without an id is a
+document of its own, whose id stays null and is less than all others (the least 2**48 numbers stand for
+them); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ HEAVY = 64
 CHUNK_BYTES = 8 << 20
 SALTS = 32
 BLOCK = 1 << 20
+NO_ID, NAMELESS = -(1 << 63), 1 << 48
 _ROWS = 1 << 12
 _LOW = np.uint64((1 << 52) - 1)
 #: Times the cost of scanning a posting that verifying a candidate takes.
@@ -87,8 +89,9 @@ def _signatures(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def surveyed(rows: DataFrame, width: int) -> DataFrame:
-    """``(id, n, s1, s2)`` of every document and, as rows with ``part``, each task's counts of its shingles."""
-    schema = "id long, n long, s1 long, s2 long, part binary"
+    """``(id, row, n, s1, s2)`` of every row and, as rows with ``part``, each task's counts of its shingles."""
+    names = ["id", "row", "n", "s1", "s2", "part"]
+    schema = "id long, row long, n long, s1 long, s2 long, part binary"
 
     def run(batches):
         counts = np.zeros(SLOTS, np.uint32)
@@ -96,10 +99,10 @@ def surveyed(rows: DataFrame, width: int) -> DataFrame:
             tokens, at = shingles(b.column("text"), width)
             counts += np.bincount((tokens >> np.uint64(32)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             s1, s2 = _signatures(tokens, at)
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("id"))), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.nulls(b.num_rows, pa.binary())], ["id", "n", "s1", "s2", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("id"))), b.column("row"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLOT_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOCKS), pa.int64()), *[pa.nulls(SLOT_BLOCKS, pa.int64())] * 3, pa.array(parts, pa.binary())], ["id", "n", "s1", "s2", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOCKS), pa.int64()), *[pa.nulls(SLOT_BLOCKS, pa.int64())] * 4, pa.array(parts, pa.binary())], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -373,14 +376,17 @@ def meetings(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     return out.unionByName(split.select(F.xxhash64("kind", "family").alias("family"), F.lit(False).alias("whole"), "n_blocks", "s1", "rep"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """``id, n_shingles, component_id, n_equal`` of every row: the least id reachable and how many rows have the same set."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
+def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
+    """``(id, row, text)`` to ``id, row, n, component, copies``; ``row`` is carried along.
+
+    Ids are not null; rows with one id are one node with each of its texts. A component is its least id, and
+    rows without words are their own.
+    """
+    spark = rows.sparkSession
     survey = common.checkpointed(surveyed(rows, width))
     counts = sketch(survey)
     every = survey.where("part is null").drop("part")
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
     kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kinds = common.checkpointed(kinds)
@@ -406,8 +412,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     known = known.select("s1", "s2", F.coalesce("component", "rep").alias("component"), "copies")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["s1", "s2", "salt"], "left")
-    whole = lambda c: F.when(c != F.lit(-(1 << 63)), c)
-    return out.select(whole(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), whole(F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("n_equal"))
+    has_words = F.col("n") > 0
+    return out.select("id", "row", "n", F.when(has_words, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"), F.when(has_words, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("copies"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
+    """``id, n_shingles, component_id, n_equal`` of every row: the least id reachable and how many rows have the same set."""
+    # each text without an id is a node of its own, below all ids
+    text = common.named(text_col)
+    nameless = F.lit(NO_ID) + F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1))
+    rows = docs.select(F.coalesce(common.named(id_col).cast("long"), nameless).alias("id"), F.lit(0).cast("long").alias("row"), text.alias("text"))
+    known = lambda c: F.when(F.col(c) >= F.lit(NO_ID + NAMELESS), F.col(c))
+    return reached(rows, width, similar).select(known("id").alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"), F.col("copies").alias("n_equal"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,6 +431,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays."""
-    gone = classes(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select([common.named(c) for c in docs.columns])
+    """Pipeline stage: of each component one row stays, of the rows with the least id the one whose hash is least.
+
+    Here rows that share an id but not the text are documents of their own. A null id is less than all others.
+    Of rows that repeat id and text one stays. Rows without words are linked with nothing and all stay.
+    """
+    real = F.coalesce(common.named("doc_id").cast("long"), F.lit(NO_ID))
+    text = common.named("text")
+    ids = [F.xxhash64(real, text).alias("id"), real.alias("row")]
+    found = common.checkpointed(reached(docs.select(*ids, text.alias("text")), WIDTH, SIMILAR).where("n > 0"))
+    first = found.groupBy("component").agg(F.min(F.struct("row", "id")).alias("first"))
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"])
+    gone = spread.where(F.struct("row", "id") != F.col("first")).select("id", "row").distinct()
+    again = found.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row")
+    rest = F.struct(*[common.named(c) for c in docs.columns]).alias("rest_")
+    left = docs.select(*ids, rest).join(gone, ["id", "row"], "left_anti")
+    once = left.join(again, ["id", "row"], "left_anti").unionByName(left.join(again, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]))
+    return once.select("rest_.*")
