@@ -18,4 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_source_mix": mixing.OP1_SQL,
+    "op5_automaton_dedup": automaton.OP5_SQL,
+    "op7_suffix_levels": suffix_levels.OP7_SQL,
+    "op8_secret_scan": secrets.OP8_SQL,
 }

@@ -152,27 +152,55 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql(rules: list[tuple[str, str, int, int]], n_base: int) -> str:
+    """The query over ``documents`` in SQL: of each kind the pattern's matches, placed by the gaps between them."""
+    quoted = lambda x: x.replace("'", "''")
+    parts = [
+        f"""SELECT doc_id, {i} AS rank, '{kind}' AS kind, gaps, found, longs, unnest(range(1, len(found) + 1)) AS k, {least} AS least
+FROM (SELECT doc_id, string_split_regex(t, '{quoted(p)}') AS gaps, regexp_extract_all(t, '{quoted(p)}', 0) AS found, regexp_extract_all(t, '{quoted(p)}', {group}) AS longs FROM d)"""
+        for i, (kind, p, group, least) in enumerate(rules)
+    ]
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in rules[:n_base])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT doc_id, rank, kind, length(found[k]) AS size,
+    (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM m WHERE length(longs[k]) >= least),
+s AS (SELECT *, kind || ':' || start || ':' || (start + size) AS shown FROM p),
+g AS (SELECT doc_id, {counts}, string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < {n_base}) AS base, string_agg(shown, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in rules[:n_base])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+#: The base rules as the contract words them, and the extra ones.
+OP8_SQL = _sql(
+    [("assign", BASE[0].pattern, BASE[0].group, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)] + [(r.kind, r.pattern, r.group, r.least) for r in EXTRA],
+    len(BASE),
+)
+
+
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each found span of its text replaced by ``mark``; overlapping spans become one."""
+    """``docs`` with each found span of its text replaced by ``mark``; overlapping spans become one. Null texts stay null."""
+    text = F.col("text_")
     merged = F.aggregate(
         "findings",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     found = findings.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
-    names = docs.columns
-    keyed = docs.select("*", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
-    return with_findings(keyed, found, F.col(id_col)).select(*[F.when(F.size("findings") > 0, merged).otherwise(F.col(text_col)).alias(text_col) if c == text_col else common.named(c) for c in names])
+    rest, unpack = common.carried(docs, text_col, ())
+    keyed = rest.withColumn("blob", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    spread = F.col("rest_").getField(id_col)
+    done = with_findings(keyed, found, spread).withColumn("text_", F.when(F.size("findings") > 0, merged).otherwise(text))
+    return done.select(*unpack)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, with its secrets masked and ``n_chars`` brought up to date."""
-    rest, unpack = common.packed(docs, "doc_id", "text")
-    versions = addressed(rest)
-    found = scan(distinct_blobs(versions))
-    done = redact(rest, found).select(unpack)
+    done = redact(docs, scan(distinct_blobs(addressed(docs))))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
