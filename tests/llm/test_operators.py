@@ -1,8 +1,12 @@
 """Small cases and brute force for the operators of pagelens.llm."""
 
 import collections
+import hashlib
+import html
+import itertools
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -223,6 +227,18 @@ def test_ngram_join_repeated_row(spark):
     assert sorted((r["doc_id"], r["component_id"], r["n_equal"]) for r in got) == [(1, 1, 1), (7, 1, 2), (7, 1, 2), (8, 1, 1), (20, 1, 1), (30, 1, 1), (30, 1, 1), (40, 40, 1)]
 
 
+def test_one_of_each_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " more"), (None, b), (3, a + " else"), (4, c), (4, c), (4, "another text of that id"), (5, c + " more"), (6, ""), (6, ""), (None, None), (7, "short text"), (8, "Short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("own")).withColumn("id", F.lit(1)).withColumn("a b.c", F.lit(2))
+    left = ngram_join.one_of_each(spark, df, "")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+    kept = {x for x in got if x[0] is None and x[1] in (a, a + " more")}
+    assert left.columns == df.columns and len(kept) == 1 and sum(got[x] for x in kept) == 1
+    assert got - collections.Counter(kept) == collections.Counter([(None, b), (4, c), (4, "another text of that id"), (6, ""), (6, ""), (None, None), (7, "short text")])
+    assert ngram_join.one_of_each(spark, df.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize(("hot", "stretch", "chunk"), [(255, 1 << 14, 8 << 20), (6, 16, 700)])
 def test_repeats_brute(spark, monkeypatch, hot, stretch, chunk):
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -454,45 +470,228 @@ def test_quality_without_labels(spark, docs):
 
 
 def test_clashing_columns(docs):
-    wide = docs.withColumn("a b.c`", F.array(F.lit(1))).withColumn("kept", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("n_words", F.lit(3))
+    """Columns that are named like an operator's own, in any case, are carried along or replaced, never a crash."""
+    names = ("kept", "IDS", "n_words", "Findings", "blob", "rest_", "spans", "decoded", "text_", "salt_", "id", "row", "a b.c`", "m_key", "copies")
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    total = docs.count()
+
+    def same(made, gone=(), added=()):
+        assert [c.lower() for c in made.columns] == [c.lower() for c in wide.columns if c.lower() not in gone] + list(added)
+        rows = made.collect()
+        assert len(rows) == total and all(r[n] == n for r in rows for n in names if n.lower() not in (*gone, *added))
+
     rest, unpack = common.packed(wide, "doc_id", "text")
-    assert rest.select(unpack).columns == wide.columns and quality.score(rest, None).count() == docs.count()
-    with pytest.raises(ValueError):
-        bpe.encode(wide)
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs, before = common.read(spark, sf_dir, "documents"), None
-    for name, stage in corpus_pipeline.STAGES:
-        docs = common.checkpointed(stage(spark, docs, sf_dir))
-        n = docs.count()
-        if name in ("quality_rules", "ngram_join"):
-            assert n <= (before or 200)
-        if name == "secret_scan":
-            assert n == before
-        before = n
-    assert docs.columns[0] == "doc_id" and before > 0
-
-
-@pytest.mark.parametrize("text", [None, "", " \n"])
-def test_nothing_but(spark, text):
-    df = spark.createDataFrame([(i if i else None, text, None) for i in range(4)], "doc_id long, text string, source string")
-    assert [(r["n_words"], r["kept"]) for r in quality.score(df, None).collect()] == [(0, False)] * 4
-    assert {r["n_shingles"] for r in ngram_join.classes(df).collect()} == {0}
-    for dedup in (automaton.deduplicate, suffix_levels.deduplicate):
-        assert {r["n_removed"] for r in dedup(df).collect()} == {0}
-    assert {r["taken"] for r in mixing.mix(df).collect()} == {0}
-    assert all(r["spans"] == [] for r in pii.detect(df).collect())
-    assert all(r["findings"] == [] for r in secrets.incremental(df)[0].collect())
-    assert b"".join(bytes(r["decoded"]) for r in bpe.encode(df, decoded=True).collect()).decode() == (text or "") * 4
+    assert rest.select(unpack).columns == wide.columns
+    same(bpe.encode(wide, decoded=True), ("ids", "decoded"), ("ids", "decoded"))
+    same(bpe.decode(wide.withColumn("numbers", F.array(F.lit(5))), "numbers").drop("numbers"), ("decoded",), ("decoded",))
+    same(pii.detect(wide), ("spans",), ("spans",))
+    quality_names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+    same(quality.score(wide, None), quality_names, quality_names)
+    same(html_main.extract(wide.withColumn("html", F.col("text")), text_col="main"), (), ("main",))
+    same(secrets.without_secrets(None, wide, ""))
+    assert ngram_join.one_of_each(None, wide, "").columns == wide.columns and mixing.mixed(wide).columns == wide.columns
+    assert ngram_join.classes(wide).count() == automaton.deduplicate(wide).count() == suffix_levels.deduplicate(wide).count() == total
+
+
+# every query through its function
+
+
+def by_id(df):
+    return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+
+def sha(data):
+    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_op2_query(spark, sf_dir, texts):
+    got = by_id(ngram_join.op2_ngram_join(spark, sf_dir))
+    assert {(i, r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(list(texts.items()))
+
+
+def test_op3_query(spark, sf_dir, texts, tokenizer):
+    got = by_id(bpe.op3_byte_bpe(spark, sf_dir))
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = tokenizer[1].encode_ordinary(t)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(t))
+
+
+def article_of(page):
+    """The article of a page of the test tables, read off its markup."""
+    body = page[page.index("<article>") + 9 : page.index("</article>")]
+    blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", x.replace("<b>", ""))).split()) for x in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(x for x in blocks if x)
 
 
-def test_stages_keep_odd_columns(spark, sf_dir):
-    import corpus_pipeline
+def test_op4_query(spark, sf_dir):
+    for folder in (sf_dir, str(Path(sf_dir).parent / "sf0.01")):
+        pages = {r["page_id"]: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+        for r in html_main.op4_html_main_text(spark, folder).collect():
+            want = article_of(pages[r["page_id"]]["html"])
+            assert (r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], want, len(want))
 
-    docs = common.read(spark, sf_dir, "documents").withColumn("a b.c`", F.array(F.lit(1))).withColumn("findings", F.lit("x")).withColumn("m_size", F.lit(2)).withColumn("kept", F.lit(3))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns
-        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+def test_op5_op7_queries(spark, sf_dir, texts):
+    rows = list(texts.items())
+    got = by_id(automaton.op5_automaton_dedup(spark, sf_dir))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: (n, gone, sha(kept)) for i, (n, gone, kept) in brute_words(rows, 20).items()}
+    got = by_id(suffix_levels.op7_suffix_levels(spark, sf_dir))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == {i: (n, gone, k, sha(kept)) for i, (n, gone, k, kept) in brute_bytes(rows, 50).items()}
+
+
+def test_op6_query(spark, sf_dir, texts):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    for i, r in by_id(pii.op6_personal_data(spark, sf_dir)).items():
+        t = texts[i]
+        want = [("email", *m.span()) for m in email.finditer(t)]
+        want += [("ip", *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [("card", *m.span()) for m in card.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        want += [("phone", *m.span()) for m in phone.finditer(t) if 9 <= len(digits(m)) <= 15]
+        shown = [":".join(map(str, s)) for s in want]
+        assert r["base_sha256"] == sha(",".join(shown)) and set(shown) <= set(r["spans"].split(",")) | {""}
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS] and r["n_spans"] == len([x for x in r["spans"].split(",") if x])
+
+
+def test_op8_query(spark, sf_dir, texts):
+    rules = {
+        "assign": (re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I), 2, 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), 0, 20),
+        "hex": (re.compile("[0-9a-f]+"), 0, 24),
+    }
+    kinds = list(rules)
+    for i, r in by_id(secrets.op8_secret_scan(spark, sf_dir)).items():
+        want = sorted((m.start(), kinds.index(k), k, m.end()) for k, (p, g, least) in rules.items() for m in p.finditer(texts[i]) if len(m[g]) >= least)
+        shown = [f"{k}:{a}:{b}" for a, _, k, b in want]
+        assert r["base_sha256"] == sha(",".join(shown)) and [r[f"n_{k}"] for k in kinds] == [sum(s[2] == k for s in want) for k in kinds]
+        assert set(shown) <= set(r["spans"].split(",")) | {""}
+
+
+def test_op9_query(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows}
+    every = np.array(list(x.values()))
+    ids, size, hit, found = np.array(list(x)), np.sqrt((every**2).sum(1)), 0, collections.defaultdict(list)
+    for r in ann.op9_permutation_neighbours(spark, sf_dir).orderBy("query_id", "rank").collect():
+        q, v = x[r["query_id"]], x[r["vec_id"]]
+        assert r["score"] == pytest.approx(q @ v / np.sqrt((q @ q) * (v @ v)), abs=1e-14)
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(found) == {i for i in x if i % 50 == 0}
+    for q, some in found.items():
+        assert len(some) == 5 and some == sorted(some, key=lambda s: (-s[1], s[0]))
+        near = np.where(ids == q, -2, every @ x[q] / size / np.linalg.norm(x[q]))
+        hit += len({v for v, _ in some} & set(ids[np.argsort(-near)[:5]]))
+    assert hit / (5 * len(found)) >= 0.9
+
+
+def test_op10_query(spark, sf_dir, texts):
+    got = by_id(quality.op10_quality_rules(spark, sf_dir))
+    for i, t in texts.items():
+        w = WORD.findall(t)
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        seen = collections.Counter(windows)
+        covered = {k + j for k, x in enumerate(windows) if seen[x] > 1 for j in range(8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+
+
+def test_suffix_levels_on_documents(texts):
+    """On documents, several levels of a shard are scanned and merged."""
+    rows = sorted((i, t.encode()) for i, t in texts.items() if t)[:150]
+    family = suffix_levels.Family(50)
+    suffix_levels.matched_by(family, np.array([i for i, _ in rows]), [t for _, t in rows], suffix_levels.BYTES)
+    assert family.batches >= 8 and family.merges >= 4 and family.scans >= 8
+
+
+def test_pipeline_stages(spark, sf_dir, texts, tokenizer):
+    """Each stage of the pipeline on what the one before it kept, against brute force."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    good = quality.keep_good(spark, docs, sf_dir).persist()
+    assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in quality.score(docs, model).where("kept").collect()} and good.columns == docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in good.collect()]
+    once = ngram_join.one_of_each(spark, good, sf_dir).persist()
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(i for i, _, c in brute_components(rows) if i == c)
+    clean = secrets.without_secrets(spark, once, sf_dir).persist()
+    patterns = [(re.compile(r.pattern), r.group, r.least) for r in secrets.RULES]
+    for r in clean.collect():
+        text, gone = texts[r["doc_id"]], set()
+        for p, g, least in patterns:
+            for m in p.finditer(text):
+                gone |= set(range(*m.span())) if len(m[g]) >= least else set()
+        want, last = "", -1
+        for a, b in sorted({(m.start(), m.end()) for p, g, least in patterns for m in p.finditer(text) if len(m[g]) >= least}):
+            want += (text[max(last, 0) : a] + "[SECRET]") if a >= last else ""
+            last = max(last, b)
+        assert r["text"] == want + text[max(last, 0) :] and r["n_chars"] == len(r["text"]) and ("[SECRET]" in r["text"]) == bool(gone)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(clean).collect()}
+    mixed = mixing.mixed(clean).persist()
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == collections.Counter({i: n for i, n in copies.items() if n})
+    masked = {r["doc_id"]: r["text"] for r in clean.collect()}
+    for r in bpe.token_ids(spark, mixed, sf_dir).collect():
+        assert r["ids"] == tokenizer[1].encode_ordinary(masked[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+
+
+# more of op4 and op6
+
+
+def test_leaf_blocks_inline_and_heads():
+    read = lambda page: [b.text for b in html_main.leaf_blocks(page)]
+    assert read("<p>one <script>x</script>two <style>y</style>three<svg><text>no</text></svg> four</p>") == ["one two three four"]
+    assert read("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b <noscript>c</noscript> <object>d</object></p>") == ["a x=2 b c d"]
+    assert read("<html><head><title>T</title><meta a=b><p>Text of an open head</p>") == ["Text of an open head"]
+    assert read("<head><style>p{}</style>Words</head> end") == ["Words", "end"]
+    assert read("<head><title>x</title></head><body><p>y") == ["y"] and read("<head>") == [] and read("<p>a</b></i></div>b") == ["a", "b"]
+
+
+def test_html_cases(spark):
+    deep = "<div>" * 50_000 + "<article><p>Deep words stand here.</p></article>" + "</div></span>" * 50_000
+    rows = [(1, "u", deep), (2, "u", "<article><p>Some words stand here.</p></article>"), (2, "u", "<article><p>Some words stand here.</p></article>"), (None, None, "<article><p>" + "long " * 200_000 + "</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["text"]) for r in html_main.extract(df).collect())
+    assert got == [("1", "Deep words stand here."), ("2", "Some words stand here."), ("2", "Some words stand here."), ("None", ("long " * 200_000).strip())]
+    assert html_main.extract(df.limit(0)).count() == 0
+
+
+def test_viterbi_is_brute_force():
+    rng = np.random.default_rng(3)
+    model = pii.Crf({f"f{i}": i for i in range(6)}, rng.normal(size=(6, len(pii.LABELS))), rng.normal(size=(len(pii.LABELS), len(pii.LABELS))))
+    sequences = [[[f"f{rng.integers(8)}" for _ in range(rng.integers(0, 4))] for _ in range(rng.integers(1, 5))] for _ in range(30)]
+    for s, path in zip(sequences, model.decode(sequences), strict=True):
+        e = [sum((model.emit[model.index[f]] for f in w if f in model.index), np.zeros(len(pii.LABELS))) for w in s]
+        for x in e:
+            x[0] += model.caution
+
+        def score(p):
+            return sum(e[i][y] for i, y in enumerate(p)) + sum(model.step[a, b] for a, b in zip([0, *p], [*p, 0]))
+
+        assert score(path) == pytest.approx(max(map(score, itertools.product(range(len(pii.LABELS)), repeat=len(s)))))
+
+
+def test_crf_alone(spark, sf_dir, empty):
+    """Without the patterns' help the CRF finds nearly all that they find, and what they lose."""
+    model = pii.default_model()
+    texts = [r["text"] for r in spark.read.parquet(f"{Path(sf_dir).parent}/sf0.1/documents.parquet").select("text").collect() if r["text"]]
+    hit = total = 0
+    for t, spans in zip(texts, pii.crf_spans(texts, model), strict=True):
+        base = set(pii.base_spans(t))
+        hit, total = hit + len(base & set(spans)), total + len(base)
+    assert hit >= 0.95 * total
+    examples = pii.labelled_examples(seed=991, rounds=10)
+    pairs = [(set(s), set(f)) for (_, s), f in zip(examples, pii.crf_spans([t for t, _ in examples], model), strict=True)]
+    right = sum(len(a & b) for a, b in pairs)
+    assert right >= 0.95 * sum(len(b) for _, b in pairs) and right >= 0.9 * sum(len(a) for a, _ in pairs)
+    assert ("phone", 10, 27, False) in pii.found(["now call  +1 (826) 555-4081 190.137.223.204 today"], model)[0]
+    long = " ".join(["12"] * 5000) + " 4111111111111111"
+    assert pii.runs(long) and len(pii.runs(long)[0]) == 5001 and pii.crf_spans([long], model) is not None
+    assert pii.detect(empty).count() == 0
