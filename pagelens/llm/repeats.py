@@ -10,8 +10,10 @@ are to be found. The routing never decides a match; it brings together what may
    with their owner: the first document, and the stretch of it, that holds the key.
 2. A window whose anchor repeats is a candidate. Runs of candidates with one owner are sent, as
    text, to the owner's shard. A key that ``HOT`` or more places have is no longer sent to its owner but
-   dealt by itself, so a passage that a third of all documents share is spread over all shards. Thus a
-   group holds what at most ``HOT`` places share with one stretch of ``STRETCH`` units, or with one key.
+   dealt by itself, and where ``SPREAD`` or more have it, each window by its own content, so a passage that
+   a third of all documents share, each in a text of its own, is spread over all shards. Thus a group holds
+   what fewer than ``HOT`` places share with one stretch of ``STRETCH`` units, fewer than ``SPREAD`` with one
+   key, or what each chunk sends once of one window.
 3. Before it sends, a chunk compares its runs by their bytes: of equal runs the first is sent, the others
    are settled there, as equal runs are covered whatever the matcher says of the first. This is a
    pre-aggregation at every size; what a chunk sends once is what the matcher reads.
@@ -31,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ from pagelens.llm import common
 CHUNK_BYTES = 8 << 20
 #: Places from which on a key is dealt by itself; counts of a chunk are saturated at 255.
 HOT = 255
+#: Places from which on each window of a key is dealt by its content.
+SPREAD = 1024
 #: Units of an owner's text that share a group.
 STRETCH = 1 << 14
 BLOCK = 1 << 20
@@ -193,7 +198,7 @@ def repeated_anchors(docs: DataFrame, n: int, spec: Spec) -> DataFrame:
         group = np.cumsum(fresh) - 1
         keep = (total > 1)[group]
         owner = ((chunk[begin].astype(np.uint64) << np.uint64(16)) | doc[begin].astype(np.uint64))[group][keep]
-        stretch, hot = stretch[begin][group][keep], (total >= HOT)[group][keep].astype(np.uint8)
+        stretch, hot = stretch[begin][group][keep], ((total >= HOT).astype(np.uint8) + (total >= SPREAD))[group][keep].astype(np.uint8)
         chunk, key = chunk[keep], key[keep]
         order = np.argsort(chunk, kind="stable")
         chunk = chunk[order]
@@ -224,7 +229,7 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
             tag = _tags(key, bucket)
             group = common.mix(np.where(hot > 0, tag, owner * _ODD + stretch))
             order = np.argsort(tag)
-            tag, group = tag[order], group[order]
+            tag, group, hot = tag[order], group[order], hot[order]
             chunk = int(docs["chunk"][0].as_py())
             runs: list[tuple] = []
             for b in _blocks(docs):
@@ -255,20 +260,37 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
                 a, z = _starts(new)
                 end = unit[z - 1] + spec.window
                 origin = s.first[row[a]]
-                each = (ids[row[a]], own[row[a]], unit[a] - origin, end - origin, to[a].view(np.int64), unit[a], end)
-                for i, r, p, q, g, x, y in zip(*(c.tolist() for c in each)):
-                    runs.append((i, r, p, q, g, s.content(x, y)))
+                each = (ids[row[a]], own[row[a]], unit[a] - origin, end - origin, to[a].view(np.int64), hot[at[i[a]]], unit[a], end)
+                for who, r, p, q, g, heat, x, y in zip(*(c.tolist() for c in each)):
+                    runs.append((who, r, p, q, g, heat, s.content(x, y)))
             # of equal runs the first is sent, and with it, where places within a document don't count, its document's others
             runs.sort(key=lambda r: r[:4])
-            first: dict[bytes, tuple] = {}
+            seen: dict[bytes, tuple] = {}
             settled: list[tuple] = []
+
+            def fresh(run: tuple, content: bytes) -> bool:
+                """Whether a run must be sent; one that equals an earlier one is settled, but where both are the same place of a row that is repeated."""
+                sender = seen.setdefault(content, run)
+                if sender is run or (sender[0] == run[0] and sender[:3] != run[:3] and not spec.same_doc):
+                    return True
+                if sender[:3] != run[:3]:
+                    settled.append(run[1:4])
+                return False
+
             for run in runs:
-                i, r, p, q, g, content = run
-                sender = first.setdefault(content, run)
-                if sender is run or (sender[0] == i and sender[:3] != run[:3] and not spec.same_doc):
+                i, r, p, q, g, heat, content = run
+                if not fresh(run, content):
+                    continue
+                if heat < 2:
                     out.append(((g & 0xFFFFFFFFFFFFFFFF) % shards, g, i, r, chunk, p, q, content))
-                elif sender[:3] != run[:3]:  # the same place of a row that is repeated has the same answer
-                    settled.append((r, p, q))
+                    continue
+                units = content.split() if spec.words else content
+                for k in range(q - p - spec.window + 1):
+                    part = b" ".join(units[k : k + spec.window]) if spec.words else units[k : k + spec.window]
+                    one = (i, r, p + k, p + k + spec.window)
+                    if q - p == spec.window or fresh(one, part):
+                        h = xxhash.xxh64_intdigest(part)
+                        out.append((h % shards, h - (1 << 63), i, r, chunk, *one[2:], part))
             if settled:
                 where = int(common.mix(np.array([chunk], np.uint64))[0]) % shards
                 out += [(where, 0, 0, r, chunk, p, q, None) for r, p, q in zip(*(x.tolist() for x in _merged(*(np.array(x, np.int64) for x in zip(*settled)))))]

@@ -239,9 +239,10 @@ def test_one_of_each_null_and_repeated_ids(spark):
     assert ngram_join.one_of_each(spark, df.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize(("hot", "stretch", "chunk"), [(255, 1 << 14, 8 << 20), (6, 16, 700)])
-def test_repeats_brute(spark, monkeypatch, hot, stretch, chunk):
+@pytest.mark.parametrize(("hot", "spread", "stretch", "chunk"), [(255, 1024, 1 << 14, 8 << 20), (6, 1 << 30, 16, 700), (4, 9, 16, 1500)])
+def test_repeats_brute(spark, monkeypatch, hot, spread, stretch, chunk):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SPREAD", spread)
     monkeypatch.setattr(repeats, "STRETCH", stretch)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
     rng = random.Random(hot)
