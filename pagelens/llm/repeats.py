@@ -14,9 +14,10 @@ are to be found. The routing never decides a match; it brings together what may
    a third of all documents share, each in a text of its own, is spread over all shards. Thus a group holds
    what fewer than ``HOT`` places share with one stretch of ``STRETCH`` units, fewer than ``SPREAD`` with one
    key, or what each chunk sends once of one window.
-3. Before it sends, a chunk compares its runs by their bytes: of equal runs the first is sent, the others
-   are settled there, as equal runs are covered whatever the matcher says of the first. This is a
-   pre-aggregation at every size; what a chunk sends once is what the matcher reads.
+3. Before it sends, a chunk compares its runs by their bytes: of equal runs the first is sent, with all
+   its places in its document; those of other documents are settled there, as equal runs are covered
+   whatever the matcher says of the first. This is a pre-aggregation at every size; what a chunk sends once
+   is what the matcher reads.
 4. A shard hands its pieces, in order of document and place, to the ``match`` it was given (suffix
    automata or suffix arrays), which alone decides what was there before.
 5. The spans go back to their chunks.
@@ -43,7 +44,7 @@ CHUNK_BYTES = 8 << 20
 #: Places from which on a key is dealt by itself; counts of a chunk are saturated at 255.
 HOT = 255
 #: Places from which on each window of a key is dealt by its content.
-SPREAD = 1024
+SPREAD = 1 << 11
 #: Units of an owner's text that share a group.
 STRETCH = 1 << 14
 BLOCK = 1 << 20
@@ -216,8 +217,9 @@ def _tags(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame:
-    """``(shard, group_, id, row, chunk, start, stop, content)``: candidate runs; without content, what is known to repeat."""
-    schema = "shard int, group_ long, id long, row long, chunk int, start int, stop int, content binary"
+    """``(shard, group_, id, row, chunk, starts, stops, content)``: candidate runs and their places in a row; without content, what is known to repeat."""
+    names = ["shard", "group_", "id", "row", "chunk", "starts", "stops", "content"]
+    schema = "shard int, group_ long, id long, row long, chunk int, starts binary, stops binary, content binary"
     shards = 2 * n
 
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -260,42 +262,50 @@ def pieces(docs: DataFrame, replies: DataFrame, n: int, spec: Spec) -> DataFrame
                 a, z = _starts(new)
                 end = unit[z - 1] + spec.window
                 origin = s.first[row[a]]
-                each = (ids[row[a]], own[row[a]], unit[a] - origin, end - origin, to[a].view(np.int64), hot[at[i[a]]], unit[a], end)
+                each = (ids[row[a]], own[row[a]], unit[a] - origin, end - origin, to[a], hot[at[i[a]]], unit[a], end)
                 for who, r, p, q, g, heat, x, y in zip(*(c.tolist() for c in each)):
                     runs.append((who, r, p, q, g, heat, s.content(x, y)))
-            # of equal runs the first is sent, and with it, where places within a document don't count, its document's others
             runs.sort(key=lambda r: r[:4])
-            seen: dict[bytes, tuple] = {}
             settled: list[tuple] = []
 
-            def fresh(run: tuple, content: bytes) -> bool:
-                """Whether a run must be sent; one that equals an earlier one is settled, but where both are the same place of a row that is repeated."""
-                sender = seen.setdefault(content, run)
-                if sender is run or (sender[0] == run[0] and sender[:3] != run[:3] and not spec.same_doc):
-                    return True
-                if sender[:3] != run[:3]:
-                    settled.append(run[1:4])
-                return False
-
-            for run in runs:
-                i, r, p, q, g, heat, content = run
-                if not fresh(run, content):
-                    continue
+            def sent(seen: dict[bytes, list], i: int, r: int, p: int, q: int, g: int, content: bytes) -> bool:
+                """Note one more place of a run. False if its windows start earlier in another row, or, where that counts, in the same."""
+                first = seen.get(content)
+                if first is None:
+                    seen[content] = [g % shards, g - (1 << 63), i, r, chunk, [p], [q]]
+                elif first[3] == r and p == first[5][-1]:
+                    pass  # a row that is repeated has the same answer
+                elif first[2] == i and not spec.same_doc:  # another place in the document: the same answer in this row
+                    if first[3] == r:
+                        first[5].append(p)
+                        first[6].append(q)
+                    else:
+                        out.append((first[0], first[1], i, r, chunk, np.int32(p).tobytes(), np.int32(q).tobytes(), content))
+                else:
+                    settled.append((r, p, q))
+                    return False
+                return True
+
+            whole: dict[bytes, list] = {}
+            wide: dict[bytes, list] = {}
+            parts: dict[bytes, list] = {}
+            for i, r, p, q, g, heat, content in runs:
                 if heat < 2:
-                    out.append(((g & 0xFFFFFFFFFFFFFFFF) % shards, g, i, r, chunk, p, q, content))
-                    continue
-                units = content.split() if spec.words else content
-                for k in range(q - p - spec.window + 1):
-                    part = b" ".join(units[k : k + spec.window]) if spec.words else units[k : k + spec.window]
-                    one = (i, r, p + k, p + k + spec.window)
-                    if q - p == spec.window or fresh(one, part):
-                        h = xxhash.xxh64_intdigest(part)
-                        out.append((h % shards, h - (1 << 63), i, r, chunk, *one[2:], part))
+                    sent(whole, i, r, p, q, g, content)
+                elif sent(wide, i, r, p, q, 0, content):  # each window is dealt by its content
+                    units = content.split() if spec.words else content
+                    for k in range(q - p - spec.window + 1):
+                        part = b" ".join(units[k : k + spec.window]) if spec.words else units[k : k + spec.window]
+                        sent(parts, i, r, p + k, p + k + spec.window, xxhash.xxh64_intdigest(part), part)
+            for seen in (whole, parts):
+                out += [(*x[:5], np.array(x[5], np.int32).tobytes(), np.array(x[6], np.int32).tobytes(), content) for content, x in seen.items()]
             if settled:
                 where = int(common.mix(np.array([chunk], np.uint64))[0]) % shards
-                out += [(where, 0, 0, r, chunk, p, q, None) for r, p, q in zip(*(x.tolist() for x in _merged(*(np.array(x, np.int64) for x in zip(*settled)))))]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "group_", "id", "row", "chunk", "start", "stop", "content"])
+                r, p, q = _merged(*(np.array(x, np.int64) for x in zip(*settled)))
+                for a, z in zip(*_starts(_fresh(r))):
+                    out.append((where, 0, 0, int(r[a]), chunk, p[a:z].astype(np.int32).tobytes(), q[a:z].astype(np.int32).tobytes(), None))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
 
@@ -304,13 +314,19 @@ def matched(found: DataFrame, match: Match, spec: Spec) -> DataFrame:
     """``(chunk, rows, starts, stops)``: packed, the spans of units that were there before."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.append_column("first", pa.array(np.array([np.frombuffer(x[:4], np.int32)[0] for x in table["starts"].to_pylist()], np.int32)))
         known = table.filter(pa.compute.is_null(table["content"]))
-        table = table.filter(pa.compute.is_valid(table["content"])).sort_by([("id", "ascending"), ("row", "ascending"), ("start", "ascending")])
-        start = table["start"].to_numpy()
-        which, begin, end = match(table["id"].to_numpy(), start, table["content"].to_pylist(), table["group_"].to_numpy(), spec) if len(start) else (np.zeros(0, np.int64),) * 3
-        rows = np.concatenate([table["row"].to_numpy()[which], known["row"].to_numpy()])
-        begin, end = np.concatenate([start[which] + begin, known["start"].to_numpy()]), np.concatenate([start[which] + end, known["stop"].to_numpy()])
-        chunk = np.concatenate([table["chunk"].to_numpy()[which], known["chunk"].to_numpy()])
+        table = table.filter(pa.compute.is_valid(table["content"])).sort_by([("id", "ascending"), ("row", "ascending"), ("first", "ascending")])
+        which, begin, end = match(table["id"].to_numpy(), table["first"].to_numpy(), table["content"].to_pylist(), table["group_"].to_numpy(), spec) if table.num_rows else (np.zeros(0, np.int64),) * 3
+        # a span holds at each place of its piece
+        places = [np.frombuffer(x, np.int32) for x in table["starts"].to_pylist()]
+        n = np.array([len(places[w]) for w in which], np.int64)
+        starts = np.concatenate([places[w] for w in which]) if len(which) else np.zeros(0, np.int32)
+        which, begin, end = np.repeat(which, n), np.repeat(begin, n) + starts, np.repeat(end, n) + starts
+        sizes = [len(x) // 4 for x in known["starts"].to_pylist()]
+        rows = np.concatenate([table["row"].to_numpy()[which], np.repeat(known["row"].to_numpy(), sizes)])
+        begin, end = np.concatenate([begin, _joined(known["starts"], np.int32)]), np.concatenate([end, _joined(known["stops"], np.int32)])
+        chunk = np.concatenate([table["chunk"].to_numpy()[which], np.repeat(known["chunk"].to_numpy(), sizes)])
         order = np.argsort(chunk, kind="stable")
         rows, begin, end, chunk = (x[order] for x in (rows.astype(np.int64), begin.astype(np.int32), end.astype(np.int32), chunk))
         a, z = _starts(_fresh(chunk)) if len(chunk) else (chunk, chunk)
