@@ -18,7 +18,6 @@ BLOCK = frozenset("address article aside blockquote body center dd details div d
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select body html div".split())
 UNSEEN = frozenset(("script", "style", "noscript", "template"))
-MAX_BYTES = 1_500_000
 
 
 @dataclass
@@ -84,12 +83,12 @@ class _Builder(HTMLParser):
             self.open[-1].parts.append(data)
 
 
-def parse(page: str | None) -> list[Node] | None:
-    """All elements in document order, or None."""
+def parse(page: str | None, most: int | None = None) -> list[Node] | None:
+    """All elements in document order, or None; of the first ``most`` characters where a limit is asked for."""
     if not page or not page.strip():
         return None
     builder = _Builder()
-    builder.feed(page[:MAX_BYTES])
+    builder.feed(page if most is None else page[:most])
     builder.close()
     return builder.nodes or None
 
@@ -102,14 +101,19 @@ def page_text(nodes: list[Node]) -> str:
     return " ".join(x for x in (r.text() for r in roots(nodes)) if x)
 
 
-def repeats(nodes: list[Node]) -> list[tuple[str, int]]:
-    """Runs of at least three siblings with one signature (tag and children's tags), the largest first."""
+def runs(nodes: list[Node]) -> list[tuple[str, str, int]]:
+    """Runs of at least three siblings alike: their tag, their children's tags joined by + (40 characters), how many."""
     out = []
     for node in nodes:
         if len(node.children) >= 3:
-            found = Counter(f"{c.tag}({'+'.join(x.tag for x in c.children)[:40]})" for c in node.children)
-            out += [(s, n) for s, n in found.items() if n >= 3]
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+            found = Counter((c.tag, "+".join(x.tag for x in c.children)[:40]) for c in node.children)
+            out += [(tag, kids, n) for (tag, kids), n in found.items() if n >= 3]
+    return out
+
+
+def repeats(nodes: list[Node]) -> list[tuple[str, int]]:
+    """The runs by signature, ``tag(children)``, the largest first."""
+    return sorted(((f"{tag}({kids})", n) for tag, kids, n in runs(nodes)), key=lambda x: (-x[1], x[0]))
 
 
 def without_boilerplate(nodes: list[Node], words: tuple[str, ...], tags: tuple[str, ...] = ("nav", "footer", "header", "aside", "form", "script", "style", "noscript", "iframe", "svg", "button")) -> list[Node]:
@@ -127,51 +131,61 @@ def main_content(nodes: list[Node], words: tuple[str, ...], least: int = 200) ->
     """The longest text among article, main, role=main and content-like elements, if it has ``least`` characters; else all that is left."""
     left = without_boilerplate(nodes, words)
     ids = {id(n) for n in left}
+    # words of each element and their characters, from the last element to the first, so that children come before parents
+    size: dict[int, tuple[int, int]] = {}
+    for n in reversed(left):
+        parts = [(len(w), sum(map(len, w))) if isinstance(x, str) and (w := x.split()) is not None else size.get(id(x), (0, 0)) for x in n.parts]
+        size[id(n)] = sum(k for k, _ in parts), sum(c for _, c in parts)
 
     def text(n: Node) -> str:
-        return " ".join(" ".join(x if isinstance(x, str) else text(x) for x in n.parts if isinstance(x, str) or id(x) in ids).split())
+        out: list[str] = []
+        stack: list = [n]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out += x.split()
+            elif id(x) in ids:
+                stack.extend(reversed(x.parts))
+        return " ".join(out)
 
     likely = [n for n in left if n.tag in ("article", "main") or n.attrs.get("role") == "main" or re.search(r"\b(content|article|post|entry)\b", f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower())]
-    best = max((text(n) for n in likely), key=len, default="")
-    if len(best) >= least:
-        return best
+    length = lambda n: max(0, size[id(n)][1] + size[id(n)][0] - 1)
+    best = max(likely, key=length, default=None)
+    if best is not None and length(best) >= least:
+        return text(best)
     return " ".join(x for x in (text(n) for n in left if n.parent is None or id(n.parent) not in ids) if x)
 
 
-def markdownish(nodes: list[Node], most: int | None = 8000) -> str:
+def markdownish(nodes: list[Node], most: int | None = None) -> str:
     """Lines of text, one for each block; links and images leave only their text."""
-    lines: list[str] = [""]
-
-    def walk(n: Node):
-        if n.tag in UNSEEN or n.tag in ("head", "meta", "link"):
-            return
-        block = n.tag in BLOCK or n.tag == "br"
-        if block:
-            lines.append("")
-        if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            lines[-1] += "#" * int(n.tag[1]) + " "
-        elif n.tag == "li":
-            lines[-1] += "* "
-        for x in n.parts:
-            if isinstance(x, str):
-                lines[-1] += x
-            else:
-                walk(x)
-        if block:
-            lines.append("")
-
-    for r in roots(nodes):
-        walk(r)
-    out = "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
+    lines: list[list[str]] = [[]]
+    end = object()
+    stack: list = list(reversed(roots(nodes)))
+    while stack:
+        x = stack.pop()
+        if x is end:
+            lines.append([])
+        elif isinstance(x, str):
+            lines[-1].append(x)
+        elif x.tag not in UNSEEN and x.tag not in ("head", "meta", "link"):
+            if x.tag in BLOCK or x.tag == "br":
+                lines.append([])
+                stack.append(end)
+            if x.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                lines[-1].append("#" * int(x.tag[1]) + " ")
+            elif x.tag == "li":
+                lines[-1].append("* ")
+            stack.extend(reversed(x.parts))
+    out = "\n".join(x for x in (" ".join("".join(line).split()) for line in lines) if x)
     return out if most is None else out[:most]
 
 
-def heading_fields(nodes: list[Node]) -> dict:
-    """Title, descriptions, headings and body text for weighting."""
+def heading_fields(nodes: list[Node], most: int | None = None) -> dict:
+    """Title, descriptions, headings (the first ``most`` of them, if asked) and body text for weighting."""
     first = lambda tag: next((n.text() for n in nodes if n.tag == tag), "")
     metas = {(n.attrs.get("name") or n.attrs.get("property") or "").lower(): n.attrs.get("content", "") for n in reversed(nodes) if n.tag == "meta"}
     body = next((n for n in nodes if n.tag == "body"), None)
     return {
         "title": first("title"), "description": metas.get("description", ""), "keywords": metas.get("keywords", ""), "og_title": metas.get("og:title", ""), "og_description": metas.get("og:description", ""),
-        "headings": [n.text() for n in nodes if n.tag in ("h1", "h2", "h3")][:20], "body": body.text() if body else page_text(nodes),
+        "headings": [n.text() for n in nodes if n.tag in ("h1", "h2", "h3")][:most], "body": body.text() if body else page_text(nodes),
     }

@@ -38,6 +38,21 @@ def counters(html: Column) -> list[Column]:
     return [*made, F.round(F.length(visible_text(html)) / F.greatest(F.length(html), F.lit(1)), 6).alias("text_ratio")]
 
 
+#: Hosts whose links count as social.
+SOCIAL = ("facebook.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com", "pinterest.com")
+
+
+def more_counters(html: Column, social: tuple[str, ...] = SOCIAL) -> list[Column]:
+    """Stylesheets, external scripts, social links, distinct tags, images to text, length of the description, link density."""
+    text = F.greatest(F.length(visible_text(html)), F.lit(1))
+    inside = F.aggregate(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), F.lit(0), lambda n, x: n + F.length(F.trim(F.regexp_replace(x, TAG, ""))))
+    return [
+        F.regexp_count(html, F.lit(r"(?i)<link\b[^>]*\brel=[\"']?stylesheet")).alias("n_stylesheets"), F.regexp_count(html, F.lit(r"(?i)<script\b[^>]*\bsrc=")).alias("n_external_scripts"),
+        F.size(F.filter(hrefs(html), lambda h: F.exists(F.array(*[F.lit(s) for s in social]), lambda s: F.contains(h, s)))).alias("n_social_links"), F.size(F.array_distinct(tags(html))).alias("n_unique_tags"),
+        F.round(tag_count(html, "img") / text, 6).alias("image_text_ratio"), F.length(meta(html, "description")).alias("description_length"), F.round(inside / text, 6).alias("link_density"),
+    ]
+
+
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 

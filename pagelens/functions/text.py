@@ -38,6 +38,9 @@ def unescape_common(text: Column) -> Column:
     return text
 
 
+LETTERS_CS = "a-záčďéěíňóřšťúůýž"
+
+
 def scrub(text: Column) -> Column:
     """Lower case without addresses, times, anything but letters and digits, and words of one or two letters."""
     text = F.lower(text)
@@ -46,6 +49,49 @@ def scrub(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.filter(F.split(text, " "), lambda x: (F.length(x) > 2)), " "), " +", " "))
 
 
+def scrub_web(text: Column, letters: str = LETTERS_CS, phrases: tuple[str, ...] = ("cookie", "cookies", "gdpr", "consent")) -> Column:
+    """The scrub for page texts of one alphabet: lower case; without urls, mail addresses, no-break references, ``phrases``, clock times,
+    what is neither letter, digit nor hyphen, and words of one or two letters."""
+    steps = [r"https?://[^\s]+|www\.[^\s]+", r"[^\s]+@[^\s]+", "&nbsp;|&#160;"]
+    steps += [rf"(?U)\b(?:{'|'.join(phrases)})\b"] if phrases else []
+    steps += [r"(?U)\b[0-9]{1,2}:[0-9]{2}\b", rf"[^0-9{letters}\s-]", rf"(?U)\b[{letters}]{{1,2}}\b"]
+    text = F.lower(text)
+    for pattern in steps:
+        text = F.regexp_replace(text, pattern, " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def scrub_plain(text: Column, letters: str = LETTERS_CS) -> Column:
+    """The older scrub: as :func:`scrub_web` without phrases."""
+    return scrub_web(text, letters, ())
+
+
+def scrub_english(text: Column, stop: tuple[str, ...]) -> Column:
+    """Words of three or more ASCII letters that are no stop words: digits, other characters and punctuation go, in this order, before words are cut."""
+    text = F.regexp_replace(text, r"\s+", " ")
+    for pattern in ("[0-9]", r"[^\x00-\x7F]", r"[!-/:-@\[-`{-~]"):
+        text = F.regexp_replace(text, pattern, "")
+    return F.array_join(F.filter(F.split(F.lower(text), " "), lambda w: (F.length(w) >= 3) & ~w.isin(*stop)), " ")
+
+
+def clamp(n: int, most: int = 20_000) -> int:
+    """A limit on input that must be positive and at most ``most``."""
+    return most if n <= 0 else min(n, most)
+
+
+def lemmatised(words: Column, table: dict[str, str] | None = None) -> Column:
+    """Words by a lookup table; those it lacks stay. The table is the boundary to a lemmatiser that the caller brings."""
+    if not table:
+        return words
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))
+
+
+def prepared(text: Column, stop: tuple[str, ...], table: dict[str, str] | None = None) -> Column:
+    """The words of a text for a model: three or more letters, lemmatised, without stop words."""
+    return F.filter(lemmatised(words(text, 3), table), lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
+
+
 def words(text: Column, least: int = 3) -> Column:
     """Runs of at least ``least`` letters, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0))
@@ -139,11 +185,23 @@ def currency_mentions(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[$€£]|\b(?:EUR|USD|GBP|CZK|Kč)\b"))
 
 
+def without_repeats(parts: Column, most: int = 3) -> Column:
+    """The parts that occur at most ``most`` times. One sort of the parts, not a comparison of each with all."""
+    ordered = F.array_sort(parts)
+    # a part that stands ``most`` places after an equal one in order occurs more often
+    often = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when((i > most) & (F.element_at(ordered, i) == F.element_at(ordered, F.greatest(i - most, F.lit(1)))), F.element_at(ordered, i))), lambda x: x.isNotNull()))
+    return F.when(F.size(often) == 0, parts).otherwise(F.filter(parts, lambda x: ~F.array_contains(often, x)))
+
+
 def without_repeated_lines(text: Column, most: int = 3) -> Column:
     """Lines that occur more than ``most`` times are removed altogether."""
-    lines = F.split(text, "\n")
-    seldom = F.filter(lines, lambda x: (F.size(F.filter(lines, lambda y: y == x)) <= most))
-    return F.array_join(seldom, "\n")
+    return F.array_join(without_repeats(F.split(text, "\n"), most), "\n")
+
+
+def without_repeated_sentences(text: Column, most: int = 3) -> Column:
+    """Parts between line ends, or between the end of a sentence and two blanks, that occur more than ``most`` times go; the rest is joined by blanks."""
+    parts = F.filter(F.transform(F.split(text, r"[\n\r]+|(?<=[.!?])\s{2,}"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) == 0, text).otherwise(F.array_join(without_repeats(parts, most), " "))
 
 
 def without_phrases(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -162,3 +220,18 @@ def shape_stats(text: Column) -> Column:
         share(r"[^\x00-\x7F]").alias("beyond_ascii"), share("\n").alias("line"), F.regexp_count(text, F.lit(r"[0-9]{4}")).alias("n_years"), F.regexp_count(text, F.lit(r"[0-9]+[.,][0-9]{2}\b")).alias("n_prices"),
         F.size(F.filter(found, lambda w: F.length(w) >= 10)).alias("n_long"), F.size(F.filter(found, lambda w: F.length(w) <= 2)).alias("n_short"),
     )
+
+
+def word_length_tokens(text: Column, most: int = 15) -> Column:
+    """``n:wordlen=k`` for each length of words that occurs at least twice, longer ones counted as ``most``."""
+    sizes = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.least(F.length(w), F.lit(most)))
+    kinds = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.size(F.filter(sizes, lambda n: n == k)) >= 2)
+    return F.transform(kinds, lambda k: F.concat(F.lit("n:wordlen="), k.cast("string")))
+
+
+def language_tag(url: Column, text: Column, host: str = ".cz", lang: str = "cs", letters: str = "ěščřžýáíéúůďťň", other: str = "en", least: int = 200, share: float = 0.004) -> Column:
+    """A language by host, else by the share of its own letters; short texts go by the url."""
+    own = F.regexp_count(F.lower(text), F.lit(f"[{letters}]")) / F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
+    by_url = F.when(F.coalesce(url.contains(host), F.lit(False)), lang).otherwise(other)
+    in_host = F.coalesce(F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?#:]*)", 1).endswith(host), F.lit(False))
+    return F.when(in_host, lang).when(F.regexp_count(text, F.lit(r"\p{L}")) < least, by_url).otherwise(F.when(own > share, lang).otherwise(other))

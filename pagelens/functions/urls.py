@@ -67,10 +67,10 @@ def registrable_domain(url: Column) -> Column:
     return F.array_join(F.slice(F.split(host(url), r"\."), F.greatest(F.lit(-2), -F.size(F.split(host(url), r"\."))), F.lit(2)), ".")
 
 
-def registered_domain(url: Column) -> Column:
-    """Domain and public suffix; empty when the host has no suffix."""
+def registered_domain(url: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """Domain and public suffix; empty when the host has no suffix. ``suffixes`` are those of two labels."""
     labels = F.split(host(url), r"\.")
-    keep = F.when(F.array_join(F.slice(labels, F.greatest(F.lit(-2), -F.size(labels)), F.lit(2)), ".").isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
+    keep = F.when(F.array_join(F.slice(labels, F.greatest(F.lit(-2), -F.size(labels)), F.lit(2)), ".").isin(*suffixes), 3).otherwise(2)
     return F.when(F.size(labels) >= keep, F.array_join(F.slice(labels, -keep, keep), ".")).otherwise("")
 
 
@@ -114,16 +114,19 @@ def file_tokens(url: Column) -> Column:
 
 
 def href_shape(href: Column) -> Column:
-    """What a link looks like: tokens for mail, script, query, fragment, template, final slash, numbers, extension and depth."""
-    keys = F.transform(F.slice(F.filter(F.split(query(href), "&"), lambda x: x != ""), F.lit(1), F.lit(6)), lambda x: F.concat(F.lit("key:"), F.substring(F.lower(F.regexp_extract(x, "^([^=]*)", 1)), 1, 16)))
-    segments = F.filter(F.split(path(href), "/"), lambda x: x != "")
-    extension = F.lower(F.regexp_extract(path(href), r"\.([a-zA-Z0-9]{1,5})$", 1))
-    flags = F.array(
-        F.when(scheme(href) == "mailto", "mailto"), F.when(scheme(href) == "javascript", "script"), F.when(query(href) != "", "query"), F.when(href.contains("#"), "fragment"),
-        F.when(href.rlike(r"\{\{|\{%|<%|\$\{"), "template"), F.when(path(href).rlike(".+/$"), "slash"), F.when(F.exists(segments, lambda x: x.rlike("^[0-9]+$")), "number"),
-        F.when((extension != "") & ~scheme(href).isin("mailto", "javascript"), F.concat(F.lit("ext:"), extension)), F.concat(F.lit("depth:"), F.least(F.size(segments), F.lit(8)).cast("string")),
-    )
-    return F.concat(F.array_compact(flags), keys)
+    """How a link is written, as tokens of fixed format: extension, number of parameters and their names, fragment, numbers, final slash, mail, script, template, depth."""
+    query = F.regexp_extract(href, r"(?s)^[^?]*\?(.*)$", 1)
+    pairs = F.split(query, "&")
+    keys = F.filter(F.transform(F.slice(pairs, 1, 6), lambda x: F.lower(F.regexp_extract(x, "(?s)^([^=]*)", 1))), lambda k: F.length(k) <= 16)
+    extension = F.lower(F.regexp_extract(href, r"\.([A-Za-z0-9]{1,5})(?:[?#]|$)", 1))
+    segments = F.filter(F.split(F.regexp_extract(href, r"(?s)^([^?]*)", 1), "/"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    flags = F.array_compact(F.array(
+        F.when(href.contains("#"), "H:frag"), F.when(href.rlike(r"/[0-9]{1,8}([./]|$)"), "H:numseg"), F.when(href.endswith("/"), "H:slash"), F.when(href.startswith("mailto:"), "H:mailto"),
+        F.when(href.startswith("javascript:"), "H:jscript"), F.when(href.rlike("[{}]|%d"), "H:template"), F.concat(F.lit("H:depth="), F.greatest(F.lit(0), F.least(F.size(segments) - 2, F.lit(8))).cast("string")),
+    ))
+    parameters = F.when(query != "", F.concat(F.array(F.concat(F.lit("H:q="), F.least(F.size(pairs), F.lit(6)).cast("string"))), F.transform(keys, lambda k: F.concat(F.lit("H:key="), k)))).otherwise(none)
+    return F.when(href == "", none).otherwise(F.concat(F.when(extension != "", F.array(F.concat(F.lit("H:ext="), extension))).otherwise(none), parameters, flags))
 
 
 def resolved(base: Column, href: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
+from pagelens.sources import codec
 
-#: Bytes up to which a dimension is broadcast; larger ones are left to the optimizer's own statistics.
+#: Rows up to which a dimension of narrow rows is broadcast; larger ones are left to the optimizer's own statistics.
 BROADCAST_ROWS = 100_000
 
 
@@ -68,12 +69,63 @@ def label_counts(df: DataFrame, labels: str) -> DataFrame:
 def prune_rare(df: DataFrame, labels: str, least: int) -> DataFrame:
     """Strip labels of fewer than ``least`` rows; rows left without a label go.
 
-    The labels that stay are one small row, joined to every row by broadcast: a label set of a
-    classifier, whose size is that of its universe, not of the corpus.
+    The labels that stay come to the driver, as the label set of a classifier; up to ``BROADCAST_ROWS`` of them
+    are written into the plan, more are joined by label.
     """
-    kept = label_counts(df, labels).where(F.col("n") >= least).agg(F.collect_set("label").alias("kept_labels"))
-    out = df.crossJoin(F.broadcast(kept)).withColumn(labels, F.array_intersect(labels, "kept_labels")).drop("kept_labels")
-    return out.where(F.size(labels) > 0)
+    kept = label_counts(df, labels).where(F.col("n") >= least).select("label")
+    known = [r["label"] for r in kept.limit(BROADCAST_ROWS + 1).collect()]
+    if len(known) <= BROADCAST_ROWS:
+        out = df.withColumn(labels, F.array_intersect(labels, F.lit(known) if known else F.array().cast("array<string>")))
+        return out.where(F.size(labels) > 0)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")
+    each = df.select(F.monotonically_increasing_id().alias("i_"), row).select("i_", "row_", F.posexplode(F.array_distinct(F.col("row_").getField(labels))).alias("pos_", "label")).join(kept, "label")
+    back = each.groupBy("i_").agg(F.first("row_").alias("row_"), F.transform(F.array_sort(F.collect_list(F.struct("pos_", "label"))), lambda x: x["label"]).alias("left_"))
+    return back.select(*[F.col("left_").alias(c) if c == labels else F.col("row_").getField(c).alias(c) for c in df.columns])
+
+
+def merged(parts: list[DataFrame], content: str = "html") -> tuple[DataFrame, DataFrame]:
+    """Files in order made one, the first row of each url kept, its page compressed: ``(url, categories, compressed_html)``.
+
+    The second result counts the rows by what became of them: processed, duplicate or error (no url).
+    """
+    every = union_all(parts).withColumn("order_", F.struct("file_rank", "line_no"))
+    good = every.where(F.trim("url") != "")
+    first = first_wins(good, ["url"], ["order_"])
+    out = first.select("url", "categories", codec.compressed(F.col(content)).alias("compressed_html"))
+    per_url = good.groupBy("url").agg(F.count("*").alias("n"))
+    seen = per_url.agg(F.count("*").alias("processed"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate"))
+    bad = every.agg(F.count_if(F.coalesce(F.trim("url") == "", F.lit(True))).alias("error"))
+    counts = seen.crossJoin(bad).select(F.explode(F.create_map(*[x for k in ("processed", "duplicate", "error") for x in (F.lit(k), F.col(k))])).alias("status", "n"))
+    return out, counts
+
+
+def checked_labels(df: DataFrame, labels: str, known: list[str], strict: bool = False) -> DataFrame:
+    """``df`` with only known labels; with ``strict`` unknown ones raise."""
+    if strict:
+        odd = [r[0] for r in df.select(F.explode(F.array_except(labels, F.lit(known)))).distinct().limit(20).collect()]
+        if odd:
+            raise ValueError(f"unknown labels: {sorted(odd)}")
+    return df.withColumn(labels, F.filter(labels, lambda x: x.isin(*known)))
+
+
+def classified(df: DataFrame, labels: str) -> DataFrame:
+    """Rows with at least one label."""
+    return df.where(F.size(labels) > 0)
+
+
+def head(df: DataFrame, order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows in an explicit order; a top-k, not a sort of all."""
+    return df.orderBy(*order).limit(most)
+
+
+def difference(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Distinct values of the left that the right lacks."""
+    return anti(left.select(on).distinct(), right, on)
+
+
+def by_support(metrics: DataFrame, n: str = "n") -> DataFrame:
+    """A small report, the labels with most rows first."""
+    return metrics.orderBy(F.desc(n), "label")
 
 
 def anti(df: DataFrame, seen: DataFrame, on: str) -> DataFrame:

@@ -65,6 +65,17 @@ def top_k(scores: DataFrame, key: str, k: int, least: float | None = None) -> Da
     return out if least is None else out.where((F.col("score") >= least) | (F.col("rank") == 1))
 
 
+def best_labels(scores: DataFrame, thresholds: DataFrame, key: str, k: int = 3, least: float = 0.0) -> DataFrame:
+    """The first ``k`` labels of each row whose score reaches both its label's threshold and ``least``; at least the best one. Scores have 4 decimals."""
+    w = Window.partitionBy(key)
+    out = scores.join(thresholds, "label").withColumn("good", (F.col("score") >= F.col("thr")) & (F.col("score") >= least))
+    out = out.withColumn("rank", F.row_number().over(w.orderBy(F.desc("good"), F.desc("score"), "label")))
+    first = F.row_number().over(w.orderBy(F.desc("score"), "label")) == 1
+    found = F.max(F.col("good").cast("int")).over(w) == 1
+    out = out.withColumn("taken", F.when(found, F.col("good") & (F.col("rank") <= k)).otherwise(first))
+    return out.where("taken").select(key, "label", F.round("score", 4).alias("score"), F.when(F.col("good"), F.col("rank")).otherwise(1).alias("rank"))
+
+
 def label_metrics(pred: DataFrame) -> DataFrame:
     """``label, tp, fp, fn, n, precision, recall, f1``."""
     y, p = F.col("y") == 1, F.col("pred") == 1

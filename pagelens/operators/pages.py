@@ -6,8 +6,6 @@ is a DataFrame operation on it.
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,33 +13,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions import dom
+from pagelens.functions import dom, text
+from pagelens.operators import features
 
-NODES = "page_id long, pos int, depth int, parent_pos int, tag string, parent_tag string, attrs map<string,string>, n_children int, text_length int"
-BOILERPLATE = ("menu", "navbar", "sidebar", "footer", "cookie", "consent", "banner", "advert", "promo", "popup", "newsletter", "breadcrumb", "pagination", "related", "share", "social", "comment", "login")
-GROUPS = ("tag", "attr", "href", "meta", "css", "form", "repeat")
+NODES = "page_id long, pos int, depth int, parent_pos int, tag string, parent_tag string, n_children int, text_length int, n_words int"
+FEATURES = "page_id long, tokens array<struct<grp:string,token:string,tf:int>>, stats array<double>"
+#: ARIA landmark and window roles, and what HTML calls the parts around the content.
+BOILERPLATE = ("banner", "complementary", "contentinfo", "navigation", "search", "form", "alert", "dialog", "menu", "toolbar", "nav", "header", "footer", "aside")
+GROUPS, DENSE_NAMES = features.GROUPS, features.STATISTICS
 
 
-def _frames(f: Callable[[int, list[dom.Node], str], Iterator[tuple]], columns: list[str]):
+#: Pages whose rows leave Python together, so that a worker stays small.
+PAGES = 64
+
+
+def _frames(f: Callable[[int, list[dom.Node], str], Iterator[tuple]], columns: list[str], most: int | None = None):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out: list[tuple] = []
-            for page_id, page in zip(part["page_id"], part["html"]):
-                nodes = dom.parse(page)
-                if nodes:
-                    out.extend(f(page_id, nodes, page))
-            yield pd.DataFrame(out, columns=columns)
+            for start in range(0, len(part), PAGES):
+                some = part.iloc[start : start + PAGES]
+                out: list[tuple] = []
+                for page_id, page in zip(some["page_id"], some["html"]):
+                    nodes = dom.parse(page, most)
+                    if nodes:
+                        out.extend(f(page_id, nodes, page))
+                yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
 def node_table(pages: DataFrame) -> DataFrame:
-    """``(page_id, html)`` to one row for each element in document order; unparseable pages have none."""
+    """``(page_id, html)`` to one row for each element in document order; unparseable pages have none.
+
+    ``text_length`` is of the element's own text, ``n_words`` of all text in a paragraph (0 for other elements).
+    """
 
     def rows(page_id, nodes, page):
         for n in nodes:
             own = sum(len(x) for x in n.parts if isinstance(x, str))
-            yield page_id, n.position, n.depth, n.parent.position if n.parent else -1, n.tag, n.parent.tag if n.parent else None, n.attrs, len(n.children), own
+            words = len(n.text().split()) if n.tag == "p" else 0
+            yield page_id, n.position, n.depth, n.parent.position if n.parent else -1, n.tag, n.parent.tag if n.parent else None, len(n.children), own, words
 
     columns = [c.split()[0] for c in NODES.split(", ")]
     found = pages.select("page_id", "html").mapInPandas(_frames(rows, columns), NODES)
@@ -71,93 +82,52 @@ def top_tags(nodes: DataFrame, k: int = 12) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("first")
 
 
-def links_before_text(nodes: DataFrame, least: int = 200) -> DataFrame:
-    """How many links come before the first paragraph with ``least`` characters of its own."""
+def links_before_text(nodes: DataFrame, least: int = 40) -> DataFrame:
+    """How many links come before the first paragraph with ``least`` words."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     run = nodes.withColumn("links", F.sum((F.col("tag") == "a").cast("int")).over(w))
-    return run.where((F.col("tag") == "p") & (F.col("text_length") >= least)).groupBy("page_id").agg(F.min_by("links", "pos").alias("links_before"))
-
-
-def group_tokens(nodes: list[dom.Node]) -> dict[str, list[str]]:
-    """Token lists of each group for one page."""
-    from_names = lambda s: [x for x in re.split("[^a-z0-9]+", s[:40].strip().lower()) if len(x) > 2 and not x.isdigit()]
-    out: dict[str, list[str]] = {g: [] for g in GROUPS}
-    counts = Counter(n.tag for n in nodes)
-    for n in nodes:
-        out["tag"] += [f"t:{n.tag}", f"p:{n.parent.tag if n.parent else ''}>{n.tag}", f"d:{n.tag}@{min(n.depth, 8)}"]
-        out["attr"] += [f"a:{n.tag}[{k}]" for k in sorted(n.attrs)]
-        if re.fullmatch("h[1-6]", n.tag):
-            out["attr"].append(f"h:{n.tag}")
-        out["css"] += [f"c:{x}" for k in n.attrs.get("class", "").split() if len(k) <= 30 for x in from_names(k)] + [f"i:{x}" for x in from_names(n.attrs.get("id", ""))]
-        if n.tag == "a" and "href" in n.attrs:
-            href = n.attrs["href"]
-            out["href"] += [f"H:depth:{min(href.split('?')[0].split('#')[0].count('/'), 8)}"] + ["H:query"] * ("?" in href) + ["H:fragment"] * ("#" in href) + ["H:absolute"] * ("//" in href)
-        elif n.tag == "meta":
-            name = (n.attrs.get("property") or n.attrs.get("name") or n.attrs.get("http-equiv") or ("charset" if "charset" in n.attrs else "")).lower()
-            out["meta"].append(f"m:{name[:28]}")
-        elif n.tag == "link":
-            out["meta"].append(f"m:link:{n.attrs.get('rel', '')[:24].lower()}")
-        elif n.tag == "input":
-            out["form"].append(f"x:input:{n.attrs.get('type', 'text').lower()}")
-        elif n.tag == "form":
-            out["form"] += [f"fa:{x}" for x in from_names(n.attrs.get("action", ""))]
-    out["tag"] += [f"T:{t}" for t, _ in counts.most_common(12)] + [f"X:tags={min(len(counts), 40)}", f"X:depth={min(max(n.depth for n in nodes), 18)}"]
-    out["repeat"] = [f"R:{s}" for s, _ in dom.repeats(nodes)[:4]]
-    return out
-
-
-def token_groups(pages: DataFrame) -> DataFrame:
-    """``page_id, grp, token, tf``: counts are made in the page's own pass."""
+    return run.where((F.col("tag") == "p") & (F.col("n_words") >= least)).groupBy("page_id").agg(F.min_by("links", "pos").alias("links_before"))
 
-    def rows(page_id, nodes, page):
-        for group, tokens in group_tokens(nodes).items():
-            for token, n in Counter(tokens).items():
-                yield page_id, group, token, min(n, 32767)
-
-    return pages.select("page_id", "html").mapInPandas(_frames(rows, ["page_id", "grp", "token", "tf"]), "page_id long, grp string, token string, tf int")
-
-
-def _ratio(a: float, b: float) -> float:
-    return a / max(1.0, b)
-
-
-def dense(nodes: list[dom.Node], page: str) -> dict[str, float]:
-    """Numbers about one page: sizes, tag counts (as logarithms), shares, depths, flags."""
-    counts = Counter(n.tag for n in nodes)
-    text = dom.page_text(nodes)
-    words = text.split()
-    anchors = [n.text() for n in nodes if n.tag == "a"]
-    depths = sorted(n.depth for n in nodes)
-    kids = [len(n.children) for n in nodes if n.children]
-    total = len(nodes)
-    out = {f"log_{t}": math.log1p(counts[t]) for t in ("a", "p", "div", "span", "img", "li", "ul", "ol", "table", "tr", "td", "form", "input", "button", "select", "script", "style", "link", "meta", "iframe", "article", "section", "nav", "header", "footer", "aside", "h1", "h2", "h3", "h4", "video", "audio", "svg", "b", "br", "strong", "em")}
-    out |= {"log_nodes": math.log1p(total), "log_html": math.log1p(len(page)), "log_text": math.log1p(len(text)), "log_words": math.log1p(len(words)), "log_comments": math.log1p(page.count("<!--"))}
-    out |= {"text_share": _ratio(len(text), len(page)), "link_density": _ratio(sum(map(len, anchors)), len(text)), "words_per_p": _ratio(len(words), counts["p"]), "distinct_words": _ratio(len(set(words)), len(words)), "word_length": _ratio(sum(map(len, words)), len(words))}
-    out |= {"digit_share": _ratio(sum(c.isdigit() for c in text), len(text)), "upper_share": _ratio(sum(c.isupper() for c in text), len(text)), "stop_share": _ratio(sum(c in ".!?" for c in text), len(text))}
-    out |= {"max_depth": float(depths[-1]), "avg_depth": sum(depths) / total, "p90_depth": float(depths[int(0.9 * (total - 1))]), "avg_children": _ratio(sum(kids), len(kids)), "max_children": float(max(kids, default=0)), "anchor_words": float(sorted(len(a.split()) for a in anchors)[len(anchors) // 2]) if anchors else 0.0}
-    out |= {f"share_{t}": _ratio(counts[t], total) for t in ("a", "p", "div", "img", "li", "td", "b", "br")}
-    p = [n / total for n in counts.values()]
-    out |= {"tag_entropy": -sum(x * math.log2(x) for x in p), "n_tags": float(len(counts))}
-    lower = page.lower()
-    out |= {f"has_{k}": float(v in lower) for k, v in (("cart", "cart"), ("login", "login"), ("search", "search"), ("cookie", "cookie"), ("jsonld", "ld+json"), ("og", "og:"), ("rss", "rss+xml"), ("canonical", "canonical"), ("copyright", "&copy;"), ("viewport", "viewport"))}
-    runs = dom.repeats(nodes)
-    out |= {"repeat_runs": float(len(runs)), "repeat_largest": float(runs[0][1]) if runs else 0.0, "repeat_share": _ratio(sum(n for _, n in runs), total)}
-    fields = dom.heading_fields(nodes)
-    out |= {"title_length": float(len(fields["title"])), "description_length": float(len(fields["description"])), "n_keywords": float(len([k for k in fields["keywords"].split(",") if k.strip()]))}
-    return out
-
-
-DENSE_NAMES = tuple(sorted(dense(dom.parse("<p>a</p>"), "<p>a</p>")))
 
+def page_features(pages: DataFrame, groups: tuple[str, ...] = GROUPS, stats: bool = True, most: int | None = None) -> DataFrame:
+    """``page_id, tokens, stats``: all counted tokens of the groups and the numbers named by ``DENSE_NAMES``, from one parse of each page.
 
-def dense_stats(pages: DataFrame) -> DataFrame:
+    ``pages`` has ``page_id``, ``html`` and, for external links, ``url``. Pages without a tree have no row.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for start in range(0, len(part), PAGES):
+                out = []
+                for row in part.iloc[start : start + PAGES].itertuples(index=False):
+                    nodes = dom.parse(row.html, most)
+                    if nodes:
+                        p = features.Page(nodes, row.html, row.url)
+                        tokens = [{"grp": g, "token": t, "tf": min(n, 32767)} for g in groups for t, n in Counter(features.TOKENS[g](p)).items()]
+                        found = features.statistics(p) if stats else {}
+                        out.append((row.page_id, tokens, [round(found[k], 9) for k in DENSE_NAMES] if stats else None))
+                yield pd.DataFrame(out, columns=["page_id", "tokens", "stats"])
+
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    return pages.select("page_id", "html", url.alias("url")).mapInPandas(run, FEATURES)
+
+
+def token_rows(made: DataFrame) -> DataFrame:
+    """``page_id, grp, token, tf`` of the features."""
+    return made.select("page_id", F.inline("tokens"))
+
+
+def stat_columns(made: DataFrame) -> DataFrame:
     """``page_id`` and one double for each of ``DENSE_NAMES``."""
+    return made.select("page_id", *[F.element_at("stats", i + 1).alias(k) for i, k in enumerate(DENSE_NAMES)])
 
-    def rows(page_id, nodes, page):
-        found = dense(nodes, page)
-        yield page_id, *[round(found[k], 9) for k in DENSE_NAMES]
 
-    return pages.select("page_id", "html").mapInPandas(_frames(rows, ["page_id", *DENSE_NAMES]), "page_id long, " + ", ".join(f"{k} double" for k in DENSE_NAMES))
+def token_groups(pages: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    return token_rows(page_features(pages, groups, stats=False))
+
+
+def dense_stats(pages: DataFrame) -> DataFrame:
+    return stat_columns(page_features(pages, groups=()))
 
 
 def renderings(pages: DataFrame, words: tuple[str, ...] = BOILERPLATE) -> DataFrame:
@@ -179,6 +149,22 @@ def weighted_text(weights: dict[str, int], body: int = 4000) -> Column:
     return F.trim(F.regexp_replace(F.concat(*parts, headings, F.substring("body", 1, body)), r"\s+", " "))
 
 
+def cleaned_plain(stop: tuple[str, ...] = ()) -> Column:
+    """The older cleaned text of a rendering: title three times, description and headings twice, the body, scrubbed."""
+    parts = F.concat_ws(" ", *["title"] * 3, *["description"] * 2, *[F.array_join("headings", " ")] * 2, "body")
+    return _without(text.scrub_plain(parts), stop)
+
+
+def cleaned(phrases: tuple[str, ...] = (), stop: tuple[str, ...] = (), most: int = 3) -> Column:
+    """The cleaned text of a rendering: title, description, keywords, og description, headings and main text once each; repeated parts and phrases go, the rest is scrubbed."""
+    parts = F.concat_ws("\n", "title", "description", "keywords", "og_description", F.array_join("headings", "\n"), "main")
+    return _without(text.scrub_web(text.without_phrases(text.without_repeated_sentences(parts, most), phrases)), stop)
+
+
+def _without(column: Column, stop: tuple[str, ...]) -> Column:
+    return F.array_join(F.filter(F.split(column, " "), lambda w: ~w.isin(*stop)), " ") if stop else column
+
+
 def encoder_text(most: int = 8000) -> Column:
     """One text of a rendering for an encoder: title, first description, visible text."""
     first = F.coalesce(*[F.when(F.col(c) != "", F.substring(c, 1, 300)) for c in ("description", "og_description", "keywords")], F.lit(""))

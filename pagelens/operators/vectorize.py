@@ -22,9 +22,14 @@ def vocabulary(frequency: DataFrame, n: int, least: int = 1, most: float = 1.0,
     """
     high = max(least, int(n * most)) if most < 1 else n
     kept = frequency.where(F.col("df").between(least, high)).withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)
-    if size is not None:
+    if size is not None:  # the top rows only are numbered in one task
         kept = kept.orderBy(F.desc("df"), "token").limit(size)
-    return kept.withColumn("col", F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1)
+        return kept.withColumn("col", F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1)
+    # without a size: numbered within each df and moved up by the tokens of greater ones
+    per = kept.groupBy("df").agg(F.count("*").alias("c_"))
+    per = per.select("df", (F.sum("c_").over(Window.orderBy(F.desc("df"))) - F.col("c_")).alias("b_"))
+    inside = Window.partitionBy("df").orderBy("token")
+    return kept.join(per, "df").withColumn("col", F.row_number().over(inside) + F.col("b_") - 1).drop("b_").select("token", "df", "idf", "col")
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str, binary: bool = False, sublinear: bool = True, l2: bool = True) -> DataFrame:
@@ -35,8 +40,31 @@ def tfidf(counts: DataFrame, vocab: DataFrame, key: str, binary: bool = False, s
 
 
 def unit_rows(values: DataFrame, key: str) -> DataFrame:
-    norm = values.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return values.join(norm, key).withColumn("value", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(0.0)).drop("norm")
+    """Values divided by the length of their row, in one exchange by row."""
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key)))
+    return values.withColumn("value", F.when(norm > 0, F.col("value") / norm).otherwise(0.0))
+
+
+def word_tfidf(df: DataFrame, key: str, words: Column, least: int = 3, most: float = 0.9, size: int = 100_000) -> DataFrame:
+    """``key, token, value`` of single words and word pairs: banded vocabulary, sublinear, unit rows."""
+    return _fitted(df, key, F.concat(words, word_ngrams(words, 2)), least, most, size)
+
+
+def char_tfidf(df: DataFrame, key: str, text: Column, low: int = 3, high: int = 5, least: int = 3, size: int = 150_000) -> DataFrame:
+    """``key, token, value`` of character n-grams of padded words."""
+    return _fitted(df, key, char_ngrams(text, low, high), least, 1.0, size)
+
+
+def _fitted(df: DataFrame, key: str, tokens: Column, least: int, most: float, size: int) -> DataFrame:
+    counts = token_counts(df, key, tokens)
+    return tfidf(counts, vocabulary(document_frequency(counts), df.count(), least, most, size), key)
+
+
+def vocabulary_tfidf(df: DataFrame, key: str, words: Column, known: list[str]) -> DataFrame:
+    """``key, token, value`` over a given vocabulary: raw counts, smooth idf, unit rows. Repeated words of it count once."""
+    counts = token_counts(df, key, F.filter(words, lambda w: w.isin(*dict.fromkeys(known))))
+    n = df.count()
+    return tfidf(counts, document_frequency(counts).withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1), key, sublinear=False)
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:

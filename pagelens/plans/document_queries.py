@@ -121,12 +121,6 @@ def doc_unlabelled_anti(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("doc_benchmark_semi", "SELECT doc_id FROM (SELECT doc_id, md5(lower(trim(unnest(string_split(text, chr(10)))))) AS h FROM documents) WHERE h IN (SELECT md5(lower(trim(text))) FROM benchmark) GROUP BY doc_id")
-def doc_benchmark_semi(spark, sf_dir):
-    lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.md5(F.lower(F.trim("line"))).alias("h"))
-    return curate.semi(lines, read(spark, sf_dir, "benchmark").select(F.md5(F.lower(F.trim("text"))).alias("h")), "h").select("doc_id").distinct()
-
-
 LABELS = "SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 97 = 0 THEN 'rare' END], lambda x: x IS NOT NULL) AS labels FROM labels"
 
 
@@ -189,7 +183,7 @@ def split_cross_lingual(spark, sf_dir):
     return sampling.cross_split(documents(spark, sf_dir).select("doc_id", "lang"), "lang", "en", "de", "doc_id").select("doc_id", "split")
 
 
-@query("split_half", "SELECT doc_id, ('0x' || substr(md5('0:' || doc_id), 1, 1))::INT >= 8 AS half FROM documents")
+@query("split_half", "SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) > count(*) OVER () // 2 AS half FROM documents")
 def split_half(spark, sf_dir):
     return sampling.half(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
@@ -304,3 +298,101 @@ def event_sessions(spark, sf_dir):
     from pagelens.streaming import incremental
 
     return incremental.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
+
+
+@query("word_pair_tfidf", f"""
+WITH w AS (SELECT doc_id, {W3} AS w FROM documents), t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM w),
+c AS (SELECT doc_id, token, least(count(*), 32767) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT token, count(*) AS df, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY token HAVING count(*) BETWEEN 3 AND greatest(3, floor(any_value(n) * 0.9)) ORDER BY df DESC, token LIMIT 500),
+x AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS value FROM c JOIN v USING (token))
+SELECT doc_id, token, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM x""")
+def word_pair_tfidf(spark, sf_dir):
+    return vectorize.word_tfidf(documents(spark, sf_dir), "doc_id", text.words(F.col("text")), size=500).select("doc_id", "token", F.round("value", 6).alias("value"))
+
+
+@query("char_tfidf_tokens", r"""
+WITH w AS (SELECT doc_id, ' ' || unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) || ' ' AS w FROM documents),
+g AS (SELECT doc_id, substr(w, i, k) AS token FROM (SELECT doc_id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM w, (SELECT unnest([3, 4, 5]) AS k) WHERE length(w) >= k)),
+c AS (SELECT doc_id, token, least(count(*), 32767) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT token, count(*) AS df, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY token HAVING count(*) >= 3 ORDER BY df DESC, token LIMIT 300),
+x AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS value FROM c JOIN v USING (token))
+SELECT doc_id, token, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM x""")
+def char_tfidf_tokens(spark, sf_dir):
+    return vectorize.char_tfidf(documents(spark, sf_dir), "doc_id", F.col("text"), size=300).select("doc_id", "token", F.round("value", 6).alias("value"))
+
+
+VOCABULARY = sorted(set(STOP) | set(SHOPPING))
+
+
+@query("vocabulary_tfidf", f"""
+WITH t AS (SELECT doc_id, unnest(list_filter({W1}, lambda x: x IN {tuple(VOCABULARY)})) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT token, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY token), x AS (SELECT doc_id, token, tf * idf AS value FROM c JOIN v USING (token))
+SELECT doc_id, token, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM x""")
+def vocabulary_tfidf(spark, sf_dir):
+    return vectorize.vocabulary_tfidf(documents(spark, sf_dir), "doc_id", text.words(F.col("text"), 1), VOCABULARY).select("doc_id", "token", F.round("value", 6).alias("value"))
+
+
+@query("doc_prepared_words", f"WITH w AS (SELECT doc_id, list_transform({W3}, lambda x: CASE x WHEN 'thing' THEN 'item' WHEN 'ther' THEN 'the' ELSE x END) AS w FROM documents) SELECT doc_id, array_to_string(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ({SQL_STOP})), ' ') AS words FROM w")
+def doc_prepared_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(text.prepared(F.col("text"), STOP, {"thing": "item", "ther": "the"}), " ").alias("words"))
+
+
+@query("doc_scrub_english", rf"""
+WITH s AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[0-9]', '', 'g'), '[^\x00-\x7F]', '', 'g'), '[!-/:-@\[-`{{-~]', '', 'g')) AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter(string_split(t, ' '), lambda w: length(w) >= 3 AND w NOT IN ({SQL_STOP})), ' ') AS text FROM s""")
+def doc_scrub_english(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.scrub_english(F.col("text"), STOP).alias("text"))
+
+
+@query("doc_word_lengths", r"""
+WITH s AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), lambda w: least(length(w), 15)) AS s FROM documents)
+SELECT doc_id, 'n:wordlen=' || k AS token FROM s, (SELECT unnest(range(1, 16)) AS k) WHERE len(list_filter(s, lambda x: x = k)) >= 2""")
+def doc_word_lengths(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(text.word_length_tokens(F.col("text"))).alias("token"))
+
+
+SHAPES = (("upper", r"\p{Lu}"), ("digit", r"\p{N}"), ("punctuation", r"\p{P}"), ("space", r"\s"), ("beyond_ascii", r"[^\x00-\x7F]"))
+
+
+@query("doc_shape_stats", "SELECT doc_id, " + ", ".join(f"round((length(text) - length(regexp_replace(text, '{p}', '', 'g'))) / greatest(length(text), 1), 6) AS {n}" for n, p in SHAPES) + ", len(regexp_extract_all(text, '[0-9]{4}')) AS n_years FROM documents")
+def doc_shape_stats(spark, sf_dir):
+    s = documents(spark, sf_dir).select("doc_id", text.shape_stats(F.col("text")).alias("s"))
+    return s.select("doc_id", *[F.col(f"s.{c}").alias(c) for c, _ in SHAPES], F.col("s.n_years").cast("long").alias("n_years"))
+
+
+@query("doc_currency", r"SELECT doc_id, len(regexp_extract_all(text, '[$€£]|\b(?:EUR|USD|GBP|CZK|Kč)\b')) AS n FROM documents")
+def doc_currency(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.currency_mentions(F.col("text")).cast("long").alias("n"))
+
+
+@query("doc_phrases_removed", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)licensed under[^.]{0,300}', ' ', 'g'), '(?i)all rights reserved', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents")
+def doc_phrases_removed(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.without_phrases(F.col("text"), ("licensed under[^.]{0,300}", "all rights reserved")).alias("text"))
+
+
+@query("doc_quotes_straight", "SELECT doc_id, chr(34) || source || chr(34) || ' ' || chr(39) || lang || chr(39) AS text FROM documents")
+def doc_quotes_straight(spark, sf_dir):
+    quoted = F.concat(F.lit("“"), "source", F.lit("” ‘"), "lang", F.lit("’"))
+    return documents(spark, sf_dir).select("doc_id", text.straight_quotes(quoted).alias("text"))
+
+
+@query("doc_bad_references", r"SELECT doc_id, regexp_replace('a&#38;b&#x;c&#12 ' || doc_id || '&#ab', '&#\w*[^\d;]', '', 'g') AS text FROM documents")
+def doc_bad_references(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.drop_bad_references(F.concat(F.lit("a&#38;b&#x;c&#12 "), "doc_id", F.lit("&#ab"))).alias("text"))
+
+
+@query("label_round_trip", "SELECT doc_id, regexp_replace(source, '[^0-9A-Za-z]+', ' ', 'g') AS label FROM documents")
+def label_round_trip(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.plain_label(text.safe_label(F.col("source"))).alias("label"))
+
+
+@query("label_first_known", "SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN lang END AS label FROM documents")
+def label_first_known(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.parse_label(F.concat(F.lit("none; "), F.coalesce(F.upper("lang"), F.lit("")), F.lit(" | es?")), ("de", "fr")).alias("label"))
+
+
+@query("token_sets_joined", f"SELECT DISTINCT unnest([{SQL_STOP}, {SQL_SHOPPING}]) AS word")
+def token_sets_joined(spark, sf_dir):
+    """A stop list and a keyword list as one set; the first place of a repeated word stays."""
+    both = F.array_distinct(F.array_union(F.lit(list(STOP)), F.lit(list(SHOPPING))))
+    return spark.range(1).select(F.explode(both).alias("word"))

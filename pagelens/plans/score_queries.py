@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagelens.operators import decide, models, vectorize
@@ -97,12 +98,34 @@ def embedding_label_centroids(spark, sf_dir):
     return vectorize.mean_vectors(read(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
-@query("embedding_reference_cosine", f"SELECT b.vec_id, a.vec_id AS ref, round({COSINE}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < 3")
+@query("embedding_reference_cosine", f"""
+SELECT a.label AS ref, b.vec_id, round({COSINE}, 6) AS cosine FROM (SELECT label, list(m ORDER BY pos) AS embedding FROM (SELECT label, pos, round(avg(x), 6) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label) a, embeddings b""")
 def embedding_reference_cosine(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    some = e.where("vec_id < 3").select(F.collect_list(F.struct(F.col("vec_id").alias("ref"), F.col("embedding").alias("other"))).alias("refs"))
-    wide = e.crossJoin(F.broadcast(some)).select("vec_id", "embedding", F.explode("refs").alias("r"))
-    return wide.select("vec_id", F.col("r.ref").alias("ref"), F.round(vectorize.cosine(F.col("embedding"), F.col("r.other")), 6).alias("cosine"))
+    """Every vector against the centroid of every label: as many references as labels."""
+    e = read(spark, sf_dir, "embeddings")
+    means = vectorize.mean_vectors(e, "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.round("mean", 6).alias("mean")))), lambda x: x["mean"]).alias("other"))
+    refs = means.agg(F.collect_list(F.struct(F.col("label").alias("ref"), "other")).alias("refs"))
+    wide = e.select("vec_id", "embedding").crossJoin(F.broadcast(refs)).select("vec_id", "embedding", F.explode("refs").alias("r"))
+    return wide.select(F.col("r.ref").alias("ref"), "vec_id", F.round(vectorize.cosine(F.col("embedding"), F.col("r.other")), 6).alias("cosine"))
+
+
+@query("ovr_fixed_scores", """
+WITH l AS (SELECT unnest(range(0, 10)) AS l), x AS (SELECT vec_id, l, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * (((i - 1) * 7 + l * 3) % 11 - 5) / 10.0::DOUBLE)) + (l - 5) / 10.0::DOUBLE AS z FROM embeddings, l)
+SELECT vec_id, l::VARCHAR AS label, CASE WHEN l = 9 THEN 0 ELSE round(1 / (1 + exp(-z)), 6) END AS score FROM x""")
+def ovr_fixed_scores(spark, sf_dir):
+    """Heads with given weights, the last of them without positive rows."""
+    labels, dim = np.arange(10), np.arange(64)
+    heads = models.Heads([str(c) for c in labels], ((dim * 7 + labels[:, None] * 3) % 11 - 5) / 10, (labels - 5) / 10, labels == 9)
+    return models.head_scores(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", heads).withColumn("score", F.round("score", 6))
+
+
+@query("best_labels_per_doc", f"""
+WITH s AS ({SCORES}), g AS (SELECT *, score >= CASE label WHEN 'good' THEN 0.6 ELSE 0.4 END AND score >= 0.45 AS good FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY good DESC, score DESC, label) AS rank, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS best, bool_or(good) OVER (PARTITION BY doc_id) AS any_good FROM g)
+SELECT doc_id, label, round(score, 4) AS score, CASE WHEN good THEN rank ELSE 1 END AS rank FROM r WHERE CASE WHEN any_good THEN good AND rank <= 2 ELSE best = 1 END""")
+def best_labels_per_doc(spark, sf_dir):
+    thr = spark.createDataFrame([("good", 0.6), ("toxic", 0.4)], "label string, thr double")
+    return decide.best_labels(scores(spark, sf_dir), thr, "doc_id", 2, 0.45).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("ovr_logreg_scores")
@@ -124,4 +147,4 @@ def svd_embedding_block(spark, sf_dir):
 
 @query("lda_topics")
 def lda_topics(spark, sf_dir):
-    return models.lda_topics(read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, words=5)
+    return models.lda_topics(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -42,9 +42,18 @@ def url_registrable_domain(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.registrable_domain(F.col("url")).alias("domain"))
 
 
-@query("url_homepage", f"SELECT page_id, CASE WHEN {SQL_SCHEME} IN ('http','https') THEN {SQL_SCHEME} ELSE 'https' END || '://' || {SQL_DOMAIN} || '/' AS homepage, {SQL_PATH} IN ('', '/') AND regexp_extract(url, '{urls.QUERY}', 1) = '' AS is_homepage FROM pages")
+SUFFIXED = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://shop' || page_id || '.a.co.uk/x' WHEN 1 THEN 'https://b' || page_id || '.com.au' ELSE url END AS url FROM pages"
+SQL_KEEP = f"CASE WHEN list_contains({list(urls.TWO_LABEL_SUFFIXES)}, {SQL_DOMAIN}) THEN 3 ELSE 2 END"
+
+
+@query("url_homepage", f"""
+WITH s AS (SELECT page_id, url, {SQL_SCHEME} AS scheme, string_split({SQL_HOST}, '.') AS labels, {SQL_KEEP} AS keep, {SQL_PATH} IN ('', '/') AND regexp_extract(url, '{urls.QUERY}', 1) = '' AS is_homepage FROM ({SUFFIXED}))
+SELECT page_id, CASE WHEN scheme IN ('http','https') THEN scheme ELSE 'https' END || '://' || CASE WHEN len(labels) >= keep THEN array_to_string(labels[-keep:], '.') ELSE '' END || '/' AS homepage, is_homepage FROM s""")
 def url_homepage(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.homepage(F.col("url")).alias("homepage"), urls.is_homepage(F.col("url")).alias("is_homepage"))
+    i = F.col("page_id")
+    url = F.when(i % 3 == 0, F.concat(F.lit("http://shop"), i, F.lit(".a.co.uk/x"))).when(i % 3 == 1, F.concat(F.lit("https://b"), i, F.lit(".com.au"))).otherwise(F.col("url"))
+    made = read(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    return made.select("page_id", urls.homepage(F.col("url")).alias("homepage"), urls.is_homepage(F.col("url")).alias("is_homepage"))
 
 
 @query("url_parts", f"SELECT {SQL_SCHEME} AS scheme, regexp_extract(url, '{urls.QUERY}', 1) <> '' AS has_query, contains(url, '#') AS has_fragment, count(*) AS n FROM pages GROUP BY ALL")
@@ -76,17 +85,33 @@ def url_tokens_long(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(F.explode(parts).alias("part", "tokens")).select("part", F.explode("tokens").alias("token")).groupBy("part", "token").agg(F.count("*").alias("n"))
 
 
-@query("href_shape_counts", f"""
-WITH l AS ({SQL_LINKS}), s AS (SELECT href, list_filter(string_split(regexp_extract(href, '{urls.PATH}', 1), '/'), lambda x: x <> '') AS seg FROM l), t AS (
-  SELECT unnest(list_filter([
-    CASE WHEN contains(href, '#') THEN 'fragment' END, CASE WHEN regexp_extract(href, '{urls.QUERY}', 1) <> '' THEN 'query' END,
-    CASE WHEN regexp_matches(regexp_extract(href, '{urls.PATH}', 1), '.+/$') THEN 'slash' END,
-    CASE WHEN len(list_filter(seg, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 THEN 'number' END,
-    CASE WHEN lower(regexp_extract(regexp_extract(href, '{urls.PATH}', 1), '\\.([a-zA-Z0-9]{{1,5}})$', 1)) <> '' THEN 'ext:' || lower(regexp_extract(regexp_extract(href, '{urls.PATH}', 1), '\\.([a-zA-Z0-9]{{1,5}})$', 1)) END,
-    'depth:' || least(len(seg), 8)], lambda x: x IS NOT NULL)) AS token FROM s)
+#: Links made from page urls, as the pages' own are all of one shape.
+MADE_LINKS = """SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN url || '?id=' || page_id || '&Sort=up#top' WHEN 1 THEN '/a/' || page_id || '/b.HTML' WHEN 2 THEN 'mailto:a@b.example.org' WHEN 3 THEN 'https://other' || (page_id % 7) || '.example.com/{x}/'
+  WHEN 4 THEN '//' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '/x/y/z' ELSE 'javascript:go(%d)' END AS href FROM pages"""
+
+
+def made_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, u = F.col("page_id"), F.col("url")
+    href = (
+        F.when(i % 6 == 0, F.concat(u, F.lit("?id="), i, F.lit("&Sort=up#top"))).when(i % 6 == 1, F.concat(F.lit("/a/"), i, F.lit("/b.HTML"))).when(i % 6 == 2, "mailto:a@b.example.org")
+        .when(i % 6 == 3, F.concat(F.lit("https://other"), i % 7, F.lit(".example.com/{x}/"))).when(i % 6 == 4, F.concat(F.lit("//"), urls.authority(u), F.lit("/x/y/z"))).otherwise("javascript:go(%d)")
+    )
+    return read(spark, sf_dir, "pages").select("page_id", "url", href.alias("href"))
+
+
+@query("href_shape_counts", rf"""
+WITH l AS ({MADE_LINKS} UNION ALL {SQL_LINKS}),
+q AS (SELECT href, CASE WHEN contains(href, '?') THEN string_split(substr(href, strpos(href, '?') + 1), '&') ELSE [] END AS pairs, lower(regexp_extract(href, '\.([A-Za-z0-9]{{1,5}})(?:[?#]|$)', 1)) AS ext,
+  len(list_filter(string_split(regexp_extract(href, '^([^?]*)', 1), '/'), lambda x: x <> '')) - 2 AS depth FROM l),
+t AS (SELECT unnest(list_concat(list_filter([
+    CASE WHEN ext <> '' THEN 'H:ext=' || ext END, CASE WHEN len(pairs) > 0 THEN 'H:q=' || least(len(pairs), 6) END, CASE WHEN contains(href, '#') THEN 'H:frag' END, CASE WHEN regexp_matches(href, '/[0-9]{{1,8}}([./]|$)') THEN 'H:numseg' END,
+    CASE WHEN ends_with(href, '/') THEN 'H:slash' END, CASE WHEN starts_with(href, 'mailto:') THEN 'H:mailto' END, CASE WHEN starts_with(href, 'javascript:') THEN 'H:jscript' END,
+    CASE WHEN regexp_matches(href, '[{{}}]|%d') THEN 'H:template' END, 'H:depth=' || greatest(0, least(depth, 8))], lambda x: x IS NOT NULL),
+  list_transform(list_filter(list_transform(pairs[1:6], lambda x: lower(string_split(x, '=')[1])), lambda k: length(k) <= 16), lambda k: 'H:key=' || k))) AS token FROM q WHERE href <> '')
 SELECT token, count(*) AS n FROM t GROUP BY token""")
 def href_shape_counts(spark, sf_dir):
-    return links(spark, sf_dir).select(F.explode(urls.href_shape(F.col("href"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    every = made_links(spark, sf_dir).unionByName(links(spark, sf_dir))
+    return every.select(F.explode(urls.href_shape(F.col("href"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("page_links_resolved", f"""
@@ -98,9 +123,12 @@ def page_links_resolved(spark, sf_dir):
     return out.where(urls.crawlable(F.col("link"))).select("page_id", urls.normalized(F.col("link")).alias("link")).distinct()
 
 
-@query("link_external_share", f"WITH l AS ({SQL_LINKS}) SELECT page_id, count(*) AS n_links, round(sum(CASE WHEN regexp_matches(href, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//') THEN 1 ELSE 0 END) / count(*), 6) AS external_share FROM l GROUP BY page_id")
+@query("link_external_share", f"""
+WITH l AS ({MADE_LINKS} UNION ALL {SQL_LINKS}), d AS (SELECT *, {SQL_DOMAIN} AS domain, lower(regexp_replace(regexp_extract(href, '{AUTH}', 1), '^[^@]*@|:[0-9]*$|\\.$', '', 'g')) AS host FROM l)
+SELECT page_id, count(*) AS n_links, round(sum(CASE WHEN regexp_matches(href, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//') AND array_to_string(string_split(host, '.')[-2:], '.') <> domain THEN 1 ELSE 0 END) / count(*), 6) AS external_share FROM d GROUP BY page_id""")
 def link_external_share(spark, sf_dir):
-    out = links(spark, sf_dir).withColumn("out", urls.is_external(F.col("url"), F.col("href")).cast("int"))
+    every = made_links(spark, sf_dir).unionByName(links(spark, sf_dir))
+    out = every.withColumn("out", urls.is_external(F.col("url"), F.col("href")).cast("int"))
     return out.groupBy("page_id").agg(F.count("*").alias("n_links"), F.round(F.sum("out") / F.count("*"), 6).alias("external_share"))
 
 

@@ -56,6 +56,22 @@ def _decode(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: decode_page(None if x is None else bytes(x)))
 
 
+@F.pandas_udf(T.StringType())
+def _replaced(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: "" if x is None else bytes(x).decode("utf-8", "replace"))
+
+
+@F.pandas_udf(T.StringType())
+def _strict(raw: pd.Series) -> pd.Series:
+    def one(x) -> str | None:
+        try:
+            return None if x is None else bytes(x).decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+
+    return raw.map(one)
+
+
 @F.pandas_udf(T.BinaryType())
 def _deflate(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else gzip.compress(bytes(x), mtime=0))
@@ -89,6 +105,16 @@ def page_text(encoded: Column) -> Column:
     return _decode(inflated(encoded))
 
 
+def prompt_page(encoded: Column) -> Column:
+    """base64 of a compressed page as UTF-8, bad bytes replaced; empty where it can't be inflated."""
+    return _replaced(inflated(encoded))
+
+
+def mongo_page(raw: Column) -> Column:
+    """The page under ``$binary`` of a JSON object; null for any other shape, for what can't be inflated and for bytes that are not UTF-8."""
+    return _strict(inflated(mongo_binary(raw)))
+
+
 def decoded_bytes(raw: Column) -> Column:
     """Text of page bytes; valid UTF-8 never leaves the JVM."""
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(_decode(raw))

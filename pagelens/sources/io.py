@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
@@ -25,6 +26,36 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: str, keep_bad: bo
     return rows if keep_bad else rows.where("bad is null").drop("bad")
 
 
+def numbered_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """``line_no, value`` of a text file, blank lines included, numbered from 0; the first ``most`` lines if asked.
+
+    Lines are numbered within their part of the file and moved up by the lines of the parts before, which are
+    counted first; a part is a stretch of the file's bytes, so its order is that of the file.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    counts = raw.groupBy("at").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = counts.select("at", "first", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("before"))  # a row for each part
+    out = raw.join(before, "at").select((F.col("i") - F.col("first") + F.col("before")).alias("line_no"), "value")
+    return out if most is None else out.where(F.col("line_no") < most)
+
+
+def numbered_jsonl(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
+    """JSON lines with their line number, ``most`` counting bad and blank lines too; these are skipped then."""
+    rows = numbered_lines(spark, path, most).withColumn("row", F.from_json("value", f"{schema}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
+    return rows.where((F.trim("value") != "") & F.col("row.bad").isNull()).select("line_no", "row.*").drop("bad")
+
+
+def folder(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl", first: list[str] | None = None) -> DataFrame:
+    """JSON lines of explicit files, in their order, then of a folder's files that match, by name, with ``file_rank``."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").distinct()
+    named = [(f, i) for i, f in enumerate(first or [])]
+    listed = [f for f, _ in named] + [r["path"] for r in found.orderBy("path").collect()]
+    parts = [jsonl(spark, f, schema).withColumn("file_rank", F.lit(i)) for i, f in enumerate(dict.fromkeys(listed))]
+    if not parts:
+        raise ValueError(f"no {glob} in {path}")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def json_lines_of(df: DataFrame, column: str, schema: str) -> DataFrame:
     """The same over lines that a column already holds."""
     parsed = df.withColumn("row", F.from_json(column, f"{schema}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
@@ -32,10 +63,17 @@ def json_lines_of(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that holds one JSON array."""
+    """A file that holds one JSON array. Many such files are read in parallel, each by one task."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_array_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same of a large file that has an element a line, as exports do: lines are split among tasks, brackets and commas around elements go."""
+    element = F.regexp_replace(F.trim("value"), r"^\[\s*|\s*[,\]]+$", "")
+    rows = spark.read.text(path).select(element.alias("element")).where(F.col("element").rlike(r"^\{"))
+    return json_lines_of(rows, "element", schema)
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages by suffix: .jsonl, .json, .csv or .parquet; others raise."""
     suffix = path.rsplit(".", 1)[-1].lower()
@@ -58,8 +96,8 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def url_list(spark: SparkSession, path: str, column: str = "url", limit: int | None = None, seed: int | None = None) -> DataFrame:
-    """Distinct urls of a CSV with a header, with a scheme, shuffled by ``seed`` before a limit."""
-    rows = spark.read.option("header", True).csv(path)
+    """Distinct urls of a Parquet file or a CSV with a header, with a scheme, shuffled by ``seed`` before a limit."""
+    rows = spark.read.parquet(path) if path.rstrip("/").lower().endswith(".parquet") else spark.read.option("header", True).csv(path)
     if column not in rows.columns:
         raise ValueError(f"no column {column}")
     out = rows.where(F.trim(column) != "").select(urls.with_scheme(F.col(column), lower=True).alias("url")).distinct()
@@ -109,6 +147,24 @@ def fetched(df: DataFrame, fetch: Callable[[str], tuple[int, str]], parallel: in
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, f"{SCRAPE}, error string")
 
 
+def crawl_list(df: DataFrame, fetch: Callable[[str], tuple[int, str]], path: str, batch: int = 25, parallel: int | None = None) -> DataFrame:
+    """Fetch what ``path`` does not hold yet, a batch after the other, each written before the next; the visited set is ``path`` itself.
+
+    A run that breaks off goes on where it stopped. Urls are fetched once, failures included.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    left = df.select("url").distinct()
+    if there:
+        left = left.join(spark.read.parquet(path).select("url").distinct(), "url", "left_anti")
+    parts = max(1, -(-left.count() // batch))
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(parts)))
+    for i in range(parts):
+        fetched(dealt.where(F.col("part") == i).drop("part"), fetch, parallel).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines; null keys are written too."""
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
@@ -149,6 +205,18 @@ def cached(spark: SparkSession, folder: str, parts: dict[str, object], make: Cal
     return spark.read.parquet(path)
 
 
+def cached_vectors(spark: SparkSession, path: str, model: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A cache of vectors that names its model; an error if the cache was made by another one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        make().withColumn("model", F.lit(model)).write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(path)
+    other = found.where(F.col("model") != model).select("model").limit(1).collect()
+    if other:
+        raise ValueError(f"{path} holds vectors of {other[0]['model']}, not of {model}")
+    return found.drop("model")
+
+
 def markdown(report: DataFrame, most: int = 1000) -> str:
     """A small report as a Markdown table."""
     rows = report.limit(most).collect()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import dom, html, text, urls
-from pagelens.operators import curate, decide, models, pages, sampling, vectorize
+from pagelens.operators import curate, decide, features, models, pages, sampling, vectorize
 from pagelens.sources import codec, io
 
 
@@ -33,8 +33,15 @@ def one(spark, value, f):
         (urls.file_tokens, "http://x.com/a/big-red_house.html", ["big", "red", "house", "big-red-house", "ext:html"]),
         (urls.file_tokens, "http://x.com/a/plain", []),
         (urls.path_tokens, "http://x.com/news/2024/cheap-flights/a.html", ["news", "cheap", "flights", "cheap-flights"]),
-        (urls.href_shape, "mailto:a@b.c", ["mailto", "depth:1"]),
-        (urls.href_shape, "/a/12/?page=2&ref=x#top", ["query", "fragment", "slash", "number", "depth:2", "key:page", "key:ref"]),
+        (urls.href_shape, "mailto:a@b.c", ["H:ext=c", "H:mailto", "H:depth=0"]),
+        (urls.href_shape, "https://a.org/x/12/p.html?id=5&Sort=up#top", ["H:ext=html", "H:q=2", "H:key=id", "H:key=sort", "H:frag", "H:numseg", "H:depth=3"]),
+        (urls.href_shape, "/s/{id}/", ["H:slash", "H:template", "H:depth=0"]),
+        (text.without_repeated_sentences, "A b.  A b.  C d.  A b.\nA b.", "C d."),
+        (lambda c: text.without_repeated_lines(c, 1), "a\nb\na", "b"),
+        (lambda c: text.scrub_web(c), "Používáme COOKIES na www.a.cz v 12:30, po dni x", "používáme dni"),
+        (lambda c: text.scrub_english(c, ("the",)), "The Cat2, a dog's café", "cat dogs caf"),
+        (lambda c: text.prepared(c, ("the",), {"cats": "cat"}), "The cats ran", ["cat", "ran"]),
+        (text.word_length_tokens, "aa bb c ddd eee", ["n:wordlen=2", "n:wordlen=3"]),
         (urls.crawlable, "http://x.com/a.PDF", False),
         (text.normalize, "a\x01b  \n c ", "a b c"),
         (text.straight_quotes, "“a” ‘b’", "\"a\" 'b'"),
@@ -129,13 +136,14 @@ def test_dom():
     tags = [n.tag for n in nodes]
     assert tags.count("tr") == 2 and tags.count("td") == 3 and tags.count("li") == 3 and dom.parse(" ") is None and dom.parse("no tags") is None
     assert next(n for n in nodes if n.tag == "li").parent.tag == "ul" and dom.repeats(nodes)[0] == ("li()", 3)
-    assert dom.main_content(nodes, pages.BOILERPLATE, 5) == "Head Para one two" and "var a" not in dom.page_text(nodes)
+    assert dom.main_content(nodes, (*pages.BOILERPLATE, "menu"), 5) == "Head Para one two" and "var a" not in dom.page_text(nodes)
     fields = dom.heading_fields(nodes)
     assert (fields["title"], fields["description"], fields["og_title"], fields["headings"]) == ("T", "d", "og", ["Head"])
     assert dom.markdownish(nodes).splitlines()[0] == "h" and "# Head" in dom.markdownish(nodes)
-    groups = pages.group_tokens(nodes)
-    assert "x:input:password" in groups["form"] and "fa:search" in groups["form"] and "m:og:title" in groups["meta"] and "i:content" in groups["css"]
-    assert len(pages.DENSE_NAMES) == len(pages.dense(nodes, PAGE))
+    p = features.Page(nodes, PAGE)
+    groups = {g: list(f(p)) for g, f in features.TOKENS.items()}
+    assert "x:input_type=password" in groups["attr"] and groups["css"].count("fa:search") == 2 and "m:og=og:title" in groups["meta"] and "i:content" in groups["css"]
+    assert len(pages.DENSE_NAMES) == len(features.statistics(p)) == 129 and "R:li>text" in groups["tag"]
 
 
 def test_curate(spark):
