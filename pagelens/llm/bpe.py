@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pagelens.llm import common
 
 #: Words that a worker remembers at once, in two generations.
-MEMORY = 200_000
+MEMORY = 400_000
 #: From this many bytes on, merges are kept in a heap.
 LONG_WORD = 100
 _HIGH = (1 << 31) - 1
@@ -57,21 +57,20 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (whole,)
     if len(word) >= LONG_WORD:
         return _fold_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    get = ranks.get
-    pairs = [get(a + b, _HIGH) for a, b in zip(parts, parts[1:])]
+    # where the parts begin, and the rank of each pair of neighbours
+    get, cuts = ranks.get, list(range(len(word) + 1))
+    pairs = [get(word[i : i + 2], _HIGH) for i in range(len(word) - 1)]
     while pairs:
         least = min(pairs)
         if least == _HIGH:
             break
         i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del cuts[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], _HIGH)
+            pairs[i] = get(word[cuts[i] : cuts[i + 2]], _HIGH)
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], _HIGH)
-    return tuple([ranks[p] for p in parts])
+            pairs[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], _HIGH)
+    return tuple([ranks[word[a:b]] for a, b in zip(cuts, cuts[1:])])
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
