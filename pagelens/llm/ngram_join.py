@@ -10,8 +10,9 @@ lowers the estimated cost of its candidates.
    here on, so copies are neither posted nor compared.
 2. Prefix tokens are posted in packed buckets. A token of few classes yields candidate pairs, counted
    over all tokens; a token of more than ``FEW`` classes yields a star, not its pairs.
-3. Candidates that hang together meet, as texts, in one place (:func:`meetings`) and are linked exactly
-   (:func:`exact`); families that stay above ``BLOCK_TOKENS`` are split into pairs of blocks.
+3. Candidates that hang together are a family and meet, as texts, in one place, where they are linked
+   exactly (:func:`exact`). Families above ``PEEL_TOKENS`` are first compared with one leader after the
+   other (:func:`peeled`); what is left of them meets in one place or in pairs of blocks.
 4. Links make components.
 
 Defined cases: null texts and texts without words have an empty set and no links; fewer than five words
@@ -36,8 +37,12 @@ SLOTS, SLOT_BLOCKS = 1 << 20, 64
 LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
-#: Tokens of a family that meet in one task.
-BLOCK_TOKENS = 8_000_000
+#: Tokens of a family above which it is first compared with leaders, in parts of as many.
+PEEL_TOKENS = 100_000
+#: Tokens of what is left of a family that meet in one task.
+BLOCK_TOKENS = 2_000_000
+#: Leaders that a family has at most.
+ROUNDS = 8
 #: Sets of a family above which a token they share is heavy.
 HEAVY = 64
 CHUNK_BYTES = 8 << 20
@@ -351,29 +356,106 @@ def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
     return held.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long, whole boolean")
 
 
-def meetings(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``family, whole, n_blocks, s1, rep``: where each class that has candidates meets them, and if all that it can reach is there.
+def compared(rows: DataFrame, active: DataFrame, leaders: DataFrame, width: int, least: int) -> DataFrame:
+    """``(family, l_s1, l_rep, s1, rep, n, distance)`` of the members whose set shares ``least`` percent with their family's leader.
 
-    Candidates that hang together are a family. In a family of more than ``BLOCK_TOKENS`` the stars make
-    families of their own, and a pair across these meets with the other pairs of its lesser end.
+    A leader's text goes to each part of its family, a member's to one; parts have ``PEEL_TOKENS`` tokens.
     """
+    near = active.join(leaders, "family").where(f"s1 <> l_s1 and 100 * least(n, l_n) >= {least} * greatest(n, l_n)")
+    near = common.checkpointed(near)
+    parts = near.groupBy("family").agg(F.ceil(F.sum("n") / PEEL_TOKENS).cast("int").alias("parts"))
+    side = near.join(parts, "family").select("family", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int").alias("part"), "rep", "s1", F.lit(False).alias("leads"))
+    lead = leaders.join(parts, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("l_rep").alias("rep"), F.col("l_s1").alias("s1"), F.lit(True).alias("leads"))
+    both = side.unionByName(lead)
+    texts = rows.select("id", "text").join(both, rows["id"] == both["rep"]).drop("id")
 
-    def sized(members: DataFrame, names: list[str]) -> DataFrame:
-        own = members.join(kinds, members["node"] == kinds["s1"]).select(*names, "s1", "rep", "n")
-        return own.join(own.groupBy(*names).agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), names)
-
-    whole = common.checkpointed(sized(common.components(pairs).withColumnRenamed("component", "family"), ["family"]))
-    out = whole.where("n_blocks = 1").select(F.xxhash64(F.lit(0), "family").alias("family"), F.lit(True).alias("whole"), "n_blocks", "s1", "rep")
-    large = whole.where("n_blocks > 1").select(F.col("s1").alias("a")).distinct()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("leads", "descending")]).combine_chunks()
+        leader: np.ndarray | None = None
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in _sliced(iter(table.select(["s1", "leads", "text"]).to_batches()), "text"):
+            tokens, at = shingles(b.column("text"), width)
+            s1 = b.column("s1").to_numpy()
+            right = _signatures(tokens, at)[0] == s1  # an id may come with other texts
+            leads = b.column("leads").to_numpy(zero_copy_only=False)
+            if leader is None and (right & leads).any():
+                i = int(np.flatnonzero(right & leads)[0])
+                leader = tokens[at[i] : at[i + 1]]
+            if leader is None:
+                continue
+            shared = common.per_row(np.isin(tokens, leader, assume_unique=False).astype(np.int64), at)
+            total = np.diff(at) + len(leader) - shared
+            keep = np.flatnonzero(right & ~leads & (100 * shared >= least * total))
+            out.append((s1[keep], shared[keep], total[keep]))
+        found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({"s1": found[0], "shared": found[1], "total": found[2]})
+
+    made = texts.groupBy("family", "part").applyInArrow(run, "s1 long, shared long, total long").distinct()
+    return made.join(near, "s1")
+
+
+def peeled(rows: DataFrame, members: DataFrame, width: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """Of families that are too large for one task ``(family, s1, rep, n)``: links ``(a, b)``, and what is left to compare, as :func:`meetings` gives it.
+
+    In each round every family has a leader, and its members are compared with that alone. Those that are
+    similar to it are linked and leave the family. Sets whose distance from the leader is more than twice the
+    limit can't be similar to any of them, as the Jaccard distance is a metric; of the few between, each is
+    compared with those that left and stand at least its distance less the limit from the leader. So a third
+    of all rows that are near copies costs one comparison each. Families end their rounds when they are
+    small enough, and all do when a round links less than a twentieth of what is left.
+    """
+    limit, reach = 100 - similar, max(1, 2 * similar - 100)
+    active = common.checkpointed(members)
+    links = left = misses = gone = None
+    add = lambda a, b: b if a is None else a.unionByName(b)
+    for turn in range(ROUNDS):
+        leaders = active.groupBy("family").agg(F.min(F.struct(F.xxhash64("s1", F.lit(turn)).alias("h"), "s1", "rep", "n")).alias("l")).select("family", F.col("l.s1").alias("l_s1"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n"))
+        leaders = common.checkpointed(leaders)
+        found = common.checkpointed(compared(rows, active, leaders, width, reach))
+        alike = found.where(f"100 * shared >= {similar} * total")
+        distance = (1 - F.col("shared") / F.col("total")).alias("distance")
+        links = add(links, alike.select(F.col("rep").alias("a"), F.col("l_rep").alias("b")))
+        gone = add(gone, alike.select("l_s1", "s1", "rep", "n", distance))
+        misses = add(misses, found.where(f"100 * shared < {similar} * total").select("l_s1", "s1", "rep", "n", distance))
+        out = alike.select("s1").unionByName(leaders.select(F.col("l_s1").alias("s1"))).distinct()
+        before = active.count()
+        active = common.checkpointed(active.join(out, "s1", "left_anti"))
+        now = active.count()
+        sizes = active.groupBy("family").agg(F.sum("n").alias("tokens"))
+        small = sizes.where(F.col("tokens") <= PEEL_TOKENS).select("family")
+        left = add(left, active.join(small, "family", "left_semi"))
+        active = common.checkpointed(active.join(small, "family", "left_anti"))
+        if active.isEmpty() or 20 * (before - now) < before:
+            break
+    left = left.unionByName(active)
+    rest = left.join(left.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), "family")
+    rest = rest.select(F.xxhash64(F.lit(1), "family").alias("family"), "s1", "rep", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    nearest = misses.groupBy("l_s1").agg(F.min("distance").alias("nearest"))
+    behind = gone.join(nearest, "l_s1").where(F.col("distance") >= F.col("nearest") - limit / 100 - 1e-9)
+    behind = behind.join(behind.groupBy("l_s1").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), "l_s1")
+    family = F.xxhash64(F.lit(2), "l_s1").alias("family")
+    far = behind.select(family, "s1", "rep", (F.pmod(F.xxhash64("rep"), F.col("n_blocks")) + 1).cast("int").alias("block"), F.lit(0).alias("other"))
+    close = misses.join(behind.select("l_s1", "n_blocks").distinct(), "l_s1").select(family, "s1", "rep", F.lit(0).alias("block"), F.explode(F.sequence(F.lit(1), F.col("n_blocks"))).alias("other"))
+    return links, rest.unionByName(far).unionByName(close)
+
+
+def meetings(rows: DataFrame, pairs: DataFrame, kinds: DataFrame, width: int, similar: int) -> tuple[DataFrame, DataFrame | None]:
+    """``family, whole, s1, rep, block, other``: where each class that has candidates meets them, and if all that it can reach is there;
+    and the links ``(a, b)`` that were found on the way.
+
+    Candidates that hang together are a family. Families of at most ``PEEL_TOKENS`` meet whole. From larger
+    ones what is like a leader is peeled off; what is left meets whole up to ``BLOCK_TOKENS``, else in pairs of
+    blocks.
+    """
+    members = common.components(pairs).select(F.col("component").alias("family"), F.col("node").alias("s1")).join(kinds.select("s1", "rep", "n"), "s1")
+    members = common.checkpointed(members.join(members.groupBy("family").agg(F.sum("n").alias("tokens")), "family"))
+    zero = F.lit(0)
+    out = members.where(F.col("tokens") <= PEEL_TOKENS).select(F.xxhash64(zero, "family").alias("family"), F.lit(True).alias("whole"), "s1", "rep", zero.alias("block"), zero.alias("other"))
+    large = members.where(F.col("tokens") > PEEL_TOKENS).drop("tokens")
     if large.isEmpty():
-        return out
-    pairs = common.checkpointed(pairs.join(large, "a"))
-    stars = common.components(pairs.where("star").select("a", "b"))
-    near, far = stars.select(F.col("node").alias("a"), F.col("component").alias("fa")), stars.select(F.col("node").alias("b"), F.col("component").alias("fb"))
-    across = pairs.where("not star").join(near, "a", "left").join(far, "b", "left").where("fa is null or fb is null or fa <> fb")
-    across = across.select(F.lit(2).alias("kind"), F.col("a").alias("family"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    split = sized(stars.select(F.lit(1).alias("kind"), F.col("component").alias("family"), "node").unionByName(across), ["kind", "family"])
-    return out.unionByName(split.select(F.xxhash64("kind", "family").alias("family"), F.lit(False).alias("whole"), "n_blocks", "s1", "rep"))
+        return out, None
+    links, left = peeled(rows, large, width, similar)
+    return out.unionByName(left.withColumn("whole", F.lit(False))), links
 
 
 def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
@@ -391,19 +473,18 @@ def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
     kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kinds = common.checkpointed(kinds)
     pairs = common.checkpointed(candidates(postings(rows, counts, buckets, width, similar), similar))
-    wanted = common.checkpointed(meetings(pairs, kinds))
-    held = wanted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    held = rows.join(held, rows["id"] == held["rep"]).select(
-        F.when(F.col("n_blocks") == 1, F.pmod("family", F.lit(buckets))).otherwise(F.col("family")).alias("shard"),
+    wanted, peels = meetings(rows, pairs, kinds, width, similar)
+    wanted = common.checkpointed(wanted)
+    held = rows.join(wanted, rows["id"] == wanted["rep"]).select(
+        F.when(F.col("whole"), F.pmod("family", F.lit(buckets))).otherwise(F.col("family")).alias("shard"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "family", "whole", F.col("rep").alias("node"), "s1", "block", "text",
     )
     links = common.checkpointed(linked(held, width, similar))
     # nodes are sorted within a family, so the least index is the least id
     parts = links.where("whole").select("node", F.col("to").alias("component"))
     parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
-    split = links.where("not whole")
-    if not split.isEmpty():
-        parts = parts.unionByName(common.components(split.select(F.col("node").alias("a"), F.col("to").alias("b"))))
+    if peels is not None:
+        parts = parts.unionByName(common.components(links.where("not whole").select(F.col("node").alias("a"), F.col("to").alias("b")).unionByName(peels)))
     # a row that is repeated is linked as often, and an id with several texts may be in several components
     parts = common.checkpointed(parts.distinct())
     if not parts.groupBy("node").count().where("count > 1").isEmpty():
