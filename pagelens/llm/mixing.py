@@ -6,10 +6,13 @@ source is taken as many whole times as its target allows (complete epochs); the
 documents in order of exponential keys ``-ln(u) / quality``, up to the prefix whose sum is nearest.
 
 Sums run over (source, key bucket), so that no source is sorted in one task: only the bucket in which
-a source's budget ends is ordered row by row. ``u`` is a hash of the id, so reruns agree.
+a source's budget ends is ordered row by row. There are as many buckets as keep that at about
+``BUCKET_ROWS`` rows. ``u`` is a hash of the id, so reruns agree.
 
-Defined cases: null texts have size 0 and are taken in full for nothing; rows with the same id, size
-and key fall alike; an empty table gives an empty mix; if all sizes are 0 so are all targets.
+Defined cases: null texts have size 0 and are taken in full for nothing; a null id has the key of the empty
+text; rows with the same id, size and key fall alike, so rows that repeat are taken or left together; an
+empty table gives an empty mix; if all sizes are 0 so are all targets; other columns, of any name, are
+carried along.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common
 
-BUCKETS = 1024
+#: Rows that the bucket of a source's end has, if its rows are all rows.
+BUCKET_ROWS = 50_000
 #: Sources up to which their decisions are broadcast (about 100 bytes each); beyond it they are joined by key and salt.
 BROADCAST_SOURCES = 50_000
 SALTS = 32
@@ -35,15 +39,20 @@ def text_quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(4.0) * F.regexp_count(text, F.lit("[#*$%&|<>]")) / n), F.lit(1.0))
 
 
+def n_buckets(docs: DataFrame) -> int:
+    return 1 << max(10, (docs.count() // BUCKET_ROWS).bit_length())
+
+
 def keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality: Column | None) -> DataFrame:
     """``docs`` with ``m_`` columns: source key, size, exponential key and its bucket."""
+    buckets = n_buckets(docs)
     q = text_quality(F.col(text_col)) if quality is None else quality
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     return (
         docs.withColumn("m_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
         .withColumn("m_size", n_words(F.col(text_col)))
         .withColumn("m_key", -F.log(u) / q)
-        .withColumn("m_bucket", F.least(F.floor((1 - F.exp(-F.col("m_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+        .withColumn("m_bucket", F.least(F.floor((1 - F.exp(-F.col("m_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
     )
 
 

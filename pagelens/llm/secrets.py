@@ -5,6 +5,9 @@ ledger holds the pairs that were scanned, findings hold the spans, and a join on
 back to all documents that carry it. Copies, however many, are reduced to one row per map task before
 they are shuffled, and a blob is shuffled once.
 
+:func:`ledgered` keeps ledger and findings in a folder from one run to the next; the query scans a table that
+has no history, so it starts from an empty ledger and keeps none.
+
 Spans are [start, end) in code points. Null and empty texts are the same empty blob, which has no
 findings. Rows with the same id get the same answer each. The base rules are ``BASE``; ``EXTRA`` adds
 kinds and never takes a base span away.
@@ -127,9 +130,29 @@ def incremental(docs: DataFrame, ledger: DataFrame | None = None, findings: Data
     return paths.select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), seen, fresh
 
 
+def ledgered(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(path, blob, findings)`` of every document, by a ledger and findings that live in ``folder``, a path that all executors share.
+
+    What the ledger lacks is scanned and appended; findings are written first, so a run that breaks off
+    between the two scans its blobs again and nothing is lost.
+    """
+    spark = docs.sparkSession
+
+    def held(name: str) -> DataFrame | None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return common.checkpointed(spark.read.parquet(f"{folder}/{name}")) if there else None
+
+    paths, seen, fresh = incremental(docs, held("ledger"), held("findings"), rules, id_col, text_col)
+    paths, seen, fresh = (common.checkpointed(df) for df in (paths, seen, fresh))
+    fresh.write.mode("append").parquet(f"{folder}/findings")
+    seen.write.mode("append").parquet(f"{folder}/ledger")
+    return paths
+
+
 def with_findings(rows: DataFrame, found: DataFrame, spread: Column) -> DataFrame:
-    """``rows`` with the findings of their blob. A blob that many rows carry is dealt over ``SALTS`` tasks;
-    its findings, one short row, are repeated for each."""
+    """``rows`` with the findings of their blob. A blob that many rows carry is dealt over ``SALTS`` keys, which
+    adaptive execution splits further where they are skewed; its findings, one short row, are repeated for each."""
     salted = found.select("blob", "findings", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
     return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, ["blob", "salt_"], "left").drop("salt_")
 

@@ -644,6 +644,21 @@ def test_pipeline_stages(spark, sf_dir, texts, tokenizer):
         assert r["ids"] == tokenizer[1].encode_ordinary(masked[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
 
 
+def test_ledger_in_a_folder(spark, docs, tmp_path):
+    """A second run scans nothing, a new text is scanned alone, a new rule version reads old texts again."""
+    folder = str(tmp_path / "ledger")
+    first = {r["path"]: r["findings"] for r in secrets.ledgered(docs, folder).collect()}
+    rows = lambda name: spark.read.parquet(f"{folder}/{name}").count()
+    n, k = rows("ledger"), rows("findings")
+    assert n == len(secrets.RULES) * docs.select("text").fillna("").distinct().count() and any(first.values())
+    assert {r["path"]: r["findings"] for r in secrets.ledgered(docs, folder).collect()} == first and (rows("ledger"), rows("findings")) == (n, k)
+    more = docs.unionByName(spark.createDataFrame([(99, "secret: abcdef123", "z")], docs.schema))
+    again = {r["path"]: r["findings"] for r in secrets.ledgered(more, folder).collect()}
+    assert again[99][0]["kind"] == "assign" and (rows("ledger"), rows("findings")) == (n + len(secrets.RULES), k + 1)
+    newer = (*secrets.BASE[:2], secrets.Rule("hex", "[0-9a-f]{24,}", 24, version=2), *secrets.EXTRA)
+    assert {r["path"]: r["findings"] for r in secrets.ledgered(more, folder, newer).collect()} == again and rows("ledger") == n + len(secrets.RULES) + n // len(secrets.RULES) + 1
+
+
 # more of op4 and op6
 
 
