@@ -70,10 +70,13 @@ def durable(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder; a temporary one is set only where there is none, as in tests."""
+    """``df`` checkpointed in the session's shared folder; a temporary one is set only where there is none and the master is local, as in tests."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelens-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagelens-"))
     return df.checkpoint()
 
 

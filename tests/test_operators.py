@@ -190,3 +190,13 @@ def test_classifier_vectors_refit_and_sweep(spark):
             model.score_page(rows[0][1], vector=bad)
     best = classifier.sweep(df.select("page_id", "html"), df.select("page_id", "labels"), df.select("page_id", "html"), {"groups": [("tag",)], "stats": [False], "binary": [False, True]})
     assert best.count() == 2 and best.first()["macro_f1"] > 0.9 and len(classifier.LADDER) >= 14
+
+
+def test_jdbc_round_trip(spark):
+    """A table of a database in memory, read in two parts."""
+    url, driver = "jdbc:derby:memory:pages;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, f"u{i}") for i in range(50)], "id int, url string")
+    io.append_table(df, url, "listed", driver=driver)
+    io.append_table(df.limit(5), url, "listed", driver=driver)
+    got = io.table(spark, url, "listed", driver=driver, partitionColumn="id", lowerBound="0", upperBound="50", numPartitions="2")
+    assert got.count() == 55 and got.rdd.getNumPartitions() == 2 and {c.lower() for c in got.columns} == {"id", "url"}
