@@ -11,7 +11,7 @@ lowers the estimated cost of its candidates.
 2. Prefix tokens are posted in packed buckets. A token of few classes yields candidate pairs, counted
    over all tokens; a token of more than ``FEW`` classes yields a star, not its pairs.
 3. Candidates that hang together are a family and meet, as texts, in one place, where they are linked
-   exactly (:func:`exact`). Families above ``PEEL_TOKENS`` are first compared with one leader after the
+   exactly (:func:`exact`). Families above ``BLOCK_TOKENS`` are first compared with one leader after the
    other (:func:`peeled`); what is left of them meets in one place or in pairs of blocks.
 4. Links make components.
 
@@ -37,11 +37,9 @@ SLOTS, SLOT_BLOCKS = 1 << 20, 64
 LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
-#: Tokens of a family above which it is first compared with leaders, in parts of as many.
-PEEL_TOKENS = 100_000
-#: Tokens of what is left of a family that meet in one task.
-BLOCK_TOKENS = 2_000_000
-#: Leaders that a family has at most.
+#: Tokens of a family, or of a part of it, that meet in one task.
+BLOCK_TOKENS = 4_000_000
+#: Leaders that a larger family has at most.
 ROUNDS = 8
 #: Sets of a family above which a token they share is heavy.
 HEAVY = 64
@@ -330,7 +328,7 @@ def exact(sets: list[np.ndarray], similar: int, side: np.ndarray | None = None)
     return np.array([find(x) for x in range(n)], np.int64)
 
 
-def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
+def linked(texts: DataFrame, width: int, similar: int) -> DataFrame:
     """``(shard, i, j, family, whole, node, s1, block, text)`` to ``(node, to, whole)`` of every set with links to lesser ones."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -353,105 +351,150 @@ def linked(held: DataFrame, width: int, similar: int) -> DataFrame:
             final.append(whole[some[to != some]])
         return pa.table({"node": np.concatenate(left), "to": np.concatenate(right), "whole": np.concatenate(final)})
 
-    return held.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long, whole boolean")
+    return texts.groupBy("shard", "i", "j").applyInArrow(run, "node long, to long, whole boolean")
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` with the part of its family that each is in; parts have about ``BLOCK_TOKENS`` tokens."""
+    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
+    return members.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
+
+
+def _sets(table: pa.Table, width: int):
+    """``(s1, tokens, at, extra columns)`` of slices of a table; rows whose text is not the set's, as an id may come with others, are left out."""
+    for b in _sliced(iter(table.combine_chunks().to_batches()), "text"):
+        tokens, at = shingles(b.column("text"), width)
+        s1 = b.column("s1").to_numpy()
+        yield s1, tokens, at, _signatures(tokens, at)[0] == s1, b
+
+
+def central(rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``(family, l_s1, l_rep, l_n)``: of each family a member whose shingles many others of its part have."""
+    placed = dealt(members)
+    texts = rows.select("id", "text").join(placed, rows["id"] == placed["rep"]).select("family", "part", "s1", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        # counts by 20 bits of the shingle are enough to tell the middle of a family
+        slots = np.zeros(1 << 20, np.int64)
+        for _, tokens, _, _, _ in _sets(table, width):
+            slots += np.bincount((tokens >> np.uint64(32)).astype(np.int64), minlength=1 << 20)
+        best = (-1.0, 0)
+        for s1, tokens, at, right, _ in _sets(table, width):
+            mean = common.per_row(slots[(tokens >> np.uint64(32)).astype(np.int64)], at) / np.maximum(np.diff(at), 1)
+            for i in np.flatnonzero(right):
+                best = max(best, (float(mean[i]), int(s1[i])))
+        return pa.table({"family": table["family"].slice(0, 1), "s1": pa.array([best[1]]), "mean": pa.array([best[0]])})
+
+    found = texts.groupBy("family", "part").applyInArrow(run, "family long, s1 long, mean double")
+    best = found.groupBy("family").agg(F.max(F.struct("mean", "s1")).alias("b")).select("family", F.col("b.s1").alias("s1"))
+    return best.join(members, ["family", "s1"]).select("family", F.col("s1").alias("l_s1"), F.col("rep").alias("l_rep"), F.col("n").alias("l_n"))
 
 
 def compared(rows: DataFrame, active: DataFrame, leaders: DataFrame, width: int, least: int) -> DataFrame:
-    """``(family, l_s1, l_rep, s1, rep, n, distance)`` of the members whose set shares ``least`` percent with their family's leader.
+    """``(family, l_s1, l_rep, s1, rep, n, shared, total)`` of the members whose set shares ``least`` percent with their family's leader.
 
-    A leader's text goes to each part of its family, a member's to one; parts have ``PEEL_TOKENS`` tokens.
+    A leader's text goes to each part of its family, a member's to one.
     """
     near = active.join(leaders, "family").where(f"s1 <> l_s1 and 100 * least(n, l_n) >= {least} * greatest(n, l_n)")
-    near = common.checkpointed(near)
-    parts = near.groupBy("family").agg(F.ceil(F.sum("n") / PEEL_TOKENS).cast("int").alias("parts"))
-    side = near.join(parts, "family").select("family", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int").alias("part"), "rep", "s1", F.lit(False).alias("leads"))
-    lead = leaders.join(parts, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("l_rep").alias("rep"), F.col("l_s1").alias("s1"), F.lit(True).alias("leads"))
+    near = common.checkpointed(dealt(near))
+    side = near.select("family", "part", "rep", "s1", F.lit(False).alias("leads"))
+    whole = near.select("family", "parts", "l_rep", "l_s1").distinct()
+    lead = whole.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("l_rep").alias("rep"), F.col("l_s1").alias("s1"), F.lit(True).alias("leads"))
     both = side.unionByName(lead)
     texts = rows.select("id", "text").join(both, rows["id"] == both["rep"]).drop("id")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("leads", "descending")]).combine_chunks()
         leader: np.ndarray | None = None
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for b in _sliced(iter(table.select(["s1", "leads", "text"]).to_batches()), "text"):
-            tokens, at = shingles(b.column("text"), width)
-            s1 = b.column("s1").to_numpy()
-            right = _signatures(tokens, at)[0] == s1  # an id may come with other texts
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        for s1, tokens, at, right, b in _sets(table.sort_by([("leads", "descending")]), width):
             leads = b.column("leads").to_numpy(zero_copy_only=False)
             if leader is None and (right & leads).any():
                 i = int(np.flatnonzero(right & leads)[0])
                 leader = tokens[at[i] : at[i + 1]]
             if leader is None:
                 continue
-            shared = common.per_row(np.isin(tokens, leader, assume_unique=False).astype(np.int64), at)
+            shared = common.per_row(np.isin(tokens, leader).astype(np.int64), at)
             total = np.diff(at) + len(leader) - shared
             keep = np.flatnonzero(right & ~leads & (100 * shared >= least * total))
             out.append((s1[keep], shared[keep], total[keep]))
-        found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table({"s1": found[0], "shared": found[1], "total": found[2]})
+        return pa.table({k: np.concatenate(x) for k, x in zip(("s1", "shared", "total"), zip(*out))})
 
     made = texts.groupBy("family", "part").applyInArrow(run, "s1 long, shared long, total long").distinct()
-    return made.join(near, "s1")
+    return made.join(near.drop("part", "parts"), "s1")
+
+
+def across(close: DataFrame, gone: DataFrame, limit: float) -> DataFrame:
+    """Where members that came close to a leader meet those that left with it, as far as distances allow: blocks of the latter, one after the other."""
+    nearest = close.groupBy("l_s1").agg(F.min("distance").alias("nearest"))
+    behind = gone.join(nearest, "l_s1").where(F.col("distance") >= F.col("nearest") - limit - 1e-9)
+    behind = behind.join(behind.groupBy("l_s1").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), "l_s1")
+    family, columns = F.xxhash64(F.lit(2), "l_s1").alias("family"), ["s1", "rep"]
+    far = behind.select(family, *columns, (F.pmod(F.xxhash64("rep"), F.col("n_blocks")) + 1).cast("int").alias("block"), F.lit(0).alias("other"))
+    met = close.join(behind.select("l_s1", "n_blocks").distinct(), "l_s1")
+    return far.unionByName(met.select(family, *columns, F.lit(0).alias("block"), F.explode(F.sequence(F.lit(1), F.col("n_blocks"))).alias("other")))
 
 
 def peeled(rows: DataFrame, members: DataFrame, width: int, similar: int) -> tuple[DataFrame, DataFrame]:
     """Of families that are too large for one task ``(family, s1, rep, n)``: links ``(a, b)``, and what is left to compare, as :func:`meetings` gives it.
 
-    In each round every family has a leader, and its members are compared with that alone. Those that are
-    similar to it are linked and leave the family. Sets whose distance from the leader is more than twice the
-    limit can't be similar to any of them, as the Jaccard distance is a metric; of the few between, each is
-    compared with those that left and stand at least its distance less the limit from the leader. So a third
-    of all rows that are near copies costs one comparison each. Families end their rounds when they are
-    small enough, and all do when a round links less than a twentieth of what is left.
+    In each round every family has a leader from its middle, and its members are compared with that alone.
+    Those that are similar to it are linked and leave the family. Sets whose distance from the leader is more
+    than twice the limit can't be similar to any of them, as the Jaccard distance is a metric. Of the few
+    between, later leaders are compared first with those that left, then those that still are in another
+    component. So a third of all rows that are near copies costs a few comparisons each. A family's rounds
+    end when it is small enough; all do when a round links less than a twentieth of what is left.
     """
-    limit, reach = 100 - similar, max(1, 2 * similar - 100)
+    limit, reach = (100 - similar) / 100, max(1, 2 * similar - 100)
     active = common.checkpointed(members)
-    links = left = misses = gone = None
+    links = left = misses = gone = led = None
     add = lambda a, b: b if a is None else a.unionByName(b)
-    for turn in range(ROUNDS):
-        leaders = active.groupBy("family").agg(F.min(F.struct(F.xxhash64("s1", F.lit(turn)).alias("h"), "s1", "rep", "n")).alias("l")).select("family", F.col("l.s1").alias("l_s1"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n"))
-        leaders = common.checkpointed(leaders)
-        found = common.checkpointed(compared(rows, active, leaders, width, reach))
-        alike = found.where(f"100 * shared >= {similar} * total")
-        distance = (1 - F.col("shared") / F.col("total")).alias("distance")
-        links = add(links, alike.select(F.col("rep").alias("a"), F.col("l_rep").alias("b")))
-        gone = add(gone, alike.select("l_s1", "s1", "rep", "n", distance))
-        misses = add(misses, found.where(f"100 * shared < {similar} * total").select("l_s1", "s1", "rep", "n", distance))
-        out = alike.select("s1").unionByName(leaders.select(F.col("l_s1").alias("s1"))).distinct()
+    for _ in range(ROUNDS):
+        leaders = common.checkpointed(central(rows, active, width))
+        found = common.checkpointed(compared(rows, active, leaders, width, reach).withColumn("distance", 1 - F.col("shared") / F.col("total")))
+        alike = F.expr(f"100 * shared >= {similar} * total")
+        links = add(links, found.where(alike).select(F.col("rep").alias("a"), F.col("l_rep").alias("b")))
+        gone = add(gone, found.where(alike).select("l_s1", "s1", "rep", "n", "distance"))
+        misses = add(misses, found.where(~alike).select("l_s1", "l_rep", "s1", "rep", "n", "distance"))
+        led = add(led, leaders.select(F.col("l_s1").alias("s1")))
+        out = found.where(alike).select("s1").unionByName(leaders.select(F.col("l_s1").alias("s1"))).distinct()
         before = active.count()
         active = common.checkpointed(active.join(out, "s1", "left_anti"))
         now = active.count()
-        sizes = active.groupBy("family").agg(F.sum("n").alias("tokens"))
-        small = sizes.where(F.col("tokens") <= PEEL_TOKENS).select("family")
+        small = active.groupBy("family").agg(F.sum("n").alias("tokens")).where(F.col("tokens") <= BLOCK_TOKENS).select("family")
         left = add(left, active.join(small, "family", "left_semi"))
         active = common.checkpointed(active.join(small, "family", "left_anti"))
         if active.isEmpty() or 20 * (before - now) < before:
             break
-    left = left.unionByName(active)
-    rest = left.join(left.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), "family")
-    rest = rest.select(F.xxhash64(F.lit(1), "family").alias("family"), "s1", "rep", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    nearest = misses.groupBy("l_s1").agg(F.min("distance").alias("nearest"))
-    behind = gone.join(nearest, "l_s1").where(F.col("distance") >= F.col("nearest") - limit / 100 - 1e-9)
-    behind = behind.join(behind.groupBy("l_s1").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("n_blocks")), "l_s1")
-    family = F.xxhash64(F.lit(2), "l_s1").alias("family")
-    far = behind.select(family, "s1", "rep", (F.pmod(F.xxhash64("rep"), F.col("n_blocks")) + 1).cast("int").alias("block"), F.lit(0).alias("other"))
-    close = misses.join(behind.select("l_s1", "n_blocks").distinct(), "l_s1").select(family, "s1", "rep", F.lit(0).alias("block"), F.explode(F.sequence(F.lit(1), F.col("n_blocks"))).alias("other"))
-    return links, rest.unionByName(far).unionByName(close)
+    first = across(misses.join(led, "s1", "left_semi"), gone, limit).withColumn("whole", F.lit(False))
+    links = common.checkpointed(links.unionByName(linked(held(rows, first, 1), width, similar).select(F.col("node").alias("a"), F.col("to").alias("b"))))
+    parts = common.checkpointed(common.components(links))
+    own, theirs = parts.select(F.col("node").alias("rep"), F.col("component").alias("c1")), parts.select(F.col("node").alias("l_rep"), F.col("component").alias("c2"))
+    apart = misses.join(led, "s1", "left_anti").join(own, "rep", "left").join(theirs, "l_rep", "left").where("c1 is null or c2 is null or c1 <> c2").select("l_s1", "s1", "rep", "n", "distance")
+    rest = dealt(left.unionByName(active))
+    rest = rest.select(F.xxhash64(F.lit(1), "family").alias("family"), "s1", "rep", F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return links, rest.unionByName(across(apart, gone, limit))
+
+
+def held(rows: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """The texts of the classes that meet, by the task in which they do."""
+    return rows.join(wanted, rows["id"] == wanted["rep"]).select(
+        F.when(F.col("whole"), F.pmod("family", F.lit(buckets))).otherwise(F.col("family")).alias("shard"),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "family", "whole", F.col("rep").alias("node"), "s1", "block", "text",
+    )
 
 
 def meetings(rows: DataFrame, pairs: DataFrame, kinds: DataFrame, width: int, similar: int) -> tuple[DataFrame, DataFrame | None]:
     """``family, whole, s1, rep, block, other``: where each class that has candidates meets them, and if all that it can reach is there;
     and the links ``(a, b)`` that were found on the way.
 
-    Candidates that hang together are a family. Families of at most ``PEEL_TOKENS`` meet whole. From larger
-    ones what is like a leader is peeled off; what is left meets whole up to ``BLOCK_TOKENS``, else in pairs of
-    blocks.
+    Candidates that hang together are a family. Families of at most ``BLOCK_TOKENS`` meet whole. From larger
+    ones what is like a leader is peeled off; blocks of what is left meet in pairs.
     """
     members = common.components(pairs).select(F.col("component").alias("family"), F.col("node").alias("s1")).join(kinds.select("s1", "rep", "n"), "s1")
     members = common.checkpointed(members.join(members.groupBy("family").agg(F.sum("n").alias("tokens")), "family"))
     zero = F.lit(0)
-    out = members.where(F.col("tokens") <= PEEL_TOKENS).select(F.xxhash64(zero, "family").alias("family"), F.lit(True).alias("whole"), "s1", "rep", zero.alias("block"), zero.alias("other"))
-    large = members.where(F.col("tokens") > PEEL_TOKENS).drop("tokens")
+    out = members.where(F.col("tokens") <= BLOCK_TOKENS).select(F.xxhash64(zero, "family").alias("family"), F.lit(True).alias("whole"), "s1", "rep", zero.alias("block"), zero.alias("other"))
+    large = members.where(F.col("tokens") > BLOCK_TOKENS).drop("tokens")
     if large.isEmpty():
         return out, None
     links, left = peeled(rows, large, width, similar)
@@ -475,11 +518,7 @@ def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
     pairs = common.checkpointed(candidates(postings(rows, counts, buckets, width, similar), similar))
     wanted, peels = meetings(rows, pairs, kinds, width, similar)
     wanted = common.checkpointed(wanted)
-    held = rows.join(wanted, rows["id"] == wanted["rep"]).select(
-        F.when(F.col("whole"), F.pmod("family", F.lit(buckets))).otherwise(F.col("family")).alias("shard"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "family", "whole", F.col("rep").alias("node"), "s1", "block", "text",
-    )
-    links = common.checkpointed(linked(held, width, similar))
+    links = common.checkpointed(linked(held(rows, wanted, buckets), width, similar))
     # nodes are sorted within a family, so the least index is the least id
     parts = links.where("whole").select("node", F.col("to").alias("component"))
     parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
