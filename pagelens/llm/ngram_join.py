@@ -1,7 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set holds its distinct 5-word shingles. Sets are ordered by estimated frequency (a sketch
-of fixed size, counted over all shingles of all documents), rarest first. Two sets with a Jaccard
+of bounded size, counted over all shingles of all documents), rarest first. Two sets with a Jaccard
 similarity of at least t share ``l`` tokens in their prefixes of ``n - ceil(t * n) + l`` tokens, for
 every ``l``; each document lengthens its prefix, and so asks for more shared tokens, as long as that
 lowers the estimated cost of its candidates.
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pagelens.llm import common
 
 WIDTH, SIMILAR = 5, 80
-SLOTS, SLOT_BLOCKS = 1 << 20, 64
+#: Bits of a shingle that tell its slot in the sketch, at least and at most, so that the sketch is 16 MB or less.
+LEAST_BITS, MOST_BITS, SLOT_BLOCKS = 16, 24, 64
 LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
 #: Tokens of a family, or of a part of it, that meet in one task.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 8_000_000
 #: Leaders that a larger family has at most.
 ROUNDS = 8
 #: Sets of a family above which a token they share is heavy.
@@ -91,59 +92,72 @@ def _signatures(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def surveyed(rows: DataFrame, width: int) -> DataFrame:
+def slot_bits(total: int) -> int:
+    """Bits of the slots for texts of ``total`` bytes: about a slot for every four shingles, as far as the limit allows."""
+    return min(MOST_BITS, max(LEAST_BITS, (total // 24).bit_length()))
+
+
+def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
     """``(id, row, n, s1, s2)`` of every row and, as rows with ``part``, each task's counts of its shingles."""
     names = ["id", "row", "n", "s1", "s2", "part"]
     schema = "id long, row long, n long, s1 long, s2 long, part binary"
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         for b in _sliced(batches, "text"):
             tokens, at = shingles(b.column("text"), width)
-            counts += np.bincount((tokens >> np.uint64(32)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            slot, number = np.unique((tokens >> np.uint64(52 - bits)).astype(np.int32), return_counts=True)
+            counts[slot] += number.astype(np.uint32)
             s1, s2 = _signatures(tokens, at)
             yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("id"))), b.column("row"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLOT_BLOCKS)]
+            parts = [zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in np.split(counts, SLOT_BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOCKS), pa.int64()), *[pa.nulls(SLOT_BLOCKS, pa.int64())] * 4, pa.array(parts, pa.binary())], names)
 
     return rows.mapInArrow(run, schema)
 
 
-def sketch(survey: DataFrame) -> np.ndarray:
-    """A rank of each slot, 0 for usual counts and up to 15: 1 MB, whatever the corpus."""
+def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """A rank of each slot, 0 for usual counts and up to 15, and the usual count: 16 MB at most, whatever the corpus."""
+    size = (1 << bits) // SLOT_BLOCKS
+    usual = max(1.0, (survey.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLOTS // SLOT_BLOCKS, np.uint64)
-        for part in table["part"].to_pylist():
-            raw = zlib.decompress(part)
-            total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(total) else np.uint64)
-        return pa.table({"block": table["block"].slice(0, 1), "salt": table["salt"].slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    def add(last: bool):
+        def run(table: pa.Table) -> pa.Table:
+            total = np.zeros(size, np.uint64)
+            for part in table["part"].to_pylist():
+                raw = zlib.decompress(part)
+                total += np.frombuffer(raw, np.uint16 if len(raw) == 2 * size else np.uint64)
+            if last:
+                total = np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / (1.25 * usual))), 0, 15).astype(np.uint8)
+            return pa.table({"block": table["block"].slice(0, 1), "salt": table["salt"].slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+        return run
 
     parts = survey.where("part is not null").select(F.col("id").alias("block"), F.pmod(F.crc32("part"), F.lit(64)).alias("salt"), "part")
-    for _ in range(2):  # a block's counts meet in two steps
-        parts = parts.groupBy("block", "salt").applyInArrow(add, "block long, salt long, part binary").withColumn("salt", F.lit(0).cast("long"))
-    counts = np.zeros(SLOTS)
-    for r in parts.collect():
-        size = SLOTS // SLOT_BLOCKS
-        counts[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["part"]), np.uint64)
-    return counts
+    for last in (False, True):  # a block's counts meet in two steps
+        parts = parts.groupBy("block", "salt").applyInArrow(add(last), "block long, salt long, part binary").withColumn("salt", F.lit(0).cast("long"))
+    rank = np.zeros(1 << bits, np.uint8)
+    for r in parts.toLocalIterator():
+        rank[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
+    return rank, usual
 
 
 def _prefixes(tokens: np.ndarray, at: np.ndarray, rank: np.ndarray, extra: np.ndarray, similar: int):
-    """Of each set: its prefix (values that order by rank), each token's level, and the level chosen."""
+    """Of each set: its prefix (values that order by rank), each token's level, and the level chosen.
+
+    ``extra`` is the company above the usual that a token of each rank has.
+    """
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
-    slot = (tokens >> np.uint64(32)).astype(np.int64)
+    slot = (tokens >> np.uint64(52 - (len(rank).bit_length() - 1))).astype(np.int64)
     value = (rank[slot].astype(np.uint64) << np.uint64(48)) | (tokens & np.uint64((1 << 48) - 1))
     both = np.sort((row.astype(np.uint64) << np.uint64(52)) | value)
     value = both & _LOW
-    back = ((value >> np.uint64(32)) & np.uint64((1 << 16) - 1)).astype(np.int64)  # the slot's low 16 bits
     share = -(-similar * n // 100)
     first = n - share + 1
     most = np.minimum(LEVELS, share)
-    # a token's expected company: what its slot has above the usual
-    sums = np.concatenate([[0.0], np.cumsum(extra[back])])
+    sums = np.concatenate([[0.0], np.cumsum(extra[(value >> np.uint64(48)).astype(np.int64)])])
     costs = np.full((LEVELS, len(n)), np.inf)
     for level in range(1, LEVELS + 1):
         some = (most >= level) & (n > 0)
@@ -157,13 +171,9 @@ def _prefixes(tokens: np.ndarray, at: np.ndarray, rank: np.ndarray, extra: np.nd
     return row[inside], value[inside], level[inside], chosen, n
 
 
-def postings(rows: DataFrame, counts: np.ndarray, buckets: int, width: int, similar: int) -> DataFrame:
+def postings(rows: DataFrame, rank: np.ndarray, usual: float, buckets: int, width: int, similar: int) -> DataFrame:
     """``(bucket, nodes, sizes, levels, numbers, tokens)``: packed prefix tokens; a task posts equal sets once."""
-    usual = np.median(counts[counts > 0]) if (counts > 0).any() else 1.0
-    rank = np.clip(np.ceil(2 * np.log2(np.maximum(counts, 1) / (1.25 * usual))), 0, 15).astype(np.uint8)
-    # by the low 16 bits of the slot: enough to price a prefix
-    extra = np.zeros(1 << 16)
-    np.maximum.at(extra, np.arange(SLOTS) & 0xFFFF, np.where(rank > 0, counts - usual, 0))
+    extra = np.where(np.arange(16) > 0, usual * (1.25 * 2 ** (np.arange(16) / 2) - 1), 0.0)
     shared = rows.sparkSession.sparkContext.broadcast((rank, extra))
 
     def run(batches):
@@ -508,14 +518,15 @@ def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
     rows without words are their own.
     """
     spark = rows.sparkSession
-    survey = common.checkpointed(surveyed(rows, width))
-    counts = sketch(survey)
-    every = survey.where("part is null").drop("part")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = slot_bits(total)
+    survey = common.checkpointed(surveyed(rows, width, bits))
+    rank, usual = sketch(survey, bits)
+    every = survey.where("part is null").drop("part")
     buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
     kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kinds = common.checkpointed(kinds)
-    pairs = common.checkpointed(candidates(postings(rows, counts, buckets, width, similar), similar))
+    pairs = common.checkpointed(candidates(postings(rows, rank, usual, buckets, width, similar), similar))
     wanted, peels = meetings(rows, pairs, kinds, width, similar)
     wanted = common.checkpointed(wanted)
     links = common.checkpointed(linked(held(rows, wanted, buckets), width, similar))
