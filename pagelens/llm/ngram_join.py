@@ -35,6 +35,8 @@ from pagelens.llm import common
 WIDTH, SIMILAR = 5, 80
 #: Bits of a shingle that tell its slot in the sketch, at least and at most, so that the sketch is 16 MB or less.
 LEAST_BITS, MOST_BITS, SLOT_BLOCKS = 16, 24, 64
+#: Counts of a block of the sketch that are added up in one task.
+FAN = 64
 LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
@@ -130,13 +132,16 @@ def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
                 total += np.frombuffer(raw, np.uint16 if len(raw) == 2 * size else np.uint64)
             if last:
                 total = np.clip(np.ceil(2 * np.log2(np.maximum(total, 1) / (1.25 * usual))), 0, 15).astype(np.uint8)
-            return pa.table({"block": table["block"].slice(0, 1), "salt": table["salt"].slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
         return run
 
-    parts = survey.where("part is not null").select(F.col("id").alias("block"), F.pmod(F.crc32("part"), F.lit(64)).alias("salt"), "part")
-    for last in (False, True):  # a block's counts meet in two steps
-        parts = parts.groupBy("block", "salt").applyInArrow(add(last), "block long, salt long, part binary").withColumn("salt", F.lit(0).cast("long"))
+    parts = survey.where("part is not null").select(F.col("id").alias("block"), "part")
+    tasks = parts.where("block = 0").count()
+    while tasks > FAN:  # about so many of a block's counts meet at once
+        tasks = -(-tasks // FAN)
+        parts = parts.groupBy("block", F.pmod(F.crc32("part"), F.lit(tasks))).applyInArrow(add(False), "block long, part binary")
+    parts = parts.groupBy("block").applyInArrow(add(True), "block long, part binary")
     rank = np.zeros(1 << bits, np.uint8)
     for r in parts.toLocalIterator():
         rank[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)

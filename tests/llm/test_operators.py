@@ -100,6 +100,7 @@ def test_ngram_join_brute(spark, monkeypatch, few, heavy, block):
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(ngram_join, "FAN", 2 if few == 3 else 64)
     rng = random.Random(few)
     base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(n)] for n in (3, 5, 12, 40, 90)]
     rows = []
