@@ -95,8 +95,8 @@ def _signatures(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def slot_bits(total: int) -> int:
-    """Bits of the slots for texts of ``total`` bytes: about a slot for every four shingles, as far as the limit allows."""
-    return min(MOST_BITS, max(LEAST_BITS, (total // 24).bit_length()))
+    """Bits of the slots for texts of ``total`` bytes: a slot for 8 to 16 shingles, as far as the limit allows."""
+    return min(MOST_BITS, max(LEAST_BITS, (total // 48).bit_length() - 1))
 
 
 def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
@@ -105,15 +105,15 @@ def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
     schema = "id long, row long, n long, s1 long, s2 long, part binary"
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)  # of one task; what is counted more often is as heavy
         for b in _sliced(batches, "text"):
             tokens, at = shingles(b.column("text"), width)
             slot, number = np.unique((tokens >> np.uint64(52 - bits)).astype(np.int32), return_counts=True)
-            counts[slot] += number.astype(np.uint32)
+            counts[slot] = np.minimum(counts[slot] + number, 65535)
             s1, s2 = _signatures(tokens, at)
             yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("id"))), b.column("row"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
-            parts = [zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in np.split(counts, SLOT_BLOCKS)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLOT_BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_BLOCKS), pa.int64()), *[pa.nulls(SLOT_BLOCKS, pa.int64())] * 4, pa.array(parts, pa.binary())], names)
 
     return rows.mapInArrow(run, schema)
@@ -580,8 +580,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"])
     gone = spread.where(F.struct("row", "id") != F.col("first")).select("id", "row").distinct()
-    again = found.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row")
+    again = common.checkpointed(found.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row"))
     rest = F.struct(*[common.named(c) for c in docs.columns]).alias("rest_")
     left = docs.select(*ids, rest).join(gone, ["id", "row"], "left_anti")
+    if again.isEmpty():
+        return left.select("rest_.*")
     once = left.join(again, ["id", "row"], "left_anti").unionByName(left.join(again, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]))
     return once.select("rest_.*")
