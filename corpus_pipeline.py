@@ -13,6 +13,7 @@ from pagelens.llm import bpe, common, mixing, ngram_join, quality, secrets
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it. A null id has a key like any other, a null source is the last source, rows that repeat are taken or left together."""
     return mixing.mixed(docs)
 
 
