@@ -18,8 +18,8 @@ from pagelens.operators import features
 
 NODES = "page_id long, pos int, depth int, parent_pos int, tag string, parent_tag string, n_children int, text_length int, n_words int"
 FEATURES = "page_id long, tokens array<struct<grp:string,token:string,tf:int>>, stats array<double>"
-#: ARIA landmark and window roles, and what HTML calls the parts around the content.
-BOILERPLATE = ("banner", "complementary", "contentinfo", "navigation", "search", "form", "alert", "dialog", "menu", "toolbar", "nav", "header", "footer", "aside")
+#: ARIA landmark and window roles, and what HTML calls the parts around the content; parts of other words are left out.
+BOILERPLATE = ("banner", "complementary", "contentinfo", "navigation", "alertdialog", "dialog", "menu", "toolbar", "tooltip", "header", "footer", "aside")
 GROUPS, DENSE_NAMES = features.GROUPS, features.STATISTICS
 
 

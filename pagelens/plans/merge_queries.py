@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.functions import text
+from pagelens.functions import text, urls
 from pagelens.operators import curate, languages, sampling
 from pagelens.plans.catalog import query
 from pagelens.plans.url_queries import read
 from pagelens.sources import codec, io
+from pagelens.streaming import incremental
 
 CATEGORIES = ["news", "shop", "sport", "forum", "blog"]
 #: Annotations of pages: some twice, some with a slash at the end, some without labels or a language.
@@ -265,3 +266,40 @@ def page_language_tag(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     url = F.when(F.col("page_id") % 5 == 0, "https://www.a.cz/x").otherwise(F.col("url"))
     return p.select("page_id", text.language_tag(url, F.col("html")).alias("lang"))
+
+
+SQL_PROMPT = "CASE WHEN length(text) > 900 THEN rtrim(substr(text, 1, 720)) || chr(10) || '...[TRUNCATED]...' || chr(10) || ltrim(right(text, 180)) ELSE text END"
+
+
+@query("stream_classified", f"SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN NULL WHEN length({SQL_PROMPT}) % 7 = 0 THEN NULL ELSE 'n' || length({SQL_PROMPT}) END AS reply, CASE WHEN trim(coalesce(text, '')) = '' THEN 'NO_TEXT' WHEN length({SQL_PROMPT}) % 7 = 0 THEN 'FAILED' ELSE 'OK' END AS status FROM documents")
+def stream_classified(spark, sf_dir):
+    """A stream of files, asked of a client batch by batch; each batch is written before the next begins. The client gives up on some texts."""
+    folder = scratch(spark)
+    read(spark, sf_dir, "documents").select("doc_id", "text").repartition(3).write.parquet(f"{folder}/in")
+
+    def client(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise TimeoutError
+        return f"n{len(prompt)}"
+
+    def answered(batch: DataFrame) -> DataFrame:
+        return incremental.classified(batch, client, "{text}", "doc_id", retry=incremental.Retry(2, 0.0), most=900)
+
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    incremental.durable(stream, answered, f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "reply", "status")
+
+
+@query("crawl_by_levels", """
+WITH RECURSIVE t AS (SELECT 0::BIGINT AS id, 0 AS level UNION ALL SELECT p.page_id, t.level + 1 FROM t JOIN pages p ON p.page_id IN (2 * t.id + 1, 2 * t.id + 2) WHERE p.page_id % 10 <> 9 AND p.page_id % 23 <> 22 AND t.level < 5)
+SELECT 'http://d' || id || '.org/' AS url, level FROM t""")
+def crawl_by_levels(spark, sf_dir):
+    """Pages linked as a tree, a domain each; some domains are listed as bad, some pages are not accepted."""
+    i = F.col("page_id")
+    name = lambda c: F.concat(F.lit("http://d"), c, F.lit(".org/"))
+    pages = read(spark, sf_dir, "pages").select("page_id")
+    links = pages.where("page_id > 0").select(name(F.floor((i - 1) / 2)).alias("url"), name(i).alias("link"))
+    bad = pages.where("page_id % 23 = 22").select(urls.registrable_domain(name(i)).alias("domain"))
+    accept = lambda df: df.where(F.regexp_extract("url", "([0-9]+)", 1).cast("long") % 10 != 9)
+    starts = spark.createDataFrame([("http://d0.org/",)], "url string")
+    return incremental.crawl(links, starts, urls.registrable_domain, bad, accept, 6, 1 << 30).withColumn("level", F.col("level").cast("long"))

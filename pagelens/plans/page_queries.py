@@ -277,6 +277,13 @@ def dom_dense_stats(spark, sf_dir):
     return trees.dense_stats(read(spark, sf_dir, "pages"))
 
 
+@query("dom_page_features")
+def dom_page_features(spark, sf_dir):
+    """Tokens of all groups and all statistics, from one parse of each page."""
+    made = trees.page_features(read(spark, sf_dir, "pages"))
+    return made.select("page_id", F.size("tokens").alias("n_distinct"), F.aggregate("tokens", F.lit(0), lambda n, t: n + t["tf"]).alias("n_tokens"), "stats")
+
+
 @query("dom_renderings")
 def dom_renderings(spark, sf_dir):
     return trees.renderings(read(spark, sf_dir, "pages"))

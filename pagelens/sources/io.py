@@ -165,9 +165,9 @@ def crawl_list(df: DataFrame, fetch: Callable[[str], tuple[int, str]], path: str
     return spark.read.parquet(path)
 
 
-def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    """JSON lines; null keys are written too."""
-    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, append: bool = False, order: str | None = None) -> None:
+    """JSON lines; null keys are written too. With ``order`` the files follow each other in the order of that column."""
+    (df if order is None else df.orderBy(order)).write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

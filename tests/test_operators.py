@@ -192,6 +192,13 @@ def test_classifier_vectors_refit_and_sweep(spark):
     assert best.count() == 2 and best.first()["macro_f1"] > 0.9 and len(classifier.LADDER) >= 14
 
 
+def test_jsonl_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i * 37 % 100,) for i in range(100)], "i int").repartition(5)
+    io.write_jsonl(df, str(tmp_path / "out"), order="i")
+    lines = [json.loads(x)["i"] for f in sorted((tmp_path / "out").glob("part*")) for x in f.read_text().splitlines()]
+    assert lines == list(range(100))
+
+
 def test_jdbc_round_trip(spark):
     """A table of a database in memory, read in two parts."""
     url, driver = "jdbc:derby:memory:pages;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
