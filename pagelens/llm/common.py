@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass holds, so that a Python worker stays small.
 BLOCK_BYTES = 1 << 21
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,11 +45,23 @@ def packed(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:
     return df.select(*keep, rest.alias("rest_")), [named(c) if c in keep else F.col("rest_").getField(c).alias(c) for c in df.columns]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts cross to Python at most ``ARROW_ROWS`` rows or about ``ARROW_BYTES`` at a time, so that neither side holds tens of MB of them.
+
+    Settings of the session; those that are already smaller stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def carried(df: DataFrame, text: str, replaced: tuple[str, ...]) -> tuple[DataFrame, list]:
     """``(rest_, text_)`` of ``df``, and the expressions that restore its columns from them.
 
     Columns named like one of ``replaced``, in any case, as Spark reads names, are left out: what an operator adds takes their place.
     """
+    small_batches(df.sparkSession)
     rest, unpack = packed(df, text)
     gone = {name.lower() for name in replaced}
     unpack = [(named("text_").alias(name) if name == text else c) for c, name in zip(unpack, df.columns) if name.lower() not in gone]

@@ -523,6 +523,7 @@ def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
     rows without words are their own.
     """
     spark = rows.sparkSession
+    common.small_batches(spark)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = slot_bits(total)
     survey = common.checkpointed(surveyed(rows, width, bits))

@@ -147,6 +147,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
 
     ``row`` is a hash of id and text: rows that repeat both have the same answer.
     """
+    common.small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-total // CHUNK_BYTES))
