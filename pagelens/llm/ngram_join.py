@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pagelens.llm import common
 
 WIDTH, SIMILAR = 5, 80
-#: Bits of a shingle that tell its slot in the sketch, at least and at most, so that the sketch is 16 MB or less.
-LEAST_BITS, MOST_BITS, SLOT_BLOCKS = 16, 24, 64
+#: Bits of a shingle that tell its slot in the sketch, at least and at most, so that the sketch is 8 MB or less.
+LEAST_BITS, MOST_BITS, SLOT_BLOCKS = 16, 23, 64
 #: Counts of a block of the sketch that are added up in one task.
 FAN = 64
 LEVELS = 4
@@ -52,6 +52,8 @@ BLOCK = 1 << 20
 NO_ID, NAMELESS = -(1 << 63), 1 << 48
 _ROWS = 1 << 12
 _LOW = np.uint64((1 << 52) - 1)
+#: Classes that a token of no noted frequency is expected to share by chance.
+CHANCE = 0.1
 #: Times the cost of scanning a posting that verifying a candidate takes.
 VERIFY = 8.0
 
@@ -95,8 +97,8 @@ def _signatures(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def slot_bits(total: int) -> int:
-    """Bits of the slots for texts of ``total`` bytes: a slot for 8 to 16 shingles, as far as the limit allows."""
-    return min(MOST_BITS, max(LEAST_BITS, (total // 48).bit_length() - 1))
+    """Bits of the slots for texts of ``total`` bytes: a slot for 4 to 8 shingles, as far as the limit allows."""
+    return min(MOST_BITS, max(LEAST_BITS, (total // 24).bit_length() - 1))
 
 
 def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
@@ -120,7 +122,7 @@ def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
-    """A rank of each slot, 0 for usual counts and up to 15, and the usual count: 16 MB at most, whatever the corpus."""
+    """A rank of each slot, 0 for usual counts and up to 15, and the usual count: 8 MB at most, whatever the corpus."""
     size = (1 << bits) // SLOT_BLOCKS
     usual = max(1.0, (survey.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
 
@@ -151,7 +153,7 @@ def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
 def _prefixes(tokens: np.ndarray, at: np.ndarray, rank: np.ndarray, extra: np.ndarray, similar: int):
     """Of each set: its prefix (values that order by rank), each token's level, and the level chosen.
 
-    ``extra`` is the company above the usual that a token of each rank has.
+    ``extra`` is the company that a token of each rank is expected to have.
     """
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
@@ -178,7 +180,7 @@ def _prefixes(tokens: np.ndarray, at: np.ndarray, rank: np.ndarray, extra: np.nd
 
 def postings(rows: DataFrame, rank: np.ndarray, usual: float, buckets: int, width: int, similar: int) -> DataFrame:
     """``(bucket, nodes, sizes, levels, numbers, tokens)``: packed prefix tokens; a task posts equal sets once."""
-    extra = np.where(np.arange(16) > 0, usual * (1.25 * 2 ** (np.arange(16) / 2) - 1), 0.0)
+    extra = np.where(np.arange(16) > 0, usual * (1.25 * 2 ** (np.arange(16) / 2) - 1), CHANCE)
     shared = rows.sparkSession.sparkContext.broadcast((rank, extra))
 
     def run(batches):
