@@ -185,12 +185,23 @@ def currency_mentions(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[$€£]|\b(?:EUR|USD|GBP|CZK|Kč)\b"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside another function's lambda it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without_repeats(parts: Column, most: int = 3) -> Column:
     """The parts that occur at most ``most`` times. One sort of the parts, not a comparison of each with all."""
-    ordered = F.array_sort(parts)
-    # a part that stands ``most`` places after an equal one in order occurs more often
-    often = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when((i > most) & (F.element_at(ordered, i) == F.element_at(ordered, F.greatest(i - most, F.lit(1)))), F.element_at(ordered, i))), lambda x: x.isNotNull()))
-    return F.when(F.size(often) == 0, parts).otherwise(F.filter(parts, lambda x: ~F.array_contains(often, x)))
+
+    def often(o: Column) -> Column:
+        # a part that stands ``most`` places after an equal one in order occurs more often
+        late = F.transform(F.sequence(F.lit(1), F.size(o)), lambda i: F.when((i > most) & (F.element_at(o, i) == F.element_at(o, F.greatest(i - most, F.lit(1)))), F.element_at(o, i)))
+        return F.array_distinct(F.filter(late, lambda x: x.isNotNull()))
+
+    def kept(p: Column) -> Column:
+        return _let(F.array_sort(p), lambda o: _let(often(o), lambda f: F.when(F.size(f) == 0, p).otherwise(F.filter(p, lambda x: ~F.array_contains(f, x)))))
+
+    return _let(parts, kept)
 
 
 def without_repeated_lines(text: Column, most: int = 3) -> Column:
@@ -225,7 +236,7 @@ def shape_stats(text: Column) -> Column:
 def word_length_tokens(text: Column, most: int = 15) -> Column:
     """``n:wordlen=k`` for each length of words that occurs at least twice, longer ones counted as ``most``."""
     sizes = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.least(F.length(w), F.lit(most)))
-    kinds = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.size(F.filter(sizes, lambda n: n == k)) >= 2)
+    kinds = _let(sizes, lambda z: F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.size(F.filter(z, lambda n: n == k)) >= 2))
     return F.transform(kinds, lambda k: F.concat(F.lit("n:wordlen="), k.cast("string")))
 
 
