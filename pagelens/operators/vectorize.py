@@ -79,7 +79,10 @@ def _cut(n: int):
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of ``n`` words joined by blanks. The words are bound once; inside the inner lambda they would be computed again for each run."""
+    none = F.array().cast("array<string>")
+    cut = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none)
+    return F.element_at(F.transform(F.array(words), cut), 1)
 
 
 def signed_log(x: Column) -> Column:
