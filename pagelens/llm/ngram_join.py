@@ -7,7 +7,8 @@ every ``l``; each document lengthens its prefix, and so asks for more shared tok
 lowers the estimated cost of its candidates.
 
 1. One pass over the texts leaves ``(id, n, signature)`` and the sketch. Equal sets are one class from
-   here on, so copies are neither posted nor compared.
+   here on, so copies are neither posted nor compared. Texts too large for a sketch of all shingles get one
+   of the frequent shingles alone, found by a second pass that counts each shingle by itself (:func:`frequent`).
 2. Prefix tokens are posted in packed buckets. A token of few classes yields candidate pairs, counted
    over all tokens; a token of more than ``FEW`` classes yields a star, not its pairs.
 3. Candidates that hang together are a family and meet, as texts, in one place, where they are linked
@@ -37,6 +38,10 @@ WIDTH, SIMILAR = 5, 80
 LEAST_BITS, MOST_BITS, SLOT_BLOCKS = 16, 23, 64
 #: Counts of a block of the sketch that are added up in one task.
 FAN = 64
+#: Blocks in which shingles are counted by 32 bits, and how many of them a task sorts at once.
+COUNT_BLOCKS, COUNTED = 1 << 10, 1 << 21
+#: Twice the logarithm of the count from which a shingle is frequent (8 rows), and the share of all slots that frequent ones may take.
+LEAST_LEVEL, FULL = 6, 0.5
 LEVELS = 4
 #: Classes of a token up to which its pairs are candidates.
 FEW = 24
@@ -101,17 +106,23 @@ def slot_bits(total: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (total // 24).bit_length() - 1))
 
 
-def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
-    """``(id, row, n, s1, s2)`` of every row and, as rows with ``part``, each task's counts of its shingles."""
+def crowded(total: int) -> bool:
+    """Whether texts of ``total`` bytes have more shingles than the slots can tell frequent ones from."""
+    return (total // 24).bit_length() - 1 > MOST_BITS
+
+
+def surveyed(rows: DataFrame, width: int, bits: int | None) -> DataFrame:
+    """``(id, row, n, s1, s2)`` of every row and, as rows with ``part``, each task's counts of its shingles; without ``bits`` none."""
     names = ["id", "row", "n", "s1", "s2", "part"]
     schema = "id long, row long, n long, s1 long, s2 long, part binary"
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint16)  # of one task; what is counted more often is as heavy
+        counts = np.zeros(1 << bits if bits else 0, np.uint16)  # of one task; what is counted more often is as heavy
         for b in _sliced(batches, "text"):
             tokens, at = shingles(b.column("text"), width)
-            slot, number = np.unique((tokens >> np.uint64(52 - bits)).astype(np.int32), return_counts=True)
-            counts[slot] = np.minimum(counts[slot] + number, 65535)
+            if bits:
+                slot, number = np.unique((tokens >> np.uint64(52 - bits)).astype(np.int32), return_counts=True)
+                counts[slot] = np.minimum(counts[slot] + number, 65535)
             s1, s2 = _signatures(tokens, at)
             yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("id"))), b.column("row"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.nulls(b.num_rows, pa.binary())], names)
         if counts.any():
@@ -121,8 +132,8 @@ def surveyed(rows: DataFrame, width: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
-    """A rank of each slot, 0 for usual counts and up to 15, and the usual count: 8 MB at most, whatever the corpus."""
+def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A rank of each slot, 0 for usual counts and up to 15, 8 MB at most; and the company that a token of each rank is expected to have."""
     size = (1 << bits) // SLOT_BLOCKS
     usual = max(1.0, (survey.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
 
@@ -147,7 +158,62 @@ def sketch(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     rank = np.zeros(1 << bits, np.uint8)
     for r in parts.toLocalIterator():
         rank[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
-    return rank, usual
+    return rank, np.where(np.arange(16) > 0, usual * (1.25 * 2 ** (np.arange(16) / 2) - 1), CHANCE)
+
+
+def counted(rows: DataFrame, width: int) -> DataFrame:
+    """``(block, high, low)``: 32 bits of every shingle, two bytes each; a chunk is sorted, so that the upper halves are only counted."""
+    each = (1 << 16) // COUNT_BLOCKS
+
+    def packed(values: list[np.ndarray]):
+        value = np.sort(np.concatenate(values))
+        high = np.bincount(value >> np.uint32(16), minlength=1 << 16).astype(np.uint32)
+        low, at = value.astype(np.uint16), np.searchsorted(value >> np.uint32(16), np.arange(COUNT_BLOCKS + 1) * each)
+        some = np.flatnonzero(np.diff(at))
+        for k in range(0, len(some), 64):
+            now = some[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(now, pa.int32()), pa.array([high[x * each : (x + 1) * each].tobytes() for x in now], pa.binary()), pa.array([low[at[x] : at[x + 1]].tobytes() for x in now], pa.binary())], ["block", "high", "low"])
+
+    def run(batches):
+        values, n = [], 0
+        for b in _sliced(batches, "text"):
+            tokens, _ = shingles(b.column("text"), width)
+            values.append((tokens >> np.uint64(20)).astype(np.uint32))
+            n += len(tokens)
+            if n >= COUNTED:
+                yield from packed(values)
+                values, n = [], 0
+        if n:
+            yield from packed(values)
+
+    return rows.mapInArrow(run, "block int, high binary, low binary")
+
+
+def frequent(counts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sketch` of the frequent shingles alone: a slot has the rank of the most frequent one in it, however many rare ones it has.
+
+    Counts that would take more than ``FULL`` of the slots are the usual ones.
+    """
+    size, each = (1 << bits) // COUNT_BLOCKS, (1 << 16) // COUNT_BLOCKS
+
+    def run(table: pa.Table) -> pa.Table:
+        high = [np.repeat(np.arange(each, dtype=np.uint32), np.frombuffer(x, np.uint32)) for x in table["high"].to_pylist()]
+        value = (np.concatenate(high) << np.uint32(16)) | np.frombuffer(b"".join(table["low"].to_pylist()), np.uint16)
+        value.sort()
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        level = np.floor(2 * np.log2(np.diff(np.append(first, len(value))))).astype(np.uint8)
+        level_of = np.zeros(size, np.uint8)
+        some = level >= LEAST_LEVEL
+        np.maximum.at(level_of, (value[first[some]].astype(np.int64) * size) // (each << 16), level[some])
+        return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([zlib.compress(level_of.tobytes(), 1)], pa.binary())})
+
+    level = np.zeros(1 << bits, np.uint8)
+    for r in counts.groupBy("block").applyInArrow(run, "block int, part binary").toLocalIterator():
+        level[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
+    taken = np.cumsum(np.bincount(level, minlength=128)[::-1])[::-1]
+    least = LEAST_LEVEL + int(np.argmax(taken[LEAST_LEVEL:] <= FULL * len(level)))
+    rank = np.clip(level.astype(np.int16) - (least - 1), 0, 15).astype(np.uint8)
+    return rank, np.where(np.arange(16) > 0, 2 ** ((least - 1 + np.arange(16)) / 2) - 1, CHANCE)
 
 
 def _prefixes(tokens: np.ndarray, at: np.ndarray, rank: np.ndarray, extra: np.ndarray, similar: int):
@@ -178,9 +244,8 @@ def _prefixes(tokens: np.ndarray, at: np.ndarray, rank: np.ndarray, extra: np.nd
     return row[inside], value[inside], level[inside], chosen, n
 
 
-def postings(rows: DataFrame, rank: np.ndarray, usual: float, buckets: int, width: int, similar: int) -> DataFrame:
+def postings(rows: DataFrame, rank: np.ndarray, extra: np.ndarray, buckets: int, width: int, similar: int) -> DataFrame:
     """``(bucket, nodes, sizes, levels, numbers, tokens)``: packed prefix tokens; a task posts equal sets once."""
-    extra = np.where(np.arange(16) > 0, usual * (1.25 * 2 ** (np.arange(16) / 2) - 1), CHANCE)
     shared = rows.sparkSession.sparkContext.broadcast((rank, extra))
 
     def run(batches):
@@ -528,13 +593,14 @@ def reached(rows: DataFrame, width: int, similar: int) -> DataFrame:
     common.small_batches(spark)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = slot_bits(total)
-    survey = common.checkpointed(surveyed(rows, width, bits))
-    rank, usual = sketch(survey, bits)
+    many = crowded(total)
+    survey = common.checkpointed(surveyed(rows, width, None if many else bits))
+    rank, extra = frequent(counted(rows, width), bits) if many else sketch(survey, bits)
     every = survey.where("part is null").drop("part")
     buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
     kinds = every.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kinds = common.checkpointed(kinds)
-    pairs = common.checkpointed(candidates(postings(rows, rank, usual, buckets, width, similar), similar))
+    pairs = common.checkpointed(candidates(postings(rows, rank, extra, buckets, width, similar), similar))
     wanted, peels = meetings(rows, pairs, kinds, width, similar)
     wanted = common.checkpointed(wanted)
     links = common.checkpointed(linked(held(rows, wanted, buckets), width, similar))

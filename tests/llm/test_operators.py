@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import HealthCheck, given, settings
@@ -228,6 +229,35 @@ def test_ngram_join_repeated_row(spark):
     assert sorted((r["doc_id"], r["component_id"], r["n_equal"]) for r in got) == [(1, 1, 1), (7, 1, 2), (7, 1, 2), (8, 1, 1), (20, 1, 1), (30, 1, 1), (30, 1, 1), (40, 40, 1)]
 
 
+def test_ngram_join_crowded_sketch(spark, monkeypatch):
+    """With 160 shingles a slot, passages that 30 texts share must not make candidates of most of the texts."""
+    rng, few = np.random.default_rng(5), []
+    phrases = [" ".join(f"p{i}x{k}" for k in range(6)) for i in range(130)]
+    texts = [[f"w{x}" for x in rng.integers(0, 10**9, 200)] for _ in range(780)]
+    for i, words in enumerate(texts):
+        for k in range(5):
+            words[40 * k + 20] = phrases[(i * 5 + k * 31) % 130]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    rows += [(1000 + i, " ".join(words[:-2])) for i, words in enumerate(texts[:20])]
+    for name, value in (("LEAST_BITS", 10), ("MOST_BITS", 10), ("FEW", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    held = ngram_join.held
+    monkeypatch.setattr(ngram_join, "held", lambda rows, wanted, buckets: few.append(wanted.count()) or held(rows, wanted, buckets))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(df).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert 40 <= sum(few) < 100
+
+    monkeypatch.setattr(ngram_join, "COUNTED", 5000)
+    rank, extra = ngram_join.frequent(ngram_join.counted(df, 5), 10)
+    counts = collections.Counter(int(x) for _, text in rows for x in ngram_join.shingles(pa.array([text]))[0])
+    most = np.zeros(1024, np.int64)
+    for token, n in counts.items():
+        most[token >> 42] = max(most[token >> 42], n)
+    assert ((rank > 0) == (most >= 8)).all() and (rank[most >= 8] == np.floor(2 * np.log2(most[most >= 8])) - 5).all()
+    assert extra[1] == 7 and extra[0] == ngram_join.CHANCE
+
+
 def test_one_of_each_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (None, a + " more"), (None, b), (3, a + " else"), (4, c), (4, c), (4, "another text of that id"), (5, c + " more"), (6, ""), (6, ""), (None, None), (7, "short text"), (8, "Short text")]
