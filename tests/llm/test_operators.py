@@ -229,8 +229,9 @@ def test_ngram_join_repeated_row(spark):
     assert sorted((r["doc_id"], r["component_id"], r["n_equal"]) for r in got) == [(1, 1, 1), (7, 1, 2), (7, 1, 2), (8, 1, 1), (20, 1, 1), (30, 1, 1), (30, 1, 1), (40, 40, 1)]
 
 
-def test_ngram_join_crowded_sketch(spark, monkeypatch):
-    """With 160 shingles a slot, passages that 30 texts share must not make candidates of most of the texts."""
+@pytest.fixture
+def crowded(spark, monkeypatch):
+    """Texts with 160 shingles a slot and passages that 30 of them share, the last 20 near copies; and how many texts a join lets meet."""
     rng, few = np.random.default_rng(5), []
     phrases = [" ".join(f"p{i}x{k}" for k in range(6)) for i in range(130)]
     texts = [[f"w{x}" for x in rng.integers(0, 10**9, 200)] for _ in range(780)]
@@ -244,6 +245,12 @@ def test_ngram_join_crowded_sketch(spark, monkeypatch):
     held = ngram_join.held
     monkeypatch.setattr(ngram_join, "held", lambda rows, wanted, buckets: few.append(wanted.count()) or held(rows, wanted, buckets))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return rows, df, few
+
+
+def test_ngram_join_crowded_sketch(crowded, monkeypatch):
+    """Shared passages must not make candidates of most of the texts."""
+    rows, df, few = crowded
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(df).collect()}
     assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
     assert 40 <= sum(few) < 100
@@ -258,6 +265,12 @@ def test_ngram_join_crowded_sketch(spark, monkeypatch):
     assert extra[1] == 7 and extra[0] == ngram_join.CHANCE
 
 
+def test_one_of_each_crowded_sketch(spark, crowded):
+    rows, df, few = crowded
+    assert {r["doc_id"] for r in ngram_join.one_of_each(spark, df, "").collect()} == {i for i, _ in rows if i < 1000}
+    assert 40 <= sum(few) < 100
+
+
 def test_one_of_each_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (None, a + " more"), (None, b), (3, a + " else"), (4, c), (4, c), (4, "another text of that id"), (5, c + " more"), (6, ""), (6, ""), (None, None), (7, "short text"), (8, "Short text")]
