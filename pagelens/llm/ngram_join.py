@@ -683,8 +683,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = spread.where(F.struct("row", "id") != F.col("first")).select("id", "row").distinct()
     again = common.checkpointed(found.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row"))
     rest = F.struct(*[common.named(c) for c in docs.columns]).alias("rest_")
-    left = docs.select(*ids, rest).join(gone, ["id", "row"], "left_anti")
+    # rows that surely stay as they are need no shuffle of their texts
+    gone = common.checkpointed(gone)
+    seen = marked(docs.select(*ids, rest), gone.unionByName(again).select("id"))
+    stay = seen.where("not maybe").select("rest_.*")
+    left = seen.where("maybe").join(gone, ["id", "row"], "left_anti")
     if again.isEmpty():
-        return left.select("rest_.*")
+        return stay.unionByName(left.select("rest_.*"))
     once = left.join(again, ["id", "row"], "left_anti").unionByName(left.join(again, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]))
-    return once.select("rest_.*")
+    return stay.unionByName(once.select("rest_.*"))

@@ -271,7 +271,7 @@ def test_one_of_each_crowded_sketch(spark, crowded):
     assert 40 <= sum(few) < 100
 
 
-@pytest.mark.parametrize("stage", [False])
+@pytest.mark.parametrize("stage", [False, True])
 def test_ngram_join_shuffles_few_texts(spark, stage):
     """Texts that have no near copy cross no shuffle; of 800, ten pairs have one."""
     rng = np.random.default_rng(8)
