@@ -355,6 +355,23 @@ def test_repeats_repeated_rows(spark):
     assert got == [(5, 0), (5, 0), (9, len(text)), (9, len(text))]
 
 
+@pytest.mark.parametrize("spec", [repeats.Spec(False, 50, 22, False), repeats.Spec(True, 20, 10, True)])
+def test_repeats_whole_copies_are_not_matched(spark, spec):
+    """Later copies of whole texts go without being sent to a shard; short ones stay."""
+
+    def match(*_):
+        raise ValueError("a copy was sent")
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(5)] + ["short text", "", None]
+    rows = [(100 * c + k, t) for c in range(6) for k, t in enumerate(texts)] + [(None, texts[4])]
+    done = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), match, spec)
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in done.collect()}
+    for i, t in rows:
+        n = len((t or "").split()) if spec.words else len(t or "")
+        gone = n if i is not None and (i >= 100 or i == 4) and i % 100 < 5 else 0
+        assert got[i] == (n, gone, int(gone > 0), b"" if gone else (t or "").encode())
+
+
 def test_repeats_cases(docs, empty):
     for dedup in (automaton.deduplicate, suffix_levels.deduplicate):
         got = dedup(docs).collect()
