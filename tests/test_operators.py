@@ -1,13 +1,16 @@
 """Sources, trees and models that the catalogue's SQL does not reach."""
 
 import json
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.functions import dom
-from pagelens.operators import classifier, curate, features, languages, models, pages, sampling
+from pagelens.functions import dom, text
+from pagelens.operators import classifier, curate, features, languages, models, pages, sampling, vectorize
+from pagelens.plans import catalog
 from pagelens.sources import codec, io
 
 
@@ -207,3 +210,32 @@ def test_jdbc_round_trip(spark):
     io.append_table(df.limit(5), url, "listed", driver=driver)
     got = io.table(spark, url, "listed", driver=driver, partitionColumn="id", lowerBound="0", upperBound="50", numPartitions="2")
     assert got.count() == 55 and got.rdd.getNumPartitions() == 2 and {c.lower() for c in got.columns} == {"id", "url"}
+
+
+@pytest.mark.parametrize("name", ["word_pair_tfidf", "char_tfidf_tokens", "tfidf_top_terms"])
+def test_tfidf_never_shuffles_counts_of_rows(spark, sf_dir, name, capsys):
+    catalog.QUERIES[name](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert keys and not any("doc_id#" in k and "token#" in k for k in keys)
+
+
+def test_char_tfidf_has_all_tokens(spark, sf_dir):
+    assert catalog.QUERIES["char_tfidf_tokens"](spark, sf_dir).select("token").distinct().count() > 300
+
+
+@pytest.mark.parametrize("size", [None, 3, 1000])
+def test_tfidf_of_rows_with_one_key(spark, size):
+    """Rows with one key are one row, a null key is a key, null texts count as rows."""
+    rows = [(1, "aab b aab"), (1, "b c"), (None, "b c d"), (2, None), (3, "c b aab"), (None, "d"), (4, "")]
+    got = {(r["id"], r["token"]): r["value"] for r in vectorize.fitted(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", text.words(F.col("text"), 1), list, 2, 1.0, size).collect()}
+    counts: dict = {}
+    for i, t in rows:
+        counts.setdefault(i, Counter()).update((t or "").split())
+    df = Counter(t for c in counts.values() for t in c)
+    known = sorted((t for t in df if df[t] >= 2), key=lambda t: (-df[t], t))[:size]
+    want = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
+        want |= {(i, t): x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    assert got == pytest.approx(want)
