@@ -11,7 +11,7 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,19 @@ _CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-
 ALIASES = {"windows-1250": "cp1250", "win-1250": "cp1250", "x-sjis": "shift_jis", "iso8859-2": "iso-8859-2", "utf8": "utf-8"}
 
 
+#: Rows and bytes that cross to Python at a time, as a page may inflate to many times its size.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
+
+
+def small_batches() -> None:
+    """Pages cross to Python a few at a time, so that a worker's memory does not follow its input. Settings of the session; smaller ones stay."""
+    spark = SparkSession.active()
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def inflate_bytes(raw: bytes | None) -> bytes | None:
     """gzip, else zlib, else None; None for no bytes."""
     if not raw:
@@ -97,6 +110,7 @@ def _loose(value: pd.Series) -> pd.Series:
 
 def inflated(encoded: Column) -> Column:
     """base64 of gzip or zlib to bytes; null where it is neither."""
+    small_batches()
     return _inflate(F.try_to_binary(encoded, F.lit("base64")))
 
 
@@ -122,12 +136,14 @@ def decoded_bytes(raw: Column) -> Column:
 
 def loose_text(value: Column) -> Column:
     """Blank is empty, markup stays, base64 is decoded and inflated where it can be, the rest stays."""
+    small_batches()
     markup = F.lower(value).rlike("<html|<body|<div")
     return F.when(value.isNull() | (F.trim(value) == ""), "").when(markup, value).otherwise(_loose(value))
 
 
 def compressed(text: Column) -> Column:
     """base64 of gzip without a time stamp; empty for empty text."""
+    small_batches()
     return F.when(text.isNull() | (text == ""), "").otherwise(F.regexp_replace(F.base64(_deflate(text.cast("binary"))), r"[\r\n]", ""))
 
 
