@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import dom, text
 from pagelens.operators import features
+from pagelens.sources import codec
 
 NODES = "page_id long, pos int, depth int, parent_pos int, tag string, parent_tag string, n_children int, text_length int, n_words int"
 FEATURES = "page_id long, tokens array<struct<grp:string,token:string,tf:int>>, stats array<double>"
@@ -55,6 +56,7 @@ def node_table(pages: DataFrame) -> DataFrame:
             yield page_id, n.position, n.depth, n.parent.position if n.parent else -1, n.tag, n.parent.tag if n.parent else None, len(n.children), own, words
 
     columns = [c.split()[0] for c in NODES.split(", ")]
+    codec.small_batches()
     found = pages.select("page_id", "html").mapInPandas(_frames(rows, columns), NODES)
     return found.withColumn("parent_pos", F.when(F.col("parent_pos") >= 0, F.col("parent_pos")))
 
@@ -108,6 +110,7 @@ def page_features(pages: DataFrame, groups: tuple[str, ...] = GROUPS, stats: boo
                         out.append((row.page_id, tokens, [round(found[k], 9) for k in DENSE_NAMES] if stats else None))
                 yield pd.DataFrame(out, columns=["page_id", "tokens", "stats"])
 
+    codec.small_batches()
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     return pages.select("page_id", "html", url.alias("url")).mapInPandas(run, FEATURES)
 
@@ -139,6 +142,7 @@ def renderings(pages: DataFrame, words: tuple[str, ...] = BOILERPLATE) -> DataFr
 
     names = ["page_id", "title", "description", "keywords", "og_title", "og_description", "headings", "body", "main", "lines"]
     kinds = ["long", *["string"] * 5, "array<string>", *["string"] * 3]
+    codec.small_batches()
     return pages.select("page_id", "html").mapInPandas(_frames(rows, names), ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 

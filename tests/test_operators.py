@@ -239,3 +239,17 @@ def test_tfidf_of_rows_with_one_key(spark, size):
         v = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
         want |= {(i, t): x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("make", [lambda df: df.select(codec.page_text(F.col("html"))), lambda df: df.select(codec.compressed(F.col("html"))), lambda df: df.select(codec.loose_text(F.col("html"))), pages.token_groups, pages.renderings, pages.node_table])
+def test_pages_cross_to_python_a_few_at_a_time(spark, make):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        make(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string"))
+        assert [int(spark.conf.get(n)) for n in names] == [codec.ARROW_ROWS, codec.ARROW_BYTES]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
