@@ -268,14 +268,18 @@ def page_language_tag(spark, sf_dir):
     return p.select("page_id", text.language_tag(url, F.col("html")).alias("lang"))
 
 
+#: Bytes of text in a file that a stream reads.
+FILE_BYTES = 16 << 20
 SQL_PROMPT = "CASE WHEN length(text) > 900 THEN rtrim(substr(text, 1, 720)) || chr(10) || '...[TRUNCATED]...' || chr(10) || ltrim(right(text, 180)) ELSE text END"
 
 
 @query("stream_classified", f"SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN NULL WHEN length({SQL_PROMPT}) % 7 = 0 THEN NULL ELSE 'n' || length({SQL_PROMPT}) END AS reply, CASE WHEN trim(coalesce(text, '')) = '' THEN 'NO_TEXT' WHEN length({SQL_PROMPT}) % 7 = 0 THEN 'FAILED' ELSE 'OK' END AS status FROM documents")
 def stream_classified(spark, sf_dir):
     """A stream of files, asked of a client batch by batch; each batch is written before the next begins. The client gives up on some texts."""
-    folder = scratch(spark)
-    read(spark, sf_dir, "documents").select("doc_id", "text").repartition(3).write.parquet(f"{folder}/in")
+    folder, d = scratch(spark), read(spark, sf_dir, "documents").select("doc_id", "text")
+    # three batches, of as many files as the texts need at FILE_BYTES each
+    each = max(1, -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (3 * FILE_BYTES)))
+    d.repartition(3 * each).write.parquet(f"{folder}/in")
 
     def client(prompt: str) -> str:
         if len(prompt) % 7 == 0:
@@ -285,7 +289,7 @@ def stream_classified(spark, sf_dir):
     def answered(batch: DataFrame) -> DataFrame:
         return incremental.classified(batch, client, "{text}", "doc_id", retry=incremental.Retry(2, 0.0), most=900)
 
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", each).parquet(f"{folder}/in")
     incremental.durable(stream, answered, f"{folder}/out", f"{folder}/offsets").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "reply", "status")
 
