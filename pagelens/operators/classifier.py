@@ -156,11 +156,15 @@ class StructuralClassifier:
         return self.scores(one, own).drop("page_id")
 
     def _scored(self, ready: DataFrame) -> DataFrame:
-        out = None
-        for label in self.labels:
-            head = self.heads[label]
-            one = ready.select("page_id", F.lit(label).alias("label"), F.lit(0.0).alias("score")) if head is None else head.transform(ready.select("page_id", "features")).select("page_id", F.lit(label).alias("label"), F.element_at(vector_to_array("probability"), 2).alias("score"))
-            out = one if out is None else out.unionByName(one)
+        # all heads in one pass; a branch for each label would parse the pages again
+        wide, made = ready.select("page_id", "features"), []
+        for i, label in enumerate(self.labels):
+            head, score = self.heads[label], F.lit(0.0)
+            if head is not None:
+                head = head.copy().setProbabilityCol(f"p{i}").setRawPredictionCol("").setPredictionCol("")
+                wide, score = head.transform(wide), F.element_at(vector_to_array(f"p{i}"), 2)
+            made.append(F.struct(F.lit(label).alias("label"), score.alias("score")))
+        out = wide.select("page_id", F.inline(F.array(*made)))
         return decide.row_z(out, "page_id") if self.config.score == "row_z" else out
 
     def scores(self, html: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

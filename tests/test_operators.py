@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import dom, text
 from pagelens.operators import classifier, curate, features, languages, models, pages, sampling, vectorize
-from pagelens.plans import catalog
+from pagelens.plans import catalog, merge_queries
 from pagelens.sources import codec, io
 
 
@@ -253,3 +253,26 @@ def test_pages_cross_to_python_a_few_at_a_time(spark, make):
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)
+
+
+def test_classifier_parses_pages_once_for_all_labels(spark, capsys):
+    page = lambda i: f"<html><body>{'<p>a</p>' * (1 + i % 3)}<a href='/{i}'>x</a></body></html>"
+    df = spark.createDataFrame([(i, page(i), [["a", "b", "c"][i % 3]]) for i in range(60)], "page_id long, html string, labels array<string>")
+    model = classifier.StructuralClassifier(classifier.Config(min_label=5, groups=("tag",))).fit(df.select("page_id", "html"), df.select("page_id", "labels"))
+    assert model.labels == ["a", "b", "c"]
+    capsys.readouterr()
+    made = model.scores(df.select("page_id", "html"))
+    made.explain()
+    assert capsys.readouterr().out.count("MapInPandas") == 1
+    raw = model._vectors(model._raw(df.select("page_id", "html"), None))
+    for label, head in model.heads.items():
+        alone = {r["page_id"]: r["probability"][1] for r in head.transform(raw).collect()}
+        assert {r["page_id"]: r["score"] for r in made.where(F.col("label") == label).collect()} == pytest.approx(alone)
+
+
+def test_stream_files_follow_the_texts(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(merge_queries, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(merge_queries, "scratch", lambda _: str(tmp_path))
+    n = merge_queries.stream_classified(spark, sf_dir).count()
+    assert n == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(list(tmp_path.glob("in/*.parquet"))) > 9 and len(list(tmp_path.glob("out/batch=*"))) == 3
